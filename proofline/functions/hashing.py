@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ZERO_HASH = "0" * 64
 HEX64 = "^[0-9a-f]{64}$"
@@ -22,7 +23,7 @@ def canonical_json(columns: Mapping[str, Column]) -> Column:
     return F.to_json(sorted_struct(columns), {"ignoreNullFields": "false"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _recode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(
