@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.documents import kind_at, strict_variant, text_at
 from proofline.operators.sequence import numbered, ordered
 
 # Manifest paths that must be present and neither null nor empty.
@@ -40,25 +41,16 @@ def closed_keys(docs: DataFrame, raw: str, allowed: Sequence[str], required: Seq
     ).withColumn("missing_keys", F.array_sort(F.array_except(needed, keys)))
 
 
-def text_at(variant: Column, path: str) -> Column:
-    return F.try_variant_get(variant, f"$.{path}", "string")
-
-
-def kind_at(variant: Column, path: str) -> Column:
-    """Type name of a JSON value: BIGINT, BOOLEAN, STRING, ARRAY<...>, OBJECT<...>, VOID, or null when absent."""
-    return F.schema_of_variant(F.try_variant_get(variant, f"$.{path}", "variant"))
-
-
 def required_paths(docs: DataFrame, raw: str, paths: Sequence[str]) -> DataFrame:
     """Dotted paths whose value is absent, null or the empty string, in the given order."""
-    parsed = docs.withColumn("_v", F.try_parse_json(raw))
+    parsed = docs.withColumn("_v", strict_variant(raw))
     gaps = [F.when(F.coalesce(text_at(F.col("_v"), p), F.lit("")) == "", F.lit(p)) for p in paths]
     return parsed.withColumn("missing", F.array_compact(F.array(*gaps))).drop("_v")
 
 
 def manifest_gaps(docs: DataFrame, raw: str) -> DataFrame:
     """Required paths plus the typed rules of a transcript package manifest."""
-    parsed = docs.withColumn("_v", F.try_parse_json(raw))
+    parsed = docs.withColumn("_v", strict_variant(raw))
     v = F.col("_v")
 
     def filled_array(path: str) -> Column:
@@ -178,7 +170,7 @@ class ValueRule:
 
 def value_domain_audit(docs: DataFrame, raw: str, rules: Sequence[ValueRule], canvas: tuple[int, int] = (0, 0)) -> DataFrame:
     """Paths whose value breaks its rule; booleans are never accepted as integers."""
-    parsed = docs.withColumn("_v", F.try_parse_json(raw))
+    parsed = docs.withColumn("_v", strict_variant(raw))
     v = F.col("_v")
     integer_type = r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.operators import geometry as geo, positions as ops
-from proofline.operators.sequence import numbered, ordered
+from proofline.operators.sequence import numbered, ordered, scan
 from proofline.plans.motion import PLANES, planes
 from proofline.plans.registry import Registry
 from proofline.plans.tracks import micros
@@ -168,8 +168,6 @@ ALIAS = """
     select * from r where reasons <> ''""")
 def c17(spark, d):
     ev = load(spark, d, "events").select(F.col("user_id").alias("clip"), "event_id", micros().alias("us"))
-    from proofline.operators.sequence import scan
-
     seq = scan(ordered(ev, ["clip"], ["us", "event_id"]), prev={"_p": "event_id"}, next={"_n": "event_id"})
     rows = numbered(seq, "index").plain()
     target = F.when(F.col("event_id") % 3 == 0, F.col("_n")).when(F.col("event_id") % 20 == 4, F.lit(-1)).otherwise(F.col("_p"))
@@ -289,8 +287,7 @@ def c23(spark, d):
     from ce join fi using (flag)""")
 def c24(spark, d):
     rows = load(spark, d, "lineitem").select(
-        F.col("l_returnflag").alias("flag"), F.expr("cast(round(if(l_suppkey % 10 = 0, l_quantity, l_quantity / 10)) as bigint)").alias("r"),
-        F.expr("if(l_suppkey % 10 = 0, l_quantity, l_quantity / 10)").alias("q"),
+        F.col("l_returnflag").alias("flag"), F.expr("if(l_suppkey % 10 = 0, l_quantity, l_quantity / 10)").alias("q"),
         F.expr("cast(round(l_discount * 100) as bigint)").alias("b"), F.expr("cast(round(l_tax * 100) as bigint)").alias("c"))
     rows = rows.withColumn("a", F.bround("q").cast("bigint"))
     out = geo.dominant_bin(rows, ["flag"], ["a", "b", "c"], 20.0)
