@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proofline.functions.cases import lookup
+
 # Transcript package states in order, and the terminal non-success states.
 PACKAGE_STATES = (
     "initialized",
@@ -104,10 +106,7 @@ def waiting_kind(phase: Column) -> Column:
 
 
 def gate_of(phase: Column) -> Column:
-    gate = F.lit("none")
-    for name, value in {**GATES, **INPUTS}.items():
-        gate = F.when(phase == name, value).otherwise(gate)
-    return gate
+    return lookup(phase, {**GATES, **INPUTS}, F.lit("none"))
 
 
 def context_text(job: Column, revision: Column) -> Column:

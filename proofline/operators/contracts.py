@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.functions.documents import kind_at, strict_variant, text_at
+from proofline.functions.cases import listed
+from proofline.functions.documents import kind_at, text_at, value_at, with_document
 from proofline.operators.sequence import numbered, ordered
 
 # Manifest paths that must be present and neither null nor empty.
@@ -43,14 +44,14 @@ def closed_keys(docs: DataFrame, raw: str, allowed: Sequence[str], required: Seq
 
 def required_paths(docs: DataFrame, raw: str, paths: Sequence[str]) -> DataFrame:
     """Dotted paths whose value is absent, null or the empty string, in the given order."""
-    parsed = docs.withColumn("_v", strict_variant(raw))
+    parsed = with_document(docs, raw)
     gaps = [F.when(F.coalesce(text_at(F.col("_v"), p), F.lit("")) == "", F.lit(p)) for p in paths]
-    return parsed.withColumn("missing", F.array_compact(F.array(*gaps))).drop("_v")
+    return parsed.withColumn("missing", listed(*gaps)).drop("_v")
 
 
 def manifest_gaps(docs: DataFrame, raw: str) -> DataFrame:
     """Required paths plus the typed rules of a transcript package manifest."""
-    parsed = docs.withColumn("_v", strict_variant(raw))
+    parsed = with_document(docs, raw)
     v = F.col("_v")
 
     def filled_array(path: str) -> Column:
@@ -58,7 +59,7 @@ def manifest_gaps(docs: DataFrame, raw: str) -> DataFrame:
 
     duration = "source.duration_seconds"
     numeric = kind_at(v, duration).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-    positive = F.coalesce(numeric & (F.try_variant_get(v, f"$.{duration}", "double") > 0), F.lit(False))
+    positive = F.coalesce(numeric & (value_at(v, duration, "double") > 0), F.lit(False))
     truthy = ~F.coalesce(text_at(v, "captions.selected"), F.lit("")).isin("", "false", "0", "[]", "{}")
     used = F.coalesce(text_at(v, "transcription.used"), F.lit("")).isin("true", "1")
     typed = [
@@ -69,7 +70,7 @@ def manifest_gaps(docs: DataFrame, raw: str) -> DataFrame:
         F.when(~exclusive(truthy, used), "source_branch"),
     ]
     gaps = [F.when(F.coalesce(text_at(v, p), F.lit("")) == "", F.lit(p)) for p in REQUIRED_MANIFEST_PATHS]
-    return parsed.withColumn("missing", F.array_compact(F.array(*typed, *gaps))).drop("_v")
+    return parsed.withColumn("missing", listed(*typed, *gaps)).drop("_v")
 
 
 def exclusive(a: Column, b: Column) -> Column:
@@ -130,13 +131,12 @@ def state_evidence_gate(deliveries: DataFrame) -> DataFrame:
     """Reasons why a delivery status lacks the evidence it requires."""
     status, scope = F.col("status"), F.col("scope")
     runtime = status.isin("runtime-metadata-complete", "runtime-verified")
-    reasons = F.array_compact(F.array(
+    reasons = listed(
         F.when(~scope.isin("required", "not-requested") | scope.isNull(), "scope is invalid"),
         F.when((status == "package-ready") & (scope != "not-requested"), "scope must be not-requested"),
         F.when(runtime & (scope != "required"), "scope must be required"),
         F.when(runtime & (F.col("contract").isNull() | F.col("projection").isNull()), "contract and projection required"),
-        F.when((status == "runtime-verified") & F.col("proof").isNull(), "proof required"),
-    ))
+        F.when((status == "runtime-verified") & F.col("proof").isNull(), "proof required"),)
     return deliveries.withColumn("reasons", reasons)
 
 
@@ -153,7 +153,7 @@ def evidence_key_audit(records: DataFrame, keys: str, sources: DataFrame, source
 def vocabulary_audit(docs: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     """Forbidden terms found anywhere in the whole text, ignoring case."""
     low = F.lower(text)
-    hits = F.array_compact(F.array(*[F.when(low.contains(t.lower()), F.lit(t)) for t in terms]))
+    hits = listed(*[F.when(low.contains(t.lower()), F.lit(t)) for t in terms])
     return docs.withColumn("forbidden_terms", hits)
 
 
@@ -170,35 +170,38 @@ class ValueRule:
 
 def value_domain_audit(docs: DataFrame, raw: str, rules: Sequence[ValueRule], canvas: tuple[int, int] = (0, 0)) -> DataFrame:
     """Paths whose value breaks its rule; booleans are never accepted as integers."""
-    parsed = docs.withColumn("_v", strict_variant(raw))
+    parsed = with_document(docs, raw)
     v = F.col("_v")
     integer_type = r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$"
-
-    def good(rule: ValueRule) -> Column:
-        kind, text = kind_at(v, rule.path), text_at(v, rule.path)
-        number = F.try_variant_get(v, f"$.{rule.path}", "bigint")
-        items = F.try_variant_get(v, f"$.{rule.path}", "array<bigint>")
-        low = F.lit(True) if rule.minimum is None else number >= rule.minimum
-        high = F.lit(True) if rule.maximum is None else number <= rule.maximum
+    whole_type = r"^ARRAY<(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))>$"
+    # every value is read once; the rules then only see plain columns
+    readers = {
+        "string": lambda p: text_at(v, p), "enum": lambda p: text_at(v, p), "boolean": lambda p: text_at(v, p),
+        "integer": lambda p: value_at(v, p, "bigint"), "array": lambda p: F.size(value_at(v, p, "array<variant>")),
+        "point": lambda p: value_at(v, p, "array<bigint>"), "box": lambda p: value_at(v, p, "array<bigint>"),
+    }
+    parts = [c for i, r in enumerate(rules) for c in (kind_at(v, r.path).alias(f"_k{i}"), readers[r.kind](r.path).alias(f"_x{i}"))]
+    typed = parsed.select(*docs.columns, F.inline(F.array(F.struct(*parts))))
+
+    def good(i: int, rule: ValueRule) -> Column:
+        kind, x = F.col(f"_k{i}"), F.col(f"_x{i}")
         if rule.kind == "string":
-            return (kind == "STRING") & (F.length(text) >= 1) & (F.length(text) <= (rule.maximum or 4096))
+            return (kind == "STRING") & (F.length(x) >= 1) & (F.length(x) <= (rule.maximum or 4096))
         if rule.kind == "boolean":
             return kind == "BOOLEAN"
         if rule.kind == "integer":
+            low = F.lit(True) if rule.minimum is None else x >= rule.minimum
+            high = F.lit(True) if rule.maximum is None else x <= rule.maximum
             return kind.rlike(integer_type) & low & high
         if rule.kind == "enum":
-            return (kind == "STRING") & text.isin(*rule.domain)
+            return (kind == "STRING") & x.isin(*rule.domain)
         if rule.kind == "array":
-            sized = F.size(F.try_variant_get(v, f"$.{rule.path}", "array<variant>"))
-            return kind.startswith("ARRAY<") & (sized >= (rule.minimum or 0)) & (sized <= (rule.maximum or 256))
-        width, height = canvas
-        x, y = F.try_element_at(items, F.lit(1)), F.try_element_at(items, F.lit(2))
-        right, bottom = F.try_element_at(items, F.lit(3)), F.try_element_at(items, F.lit(4))
-        whole = kind.rlike(r"^ARRAY<(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))>$")
+            return kind.startswith("ARRAY<") & (x >= (rule.minimum or 0)) & (x <= (rule.maximum or 256))
         if rule.kind == "point":
-            return whole & (F.size(items) == 2)
-        inside = (x >= 0) & (y >= 0) & (right <= width) & (bottom <= height)
-        return whole & (F.size(items) == 4) & inside & (x < right) & (y < bottom)
+            return kind.rlike(whole_type) & (F.size(x) == 2)
+        left, top, right, bottom = (F.get(x, F.lit(n)) for n in range(4))
+        inside = (left >= 0) & (top >= 0) & (right <= canvas[0]) & (bottom <= canvas[1])
+        return kind.rlike(whole_type) & (F.size(x) == 4) & inside & (left < right) & (top < bottom)
 
-    breaches = [F.when(~F.coalesce(good(r), F.lit(False)), F.lit(r.path)) for r in rules]
-    return parsed.withColumn("breaches", F.array_compact(F.array(*breaches))).drop("_v")
+    breaches = [F.when(~F.coalesce(good(i, r), F.lit(False)), F.lit(r.path)) for i, r in enumerate(rules)]
+    return typed.select(*docs.columns, listed(*breaches).alias("breaches"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.cases import listed
 from proofline.functions.hashing import canonical_sha256
 from proofline.operators.sequence import ordered, scan, union_all
 
@@ -102,8 +103,8 @@ def binding_audit(bindings: DataFrame, targets: DataFrame, on: Sequence[str], bo
 def dimension_agreement(fact: DataFrame, dim: DataFrame, on: Sequence[str], pairs: Mapping[str, str]) -> DataFrame:
     """Fact rows whose copied attributes differ from the dimension; ``pairs`` maps fact to dimension column."""
     side = dim.select(*on, *[F.col(d).alias(f"_d_{f}") for f, d in pairs.items()])
-    wrong = F.array_compact(
-        F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_d_{f}")), F.lit(f)) for f in pairs])
+    wrong = listed(
+        *[F.when(~F.col(f).eqNullSafe(F.col(f"_d_{f}")), F.lit(f)) for f in pairs]
     )
     joined = fact.join(side, on=list(on)).withColumn("disagreeing", wrong)
     return joined.where(F.size("disagreeing") > 0).drop(*[f"_d_{f}" for f in pairs])
@@ -179,8 +180,8 @@ def projection_audit(
     left = package.select(*on, *[F.col(f).alias(f"_p_{f}") for f in fields], F.lit(True).alias("_has"))
     right = projection.select(*on, *[F.col(f).alias(f"_q_{f}") for f in fields], F.lit(True).alias("_got"))
     both = left.join(right, on=list(on), how="full_outer")
-    differing = F.array_compact(
-        F.array(*[F.when(~F.col(f"_p_{f}").eqNullSafe(F.col(f"_q_{f}")), F.lit(f)) for f in fields])
+    differing = listed(
+        *[F.when(~F.col(f"_p_{f}").eqNullSafe(F.col(f"_q_{f}")), F.lit(f)) for f in fields]
     )
     status = (
         F.when(F.col("_got").isNull(), "absent").when(F.col("_has").isNull(), "extra")

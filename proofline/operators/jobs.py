@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.cases import listed, lookup
 from proofline.functions.hashing import canonical_sha256, sha256
 from proofline.functions.protocol import (
     FIRST_PHASE, PACKAGE_FAILURES, PACKAGE_STATES, PHASES, STEPS, context_text, gate_of, waiting_kind,
@@ -96,7 +97,7 @@ def transition_log_audit(log: DataFrame, package: str, seq: str, state: str, at:
     repeat = F.col("_before").eqNullSafe(F.col(state))
     problem = F.when(repeat, "collapsed").otherwise(transition_problem(F.col("_before"), F.col(state)))
     missing = F.when(~repeat & F.col(at).isNull(), "missing-time")
-    return rows.select(package, seq, F.explode(F.array_compact(F.array(problem, missing))).alias("code"))
+    return rows.select(package, seq, F.explode(listed(problem, missing)).alias("code"))
 
 
 # --- job protocol ---------------------------------------------------------------------------
@@ -104,19 +105,16 @@ def transition_log_audit(log: DataFrame, package: str, seq: str, state: str, at:
 
 def _matched(responses: DataFrame, version: str) -> DataFrame:
     """Attach the phase a response is valid in and the phase it leads to (null when none)."""
-    phase, then = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for step in STEPS[version]:
-        hit = (
-            (F.col("kind") == step.kind) & (F.col("gate") == step.gate)
-            & (F.col("decision") == step.decision) & (F.col("return_to") == step.return_to)
-        )
-        phase, then = F.when(hit, step.phase).otherwise(phase), F.when(hit, step.then).otherwise(then)
+    answers = {"|".join((s.kind, s.gate, s.decision, s.return_to)): s for s in STEPS[version]}
+    token = F.concat_ws("|", "kind", "gate", "decision", "return_to")
+    phase = lookup(token, {k: s.phase for k, s in answers.items()})
+    then = lookup(token, {k: s.then for k, s in answers.items()})
     bound = sha256(context_text(F.col("job"), F.col("job_revision"))) == F.col("context_sha256")
     return responses.withColumns({"_phase": phase, "_then": then, "_bound": F.coalesce(bound, F.lit(False))})
 
 
-def applied_responses(responses: DataFrame, version: str = "v1") -> DataFrame:
-    """Ids of the responses a job accepts, without folding a job in one task.
+def applied_responses(matched: DataFrame) -> DataFrame:
+    """Ids of the responses a job accepts, from ``_matched`` rows, without folding a job in one task.
 
     A response fits exactly one phase and answers one revision, so whatever is
     accepted after it is determined: the first later response that answers the
@@ -125,7 +123,7 @@ def applied_responses(responses: DataFrame, version: str = "v1") -> DataFrame:
     chain that starts at the first valid answer to revision 1; pointer doubling
     walks it in logarithmically many joins on the unique response id.
     """
-    usable = _matched(responses, version).where("_bound and _phase is not null and job_revision >= 1")
+    usable = matched.where("_bound and _phase is not null and job_revision >= 1")
     targets = usable.select("job", F.col("job_revision").alias("_rev"), "_phase", "event_id", F.lit(1).alias("_side"),
                             F.col("event_id").alias("_target"))
     asks = usable.select("job", (F.col("job_revision") + 1).alias("_rev"), F.col("_then").alias("_phase"), "event_id",
@@ -150,8 +148,9 @@ def checkpoint_fold(responses: DataFrame, version: str = "v1") -> DataFrame:
     ``responses``: job, event_id (arrival order, unique), kind, gate, decision,
     return_to (empty strings when unused), job_revision, context_sha256.
     """
-    hits = applied_responses(responses, version).select(F.col("id").alias("event_id"), F.lit(1).cast("bigint").alias("_hit"))
-    rows = _matched(responses, version).join(hits, "event_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
+    matched = cut(_matched(responses, version))
+    hits = applied_responses(matched).select(F.col("id").alias("event_id"), F.lit(1).cast("bigint").alias("_hit"))
+    rows = matched.join(hits, "event_id", "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
     rows = rows.withColumn("_led", F.when(F.col("_hit") == 1, F.col("_then")))
     seq = scan(ordered(rows, ["job"], ["event_id"]), before_sum={"_done": "_hit"}, before_valid={"_was": "_led"}).plain()
     phase, revision = F.coalesce("_was", F.lit(FIRST_PHASE)), F.col("_done") + 1
@@ -249,10 +248,9 @@ def phase_funnel(jobs: DataFrame, phase: str) -> DataFrame:
 
 def state_integrity(jobs: DataFrame, context: Mapping[str, Column]) -> DataFrame:
     """Reasons why a persisted job state is corrupt; ``context`` names what its hash covers."""
-    reasons = F.array_compact(F.array(
+    reasons = listed(
         F.when(~F.coalesce(F.col("phase").isin(*PHASES), F.lit(False)), "unknown phase"),
         F.when(~F.coalesce(F.col("revision") >= 1, F.lit(False)), "revision"),
         F.when(~F.coalesce(F.col("material_revision") >= 1, F.lit(False)), "material revision"),
-        F.when(~F.col("context_sha256").eqNullSafe(canonical_sha256(context)), "context hash"),
-    ))
+        F.when(~F.col("context_sha256").eqNullSafe(canonical_sha256(context)), "context hash"),)
     return jobs.withColumn("reasons", reasons)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.cases import listed
 from proofline.functions.hashing import ZERO_HASH
 
 
@@ -19,11 +20,10 @@ def chain_audit(ledger: DataFrame, recomputed: Column, finals: DataFrame | None
     records = ledger.withColumn("_hash", recomputed).join(back, on=["ledger", "iteration"], how="left")
     start = F.col("iteration") == 1
     expected = F.when(start, F.lit(ZERO_HASH)).otherwise(F.col("_prior"))
-    codes = F.array_compact(F.array(
+    codes = listed(
         F.when(~start & F.col("_prior").isNull(), "order"),
         F.when(expected.isNotNull() & ~F.col("previous_hash").eqNullSafe(expected), "previous-hash"),
-        F.when(~F.col("chain_hash").eqNullSafe(F.col("_hash")), "chain-hash"),
-    ))
+        F.when(~F.col("chain_hash").eqNullSafe(F.col("_hash")), "chain-hash"),)
     found = records.select("ledger", "iteration", F.explode(codes).alias("code"))
     repeats = ledger.groupBy("ledger", "iteration").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     found = found.unionByName(repeats.select("ledger", "iteration", F.lit("repeated").alias("code")))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.functions.cases import lookup
 from proofline.functions.arrays import abs_diff_sum, mask_counts, mean_abs_diff, total
 from proofline.operators.sequence import (
     Ordered, exact_quantiles, islands, numbered, ordered, scan, union_all,
@@ -152,9 +153,7 @@ def robust_outliers(pairs: DataFrame, clip: str, floors: Mapping[str, float] = M
     """Pairs that leave the sequence's robust envelope; the loop pair is judged but not counted."""
     long = pairs.unpivot([clip, "from_frame", "to_frame", "is_loop"], list(floors), "metric", "value")
     envelope = robust_envelope(long.where(~F.col("is_loop")), [clip, "metric"], "value")
-    floor = F.lit(None).cast("double")
-    for name, limit in floors.items():
-        floor = F.when(F.col("metric") == name, F.lit(limit)).otherwise(floor)
+    floor = lookup(F.col("metric"), floors)
     judged = long.join(envelope, on=[clip, "metric"])
     return judged.where(beyond_envelope(F.col("value"), floor)).select(
         clip, "from_frame", "to_frame", "is_loop", "metric", "value", "median", "robust_scale"

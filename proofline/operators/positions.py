@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.cases import listed
 from proofline.operators.sequence import numbered, ordered, scan
 
 
@@ -55,12 +56,11 @@ def alias_resolution(positions: DataFrame, clip: str) -> DataFrame:
     concrete = positions.where("role <> 'alias'").groupBy(clip, F.col("id").alias("alias_of")).agg(F.min("index").alias("_at"))
     ends = positions.groupBy(clip).agg(F.max("index").alias("_end"))
     aliases = positions.where("role = 'alias'").join(concrete, on=[clip, "alias_of"], how="left").join(ends, on=clip)
-    reasons = F.array_compact(F.array(
+    reasons = listed(
         F.when(F.col("_at").isNull(), "no such concrete position"),
         F.when(F.col("_at") >= F.col("index"), "not earlier"),
         F.when(~F.coalesce(F.col("alias_kind").isin("hold", "closing"), F.lit(False)), "unknown kind"),
-        F.when((F.col("alias_kind") == "closing") & ~(F.col("loop") & (F.col("index") == F.col("_end"))), "closing must end a loop"),
-    ))
+        F.when((F.col("alias_kind") == "closing") & ~(F.col("loop") & (F.col("index") == F.col("_end"))), "closing must end a loop"),)
     return aliases.withColumn("reasons", reasons).where(F.size("reasons") > 0).drop("_at", "_end")
 
 
@@ -101,11 +101,10 @@ def duration_audit(positions: DataFrame, clips: DataFrame, clip: str, duration:
         F.count_if(d > limit).alias("too_long"), F.sum(duration).alias("measured_ms"),
     )
     joined = clips.join(stats, on=clip, how="left")
-    reasons = F.array_compact(F.array(
+    reasons = listed(
         F.when(~F.col("durations").eqNullSafe(F.col("positions")), "one duration per position"),
         F.when(F.col("not_positive") > 0, "not positive"), F.when(F.col("too_long") > 0, "too long"),
-        F.when(~F.col("measured_ms").eqNullSafe(F.col("total_ms")), "total not preserved"),
-    ))
+        F.when(~F.col("measured_ms").eqNullSafe(F.col("total_ms")), "total not preserved"),)
     return joined.select(clip, "durations", "measured_ms", reasons.alias("reasons"))
 
 
@@ -124,10 +123,9 @@ def role_topology(positions: DataFrame, approved: DataFrame, clip: str, order: S
         approved.select(clip, "ordinal", F.col("id").alias("_then")), on=[clip, "ordinal"], how="full_outer"
     ).where(~F.col("_now").eqNullSafe(F.col("_then"))).groupBy(clip).agg(F.count(F.lit(1)).alias("_moved"))
     joined = roles.join(moved, on=clip, how="left").withColumn("moved_keyframes", F.coalesce("_moved", F.lit(0)))
-    reasons = F.array_compact(F.array(
+    reasons = listed(
         F.when(F.col("keyframes") < 2, "at least two keyframes"),
         F.when(F.col("in_betweens") < 2, "at least two in-betweens"),
         F.when(F.col("concrete") < 1, "a concrete position"),
-        F.when(F.col("moved_keyframes") > 0, "approved keyframe order"),
-    ))
+        F.when(F.col("moved_keyframes") > 0, "approved keyframe order"),)
     return joined.withColumn("reasons", reasons).drop("_moved")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.cases import listed, lookup
 from proofline.functions.hashing import sha256
 from proofline.operators.sequence import numbered, ordered, scan
 
@@ -16,10 +17,7 @@ MAX_REVIEWS = 768
 
 
 def gate_rank(gate: Column) -> Column:
-    rank = F.lit(None).cast("int")
-    for name, value in GATE_RANK.items():
-        rank = F.when(gate == name, value).otherwise(rank)
-    return rank
+    return lookup(gate, GATE_RANK)
 
 
 def review_scope_audit(reviews: DataFrame, expected: DataFrame, hashes: DataFrame, package: str) -> DataFrame:
@@ -111,7 +109,7 @@ def review_decision(packets: DataFrame, bound_text: Column) -> DataFrame:
     """
     observations = F.flatten(F.transform("reviews", lambda r: r["observations"]))
     cited = F.flatten(F.transform("reviews", lambda r: r["evidence_ids"]))
-    problems = F.array_compact(F.array(
+    problems = listed(
         F.when(F.exists("reviews", lambda r: F.size(r["evidence_ids"]) == 0), "review without evidence"),
         F.when(F.size(F.array_except(cited, F.col("evidence"))) > 0, "unknown evidence"),
         F.when(F.exists(observations, lambda o: ~o["classification"].eqNullSafe(F.lit("reviewed"))), "not reviewed"),
@@ -120,8 +118,7 @@ def review_decision(packets: DataFrame, bound_text: Column) -> DataFrame:
         F.when(~F.col("status").isin("approved", "rejected"), "invalid status"),
         F.when(~F.col("subject_sha256").eqNullSafe(sha256(bound_text)), "decision hash mismatch"),
         F.when((F.size(observations) == 0)
-               | F.exists(observations, lambda o: ~o["disposition"].eqNullSafe(F.lit("acceptable"))), "not acceptable"),
-    ))
+               | F.exists(observations, lambda o: ~o["disposition"].eqNullSafe(F.lit("acceptable"))), "not acceptable"),)
     return packets.withColumn("problems", problems).withColumn("approved", (F.size("problems") == 0))
 
 
@@ -133,12 +130,11 @@ def artifact_lineage(
     a = artifacts.select(artifact_on, *[F.col(c).alias(f"_a_{k}") for k, c in artifact_pairs.items()], F.lit(True).alias("_a"))
     p = plan.select(plan_on, *[F.col(c).alias(f"_p_{k}") for k, c in plan_pairs.items()], F.lit(True).alias("_p"))
     joined = admissions.join(a, on=artifact_on, how="left").join(p, on=plan_on, how="left")
-    reasons = F.array_compact(F.array(
+    reasons = listed(
         F.when(F.col("_a").isNull(), "artifact missing"),
         F.when(F.col("_p").isNull(), "plan position missing"),
         *[F.when(F.col("_a").isNotNull() & ~F.col(k).eqNullSafe(F.col(f"_a_{k}")), f"{k} differs") for k in artifact_pairs],
         *[F.when(F.col("_p").isNotNull() & ~F.col(k).eqNullSafe(F.col(f"_p_{k}")), f"{k} differs") for k in plan_pairs],
-        F.when(~F.coalesce(policy_ok, F.lit(False)), "policy"),
-    ))
+        F.when(~F.coalesce(policy_ok, F.lit(False)), "policy"),)
     drop = ["_a", "_p", *[f"_a_{k}" for k in artifact_pairs], *[f"_p_{k}" for k in plan_pairs]]
     return joined.withColumn("reasons", reasons).drop(*drop)

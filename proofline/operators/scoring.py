@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.cases import listed, lookup
 from proofline.functions.arrays import abs_diff_sum, mask_counts
 from proofline.operators.sequence import exact_quantiles, numbered, ordered, union_all
 
@@ -96,9 +97,7 @@ def weighted_score(scores: DataFrame, gates: DataFrame, weights: Mapping[str, fl
     ``scores``: candidate, criterion, score (1..5 or null).  ``gates``: candidate,
     passed.  A candidate with a failed hard gate is not scored.
     """
-    weight = F.lit(None).cast("double")
-    for name, value in weights.items():
-        weight = F.when(F.col("criterion") == name, F.lit(float(value))).otherwise(weight)
+    weight = lookup(F.col("criterion"), {name: float(value) for name, value in weights.items()})
     failed = gates.groupBy("candidate").agg(F.count_if(~F.col("passed")).alias("failed_gates"))
     used = F.when(F.col("score").isNotNull(), F.col("_w"))
     sums = scores.withColumn("_w", weight).groupBy("candidate").agg(
@@ -158,7 +157,7 @@ def threshold_gates(df: DataFrame, rules: Sequence[Gate]) -> DataFrame:
         ):
             if limit is not None:
                 reasons.append(F.when(broken, F.format_string(f"{rule.metric} %.6f {word} {limit:.6f}", value.cast("double"))))
-    return df.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("passed", F.size("reasons") == 0)
+    return df.withColumn("reasons", listed(*reasons)).withColumn("passed", F.size("reasons") == 0)
 
 
 def worst_case_rollup(cases: DataFrame, scope: Sequence[str], minimums: Mapping[str, float], maximums: Mapping[str, float] | None = None) -> DataFrame:

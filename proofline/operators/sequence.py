@@ -77,11 +77,12 @@ def scan(
     position = F.struct(*seq.order)
     asc = Window.partitionBy(*by).orderBy(*seq.order)
     earlier = asc.rowsBetween(Window.unboundedPreceding, -1)
-    later = asc.rowsBetween(1, Window.unboundedFollowing)
+    # a frame that ends at unbounded following is rescanned per row; the mirrored order is linear
+    later = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in seq.order]).rowsBetween(Window.unboundedPreceding, -1)
     s_all = Window.partitionBy(*seq.keys)
     s_asc = s_all.orderBy(CHUNK)
     s_earlier = s_asc.rowsBetween(Window.unboundedPreceding, -1)
-    s_later = s_asc.rowsBetween(1, Window.unboundedFollowing)
+    s_later = s_all.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     s_whole = s_asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def boxed(col: str) -> Column:
@@ -119,8 +120,8 @@ def scan(
         add(out, F.last(col, ignorenulls=True).over(earlier), F.max_by(F.col(col), when_valid(col)),
             F.last(f"_s_{out}", ignorenulls=True).over(s_earlier), lambda l, c: F.coalesce(l, c))
     for out, col in after_valid.items():
-        add(out, F.first(col, ignorenulls=True).over(later), F.min_by(F.col(col), when_valid(col)),
-            F.first(f"_s_{out}", ignorenulls=True).over(s_later), lambda l, c: F.coalesce(l, c))
+        add(out, F.last(col, ignorenulls=True).over(later), F.min_by(F.col(col), when_valid(col)),
+            F.last(f"_s_{out}", ignorenulls=True).over(s_later), lambda l, c: F.coalesce(l, c))
     for out, col in total.items():
         add(out, None, F.sum(col), F.sum(f"_s_{out}").over(s_all), lambda l, c: c)
     for out, col in first.items():

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.cases import listed
 from proofline.functions.text import count_matches, lines, strip, word_count
 from proofline.operators.sequence import islands, ordered, scan
 
@@ -47,6 +48,14 @@ SENSITIVE = {
     "credential": r"(?i)\b(?:password|passwd|secret|api[_-]?key|access[_-]?token|token)\s*[:=]\s*\S+|\bAKIA[0-9A-Z]{16}\b|\bghp_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{16,}",
 }
 REDACTED = "[redacted]"
+# A cheap literal every match of the rule contains, so most texts never reach the pattern.
+SENSITIVE_HINTS = {
+    "cookie": ("cookie",),
+    "authorization": ("authorization", "bearer"),
+    "account": ("@",),
+    "signed-url": ("://",),
+    "credential": ("passw", "secret", "key", "token", "akia", "ghp_", "sk-"),
+}
 
 
 def front_matter(docs: DataFrame, text: str) -> DataFrame:
@@ -69,7 +78,7 @@ def front_matter(docs: DataFrame, text: str) -> DataFrame:
 
 def required_terms(docs: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     low = F.lower(text)
-    absent = F.array_compact(F.array(*[F.when(~low.contains(t.lower()), F.lit(t)) for t in terms]))
+    absent = listed(*[F.when(~low.contains(t.lower()), F.lit(t)) for t in terms])
     return docs.withColumn("missing_terms", absent)
 
 
@@ -171,18 +180,34 @@ def provenance_labels(claims: DataFrame, doc: str, text: str, stale_before: str)
     )
 
 
+def _hinted(rule: str) -> Column:
+    """Whether the lower-cased text can match a rule at all; rules without hints always can."""
+    hints = SENSITIVE_HINTS.get(rule)
+    if hints is None:
+        return F.lit(True)
+    found = F.lit(False)
+    for hint in hints:
+        found = found | F.col("_low").contains(hint)
+    return found
+
+
 def sensitive_scan(df: DataFrame, text: str, rules: Mapping[str, str] = SENSITIVE) -> DataFrame:
     """Number of hits per kind of sensitive value, never the values themselves."""
-    out = df.select("*", *[count_matches(F.col(text), p).alias(f"hits_{n.replace('-', '_')}") for n, p in rules.items()])
+    low = df.withColumn("_low", F.lower(text))
+    out = low.select("*", *[
+        F.when(_hinted(n), count_matches(F.col(text), p)).otherwise(F.lit(0).cast("bigint")).alias(f"hits_{n.replace('-', '_')}")
+        for n, p in rules.items()
+    ]).drop("_low")
     hits = sum((F.col(f"hits_{n.replace('-', '_')}") for n in rules), F.lit(0))
     return out.withColumn("hits", hits)
 
 
 def redact(df: DataFrame, text: str, rules: Mapping[str, str] = SENSITIVE) -> DataFrame:
-    clean = F.col(text)
-    for pattern in rules.values():
-        clean = F.regexp_replace(clean, pattern, REDACTED.replace("[", r"\[").replace("]", r"\]"))
-    return df.withColumn("redacted", clean)
+    out = df.withColumn("_low", F.lower(text)).withColumn("redacted", F.col(text))
+    for name, pattern in rules.items():
+        out = out.withColumn("redacted", F.when(
+            _hinted(name), F.regexp_replace("redacted", pattern, REDACTED)).otherwise(F.col("redacted")))
+    return out.drop("_low")
 
 
 def inaudible_markers(docs: DataFrame, text: str) -> DataFrame:

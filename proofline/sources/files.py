@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofline.functions.documents import kind_at, strict_variant
+from proofline.functions.documents import kind_at, with_document
 
 # The largest JSON document, and files a manifest never lists.
 LARGEST_DOCUMENT = 8 * 1024 * 1024
@@ -27,7 +27,7 @@ def read_documents(spark: SparkSession, path: str, schema: str | T.StructType, l
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("raw")
     )
-    read = raw.withColumn("_v", strict_variant("raw"))
+    read = with_document(raw, "raw")
     error = F.when(F.col("bytes") > limit, "too large").when(F.col("_v").isNull(), "not JSON").when(
         ~kind_at(F.col("_v")).startswith("OBJECT<"), "not an object")
     parsed = F.from_json("raw", schema)
