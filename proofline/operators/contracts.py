@@ -180,7 +180,16 @@ def value_domain_audit(docs: DataFrame, raw: str, rules: Sequence[ValueRule], ca
         "integer": lambda p: value_at(v, p, "bigint"), "array": lambda p: F.size(value_at(v, p, "array<variant>")),
         "point": lambda p: value_at(v, p, "array<bigint>"), "box": lambda p: value_at(v, p, "array<bigint>"),
     }
-    parts = [c for i, r in enumerate(rules) for c in (kind_at(v, r.path).alias(f"_k{i}"), readers[r.kind](r.path).alias(f"_x{i}"))]
+    # the parser turns 3.0 into 3, so integers are also checked as they are written
+    written = {"integer": r"^-?\d+$", "point": r"^\[-?\d+(,-?\d+)*\]$", "box": r"^\[-?\d+(,-?\d+)*\]$"}
+
+    def kind_of(rule: ValueRule) -> Column:
+        kind = kind_at(v, rule.path)
+        if rule.kind not in written:
+            return kind
+        return F.when(F.get_json_object(raw, f"$.{rule.path}").rlike(written[rule.kind]), kind)
+
+    parts = [c for i, r in enumerate(rules) for c in (kind_of(r).alias(f"_k{i}"), readers[r.kind](r.path).alias(f"_x{i}"))]
     typed = parsed.select(*docs.columns, F.inline(F.array(F.struct(*parts))))
 
     def good(i: int, rule: ValueRule) -> Column:
