@@ -189,8 +189,8 @@ def _side(stats: DataFrame, prefix: str) -> DataFrame:
     return stats.select("clip", *[F.col(c).alias(f"{prefix}_{c}") for c in stats.columns if c != "clip"])
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """Score pairs that carry ``s_*`` and ``e_*`` frame statistics."""
+def _scored(pairs: DataFrame, bounded: bool = False) -> DataFrame:
+    """Score pairs that carry ``s_*`` and ``e_*`` frame statistics, up to ``s_bound`` when asked."""
     span = F.col("e_i") - F.col("s_i")
     pose = mean_abs_diff(F.col("s_f"), F.col("e_f"))
     velocity = F.abs(F.col("s_speed_out") - F.col("e_speed_in"))
@@ -200,10 +200,11 @@ def _scored(pairs: DataFrame) -> DataFrame:
     measured = pairs.where(span + 1 >= F.col("s_least_frames")).select(
         "clip", F.col("s_i").alias("start_frame"), F.col("e_i").alias("end_frame"), (span + 1).alias("frame_count"),
         F.col("s_n").alias("n"), pose.alias("pose_distance"), velocity.alias("velocity_distance"),
-        energy.alias("motion_energy"), "s_typical", edge.alias("_edge"),
+        energy.alias("motion_energy"), "s_typical", edge.alias("_edge"), *(["s_bound"] if bounded else []),
     )
     score = F.col("pose_distance") + F.col("velocity_distance") * 0.5 + still + F.col("_edge")
-    return measured.withColumn("score", score).drop("s_typical", "_edge")
+    out = measured.withColumn("score", score)
+    return (out.where(F.col("score") <= F.col("s_bound")) if bounded else out).drop("s_typical", "_edge", "s_bound")
 
 
 def _best(cands: DataFrame, keep: int) -> DataFrame:
@@ -245,7 +246,7 @@ def cycle_candidates(stats: DataFrame, keep: int = LISTED_CYCLES) -> DataFrame:
         & (F.abs(F.col("e_d1") - F.col("s_d1")) <= F.col("s_width"))
         & (F.abs(F.col("e_d2") - F.col("s_d2")) <= F.col("s_width"))
     )
-    inside = _scored(left.join(right, on=["clip", "bucket"]).where(close))
+    inside = _scored(left.join(right, on=["clip", "bucket"]).where(close), bounded=True)
     everything = touching.unionByName(inside)
     best = _best(everything, keep)
     full = touching.where("start_frame = 0 and end_frame = n - 1").join(

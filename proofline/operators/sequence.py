@@ -44,7 +44,9 @@ class Ordered:
 
 
 def ordered(df: DataFrame, keys: Seq[str], order: Seq[str], parts: int | None = None) -> Ordered:
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range-partition and fix the chunks; size them with ``parts`` or ``spark.proofline.scanPartitions``."""
+    conf = df.sparkSession.conf
+    n = parts or int(conf.get("spark.proofline.scanPartitions", None) or conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in (*keys, *order)])
     return Ordered(cut(ranged.withColumn(CHUNK, F.spark_partition_id())), tuple(keys), tuple(order))
 
