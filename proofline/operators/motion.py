@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofline.functions.cases import lookup
 from proofline.functions.arrays import abs_diff_sum, mask_counts, mean_abs_diff, total
 from proofline.operators.sequence import (
-    Ordered, exact_quantiles, islands, numbered, ordered, scan, union_all,
+    Ordered, exact_quantiles, islands, ordered, scan,
 )
 from proofline.session import cut
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions.cases import listed, lookup
 from proofline.functions.arrays import abs_diff_sum, mask_counts
-from proofline.operators.sequence import exact_quantiles, numbered, ordered, union_all
+from proofline.operators.sequence import exact_quantiles
 
 # Rubric size, bands, default criterion weights and the frozen synthetic gates.
 RUBRIC_DIMENSIONS = 16

@@ -1,15 +1,18 @@
 """Ordered scans that stay parallel when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task.  Here rows
-are range-partitioned on (keys, order), so a hot key is spread over many chunks
-of similar size.  Each scan then works in two levels:
+A plain ``Window.partitionBy(key)`` puts a whole key into one task.  ``ordered``
+first counts the rows of the largest key, a cheap aggregate over the key columns.
+While that stays below a limit, scans are plain windows and cost one shuffle.
+
+Beyond the limit rows are range-partitioned on (keys, order), so a hot key is
+spread over many chunks of similar size, and each scan works in two levels:
 
 1. a window inside every (key, chunk), which is bounded by the chunk size;
 2. a window over one summary row per (key, chunk), at most ``parts`` rows for a
    single hot key, that yields what each chunk inherits from its neighbours.
 
-The inherited values are joined back on (keys, chunk).  The chunk numbers are
-fixed by a reliable checkpoint, so both levels always see the same chunks.
+The inherited values are joined back on (keys, chunk).  The chunked rows are
+written once to the shared folder, so both levels always see the same chunks.
 Keys must not be null and (keys, order) must be unique.
 """
 
@@ -25,15 +28,18 @@ from pyspark.sql import functions as F
 from proofline.session import cut
 
 CHUNK = "_chunk"
+# Rows of one key that a single task may sort; ``spark.proofline.maxRowsPerKey`` overrides it.
+MAX_ROWS_PER_KEY = 2_000_000
 
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows with fixed chunk numbers for one (keys, order) arrangement."""
+    """Rows arranged by (keys, order), either in chunks or with every key known to be small."""
 
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    chunked: bool = True
 
     def derive(self, df: DataFrame) -> Ordered:
         """Same arrangement over a frame derived row by row from this one."""
@@ -44,8 +50,16 @@ class Ordered:
 
 
 def ordered(df: DataFrame, keys: Seq[str], order: Seq[str], parts: int | None = None) -> Ordered:
-    """Range-partition and fix the chunks; size them with ``parts`` or ``spark.proofline.scanPartitions``."""
+    """Arrange rows for scans; ``parts`` or ``spark.proofline.scanPartitions`` sets the number of chunks.
+
+    Giving ``parts`` skips the size check and always makes chunks.
+    """
     conf = df.sparkSession.conf
+    if parts is None:
+        limit = int(conf.get("spark.proofline.maxRowsPerKey", str(MAX_ROWS_PER_KEY)))
+        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= limit:
+            return Ordered(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), chunked=False)
     n = parts or int(conf.get("spark.proofline.scanPartitions", None) or conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in (*keys, *order)])
     return Ordered(cut(ranged.withColumn(CHUNK, F.spark_partition_id())), tuple(keys), tuple(order))
@@ -75,6 +89,8 @@ def scan(
     before_valid, after_valid = dict(before_valid or {}), dict(after_valid or {})
     first, last = dict(first or {}), dict(last or {})
 
+    if not seq.chunked:
+        return _plain_scan(seq, prev, next, before_sum, before_max, before_valid, after_valid, total, first, last)
     by = [*seq.keys, CHUNK]
     position = F.struct(*seq.order)
     asc = Window.partitionBy(*by).orderBy(*seq.order)
@@ -144,6 +160,28 @@ def scan(
     return seq.derive(joined.select(*kept, *[expr.alias(name) for name, expr in final.items()]))
 
 
+def _plain_scan(seq, prev, next, before_sum, before_max, before_valid, after_valid, total, first, last) -> Ordered:
+    """The same columns as plain windows, for keys that one task can hold."""
+    group = Window.partitionBy(*seq.keys)
+    asc = group.orderBy(*seq.order)
+    earlier = asc.rowsBetween(Window.unboundedPreceding, -1)
+    later = group.orderBy(*[F.desc(c) for c in seq.order]).rowsBetween(Window.unboundedPreceding, -1)
+    whole = asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    made = {
+        **{o: F.lag(c).over(asc) for o, c in prev.items()},
+        **{o: F.lead(c).over(asc) for o, c in next.items()},
+        **{o: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for o, c in before_sum.items()},
+        **{o: F.max(c).over(earlier) for o, c in before_max.items()},
+        **{o: F.last(c, ignorenulls=True).over(earlier) for o, c in before_valid.items()},
+        **{o: F.last(c, ignorenulls=True).over(later) for o, c in after_valid.items()},
+        **{o: F.sum(c).over(group) for o, c in total.items()},
+        **{o: F.first(c).over(whole) for o, c in first.items()},
+        **{o: F.last(c).over(whole) for o, c in last.items()},
+    }
+    kept = [c for c in seq.df.columns if c not in made]
+    return seq.derive(seq.df.select(*kept, *[column.alias(name) for name, column in made.items()]))
+
+
 def numbered(seq: Ordered, name: str = "rn", size: str | None = None) -> Ordered:
     """1-based row number inside each key, optionally with the key's row count."""
     base = seq.derive(seq.df.withColumn("_one", F.lit(1).cast("bigint")))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SCRATCH = "proofline-scratch"
+
 
 def build_session(app: str = "proofline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, skew joins)."""
@@ -47,15 +49,29 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: fixes the rows and ends the lineage."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to a table in the shared folder and continue from there.
+
+    This fixes the rows and ends the lineage.  Unlike a checkpointed RDD the table
+    is columnar, so later branches read only the columns they need, and its size
+    is known to the optimizer.  ``drop_scratch`` removes such tables after a job.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for tables a job writes and re-reads."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark).rstrip('/')}/{SCRATCH}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote below the shared folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/{SCRATCH}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:

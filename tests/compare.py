@@ -1,6 +1,7 @@
 """Run registered queries beside their SQL twins and compare every value.
 
 Usage: python tests/compare.py [folder] [name prefix ...]
+MAX_ROWS_PER_KEY=0 forces the chunked scans; FAMILIES limits the plan modules.
 """
 
 from __future__ import annotations
@@ -87,6 +88,8 @@ def main(argv: list[str]) -> int:
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if "MAX_ROWS_PER_KEY" in os.environ:  # 0 forces the chunked scans everywhere
+        spark.conf.set("spark.proofline.maxRowsPerKey", os.environ["MAX_ROWS_PER_KEY"])
     con = connect(folder)
     queries: dict = {}
     oracle: dict = {}

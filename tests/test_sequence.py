@@ -20,7 +20,7 @@ def frame(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("parts", [None, 1, 7])
 def test_scan_equals_windows(rows, parts):
     got = scan(
         ordered(rows, ["k"], ["o"], parts), prev={"p": "v"}, next={"n": "o"}, before_sum={"s": "o"}, before_max={"m": "v"},
@@ -54,6 +54,16 @@ def test_numbering_without_keys(rows):
     assert got.where("rn <> o + 1 or n <> 3000").count() == 0
 
 
+def test_a_large_key_switches_to_chunks(spark, rows):
+    assert not ordered(rows, ["k"], ["o"]).chunked
+    spark.conf.set("spark.proofline.maxRowsPerKey", "900")
+    try:
+        seq = ordered(rows, ["k"], ["o"])
+        assert seq.chunked and seq.df.select(CHUNK).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.proofline.maxRowsPerKey")
+
+
 def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
     data = [(int(i % 3), float(v)) for i, v in enumerate(rng.integers(0, 40, 400) / 8)]
