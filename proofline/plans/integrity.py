@@ -14,7 +14,7 @@ from proofline.functions.hashing import (
 )
 from proofline.operators import contracts, integrity as ops, ledger
 from proofline.plans.registry import Registry
-from proofline.session import load
+from proofline.session import load, spread
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -37,7 +37,7 @@ def b01(spark, d):
     from orders""")
 def b01_floats(spark, d):
     cols = {c: F.col(c) for c in ("o_totalprice", "o_orderkey")}
-    return load(spark, d, "orders").select(
+    return spread(load(spark, d, "orders")).select(
         "o_orderkey", canonical_json_floats(cols, {"o_totalprice"}).alias("canonical")
     )
 
@@ -599,6 +599,6 @@ def b36(spark, d):
     rules = [rule("name", "string"), rule("loop", "boolean"), rule("count", "integer", minimum=3),
              rule("flag", "enum", domain=("A", "N")), rule("items", "array", minimum=1, maximum=5),
              rule("anchor", "point"), rule("box", "box")]
-    rows = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", raw.alias("raw"))
+    rows = spread(load(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", raw.alias("raw"))
     return contracts.value_domain_audit(rows, "raw", rules, canvas=(20, 15)).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("breaches", ",").alias("breaches"))

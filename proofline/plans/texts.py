@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from proofline.operators import textaudit as ops
 from proofline.plans.registry import Registry
-from proofline.session import load
+from proofline.session import load, spread
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -18,7 +18,7 @@ QUERIES, ORACLE = R.queries, R.oracle
 def e01(spark, d):
     front = F.concat(F.lit('---\nname: "doc-'), F.col("doc_id").cast("string"), F.lit('"\nplain line\n lang : '), F.col("lang"), F.lit(": x\n"),
                      F.expr("if(doc_id % 4 = 0, \"name: 'second'\\n\", '')"), F.lit("---\n"))
-    docs = load(spark, d, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 != 0, front).otherwise(""), F.col("text")).alias("text"))
+    docs = spread(load(spark, d, "documents")).select("doc_id", F.concat(F.when(F.col("doc_id") % 3 != 0, front).otherwise(""), F.col("text")).alias("text"))
     out = ops.front_matter(docs, "text")
 
     def value(key):
@@ -32,7 +32,7 @@ def e01(spark, d):
     select doc_id, array_to_string(list_filter(['The', 'de', 'UND', 'été', 'con', 'license'], lambda t: not contains(lower(text), lower(t))), ',') as missing_terms
     from documents""")
 def e02(spark, d):
-    out = ops.required_terms(load(spark, d, "documents"), "text", ["The", "de", "UND", "été", "con", "license"])
+    out = ops.required_terms(spread(load(spark, d, "documents")), "text", ["The", "de", "UND", "été", "con", "license"])
     return out.select("doc_id", F.array_join("missing_terms", ",").alias("missing_terms"))
 
 
@@ -40,7 +40,7 @@ def e02(spark, d):
     select doc_id, len(regexp_extract_all(text, '[–—''-]*[\p{L}\p{N}_][\p{L}\p{N}_–—''-]*')) as words,
            len(regexp_extract_all(text, '[–—''-]*[\p{L}\p{N}_][\p{L}\p{N}_–—''-]*')) > 300 as over_budget, length(text) < 120 as vague from documents""")
 def e03(spark, d):
-    out = ops.word_budget(load(spark, d, "documents"), "text", "text", 300)
+    out = ops.word_budget(spread(load(spark, d, "documents")), "text", "text", 300)
     return out.select("doc_id", "words", "over_budget", "vague")
 
 
@@ -49,21 +49,21 @@ def e03(spark, d):
 def e04(spark, d):
     text = F.concat(F.lit("\ufeff# T\r\n\n"), F.expr("repeat('## S\\n', cast(doc_id % 4 as int))"), F.lit("####### no\n#tag\n \t### x\n#\n"),
                     F.expr("if(doc_id % 5 = 0, '######\\tlast\\n', '')"), F.regexp_replace("text", "(?m)^\\s*#", "="))
-    out = ops.heading_levels(load(spark, d, "documents").select("doc_id", text.alias("text")), "text")
+    out = ops.heading_levels(spread(load(spark, d, "documents")).select("doc_id", text.alias("text")), "text")
     return out.select("doc_id", F.array_join("levels", ",").alias("levels"))
 
 
 @R.add("e04_html_heading_levels", r"""
     select page_id, array_to_string(regexp_extract_all(html, '(?i)<h([1-6])[\s>]', 1), ',') as levels from pages""")
 def e04_html(spark, d):
-    return ops.html_heading_levels(load(spark, d, "pages"), "html").select("page_id", F.array_join("levels", ",").alias("levels"))
+    return ops.html_heading_levels(spread(load(spark, d, "pages")), "html").select("page_id", F.array_join("levels", ",").alias("levels"))
 
 
 @R.add("e05_parallel_structure", r"""
     with h as (select page_id, array_to_string(regexp_extract_all(html, '(?i)<h([1-6])[\s>]', 1), ',') as l from pages)
     select a.page_id // 2 as pair, a.l <> '' and a.l = b.l as parallel from h a join h b on b.page_id = a.page_id + 1 where a.page_id % 2 = 0""")
 def e05(spark, d):
-    levels = ops.html_heading_levels(load(spark, d, "pages"), "html").withColumn("pair", F.expr("div(page_id, 2)"))
+    levels = ops.html_heading_levels(spread(load(spark, d, "pages")), "html").withColumn("pair", F.expr("div(page_id, 2)"))
     return ops.parallel_structure(levels.where("page_id % 2 = 0"), levels.where("page_id % 2 = 1"), ["pair"])
 
 
@@ -72,7 +72,7 @@ def e05(spark, d):
            case when o_orderkey % 3 <> 0 then o_orderpriority else '' end as track, case when o_orderkey % 3 = 0 then o_orderstatus else '' end as category,
            'A ' || o_custkey || ': b' as defect, sha256(cast(o_orderkey as varchar)) as chain_hash, 'K1, K' || o_custkey as evidence_keys from orders""")
 def e06(spark, d):
-    orders = load(spark, d, "orders")
+    orders = spread(load(spark, d, "orders"))
     head = F.format_string("# Iteration %04d — New\n\n", F.col("o_orderkey") % 10000)
     track = F.format_string("- **Track %02d:** %s\n- **Pass 01:** p\n", F.col("o_custkey") % 100, "o_orderpriority")
     text = F.concat(head, F.when(F.col("o_orderkey") % 3 != 0, track).otherwise(F.concat(F.lit("- **Category:** "), F.col("o_orderstatus"), F.lit("\n"))),
@@ -98,7 +98,7 @@ MARKUP = """case when page_id % 4 = 0 then '<svg width="9" onLoad="x()"><a xlink
              and len(regexp_extract_all(h, '(?i)<[A-Za-z][^<>]*\s(?:[\w.-]+:)?on\w+\s*=')) = 0
              and len(list_filter(refs, lambda u: not starts_with(u, '#') and not starts_with(u, 'data:'))) = 0 as self_contained from r""")
 def e07(spark, d):
-    pages = load(spark, d, "pages").select("page_id", F.concat("html", F.expr(MARKUP)).alias("html"))
+    pages = spread(load(spark, d, "pages")).select("page_id", F.concat("html", F.expr(MARKUP)).alias("html"))
     return ops.markup_safety(pages, "html").drop("html")
 
 
@@ -109,7 +109,7 @@ def e08(spark, d):
     suffix = F.expr("element_at(array('.png', '.JPG', '.webp', '.png', '.gif', '.svg', '.jpeg'), cast(doc_id % 7 as int) + 1)")
     head = F.expr("""unhex(element_at(array('89504E470D0A1A0A', 'FFD8FF', '524946460011223357454250', 'FFD8', '47494638', '', 'FFD8'), cast(doc_id % 7 as int) + 1))""")
     content = F.when(F.col("doc_id") % 7 == 5, F.expr("x''")).otherwise(F.concat(head, F.encode("text", "utf-8")))
-    files = load(spark, d, "documents").select("doc_id", F.concat(F.lit("icons/i"), F.col("doc_id").cast("string"), suffix).alias("path"), content.alias("content"))
+    files = spread(load(spark, d, "documents")).select("doc_id", F.concat(F.lit("icons/i"), F.col("doc_id").cast("string"), suffix).alias("path"), content.alias("content"))
     return ops.signature_audit(files, "path", "content").select("doc_id", "signature_status")
 
 
@@ -125,8 +125,8 @@ PROMPT = """text || case when {id} % 5 = 0 then ' For [Target audience] and [Bud
     select *, case when placeholders > 0 then 'provisional' else 'copy-ready' end as state,
            case when placeholders > 0 then questions between 1 and 3 else questions = 0 end as questions_fit from c""")
 def e09(spark, d):
-    docs = load(spark, d, "documents").select(F.lit("documents").alias("place"), F.col("doc_id").alias("id"), F.expr(PROMPT.format(id="doc_id")).alias("t"))
-    turns = load(spark, d, "conversations").select(
+    docs = spread(load(spark, d, "documents")).select(F.lit("documents").alias("place"), F.col("doc_id").alias("id"), F.expr(PROMPT.format(id="doc_id")).alias("t"))
+    turns = spread(load(spark, d, "conversations")).select(
         F.lit("conversations").alias("place"), F.expr("conv_id * 1000 + turn").alias("id"), F.expr(PROMPT.format(id="conv_id")).alias("t"))
     return ops.placeholder_audit(docs.union(turns), "t").drop("t")
 
@@ -140,7 +140,7 @@ LABELS = """case (conv_id + turn) % 6 when 0 then '[Verified 2024-0' || (turn %
            count(*) filter (k = 3) as unknown, count(*) filter (k > 3) as badly_labelled, count(*) filter (k = 0 and turn < 3) as stale
     from (select conv_id, turn, (conv_id + turn) % 6 as k from conversations) group by 1""")
 def e10(spark, d):
-    claims = load(spark, d, "conversations").select("conv_id", F.expr(LABELS).alias("claim"))
+    claims = spread(load(spark, d, "conversations")).select("conv_id", F.expr(LABELS).alias("claim"))
     return ops.provenance_labels(claims, "conv_id", "claim", "2024-04-01 00:00")
 
 
@@ -159,7 +159,7 @@ PLANTED = """text || case when doc_id % 50 = 1 then ' Cookie: sid=abc; Authoriza
     with p as (select doc_id, {PLANTED} as t from documents), c as (select doc_id, {sensitive_sql('t')} from p)
     select *, hits_cookie + hits_authorization + hits_account + hits_signed_url + hits_credential as hits from c""")
 def e11(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.expr(PLANTED).alias("t"))
+    docs = spread(load(spark, d, "documents")).select("doc_id", F.expr(PLANTED).alias("t"))
     return ops.sensitive_scan(docs, "t").drop("t")
 
 
@@ -172,7 +172,7 @@ def redacted_sql(expression: str) -> str:
 
 @R.add("e11_redact", f"select doc_id, sha256({redacted_sql('(' + PLANTED + ')')}) as redacted_sha256 from documents")
 def e11_redact(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.expr(PLANTED).alias("t"))
+    docs = spread(load(spark, d, "documents")).select("doc_id", F.expr(PLANTED).alias("t"))
     return ops.redact(docs, "t").select("doc_id", F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
 
 
@@ -182,7 +182,7 @@ def e11_redact(spark, d):
 def e12(spark, d):
     mark = F.when(F.col("doc_id") % 4 == 0, F.format_string("[inaudible 00:00:%02d] ", F.col("doc_id") % 60)).otherwise("")
     later = F.when(F.col("doc_id") % 4 == 0, F.format_string(" [inaudible 01:00:%02d]", F.col("doc_id") % 60)).otherwise(" [inaudible 1:00]")
-    out = ops.inaudible_markers(load(spark, d, "documents").select("doc_id", F.concat(mark, "text", later).alias("text")), "text")
+    out = ops.inaudible_markers(spread(load(spark, d, "documents")).select("doc_id", F.concat(mark, "text", later).alias("text")), "text")
     return out.select("doc_id", F.array_join("marker_seconds", ",").alias("marker_seconds"), "markers")
 
 
@@ -195,6 +195,6 @@ def e12(spark, d):
            cast(sum(400 + line % 5 * 300) as bigint) as span_ms, sum(length(t)) * 1000.0 > sum(400 + line % 5 * 300) * 30 as cannot_fit
     from r group by 1, 2 having count(*) > 1""")
 def e13(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    rows = spread(load(spark, d, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     cues = rows.select("doc_id", F.col("line").cast("bigint").alias("line"), "t", (F.lit(400) + F.col("line") % 5 * 300).cast("bigint").alias("ms"))
     return ops.repeat_collapse_candidates(cues, ["doc_id"], "line", "t", "ms", 30.0)
