@@ -11,13 +11,12 @@ _SEPARATOR = "\x1f"
 
 
 def listed(*cases: Column) -> Column:
-    """Array of the non-null strings among ``cases``, in order.
+    """Array of the non-null, non-empty strings among ``cases``, in order.
 
     Joining and splitting text is compiled; ``array_compact`` over the same cases
     would evaluate every condition in interpreted mode.
     """
-    joined = F.concat_ws(_SEPARATOR, *cases)
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, _SEPARATOR))
+    return F.array_remove(F.split(F.concat_ws(_SEPARATOR, *cases), _SEPARATOR), "")
 
 
 def lookup(key: Column, values: Mapping, default: Column | None = None) -> Column:

@@ -21,8 +21,8 @@ def build_session(app: str = "proofline", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.checkpoint.compress": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # beyond 8000 bytes of bytecode the JVM interprets a method, so large fused stages fall back
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     for key, value in settings.items():
