@@ -118,7 +118,7 @@ def role_topology(positions: DataFrame, approved: DataFrame, clip: str, order: S
         F.count_if(F.col("role") == "in-between").alias("in_betweens"),
         F.count_if(F.col("role") != "alias").alias("concrete"),
     )
-    now = numbered(ordered(positions.where("role = 'keyframe'").select(clip, *order, "id"), [clip], order), "ordinal").plain()
+    now = numbered(ordered(positions.where("role = 'keyframe'").select(*dict.fromkeys([clip, *order, "id"])), [clip], order), "ordinal").plain()
     moved = now.select(clip, "ordinal", F.col("id").alias("_now")).join(
         approved.select(clip, "ordinal", F.col("id").alias("_then")), on=[clip, "ordinal"], how="full_outer"
     ).where(~F.col("_now").eqNullSafe(F.col("_then"))).groupBy(clip).agg(F.count(F.lit(1)).alias("_moved"))
