@@ -116,3 +116,60 @@ def op6_weighted_mix(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents", "doc_id", "source", "text")
     return mix(docs, word_count(F.col("text"))).drop("source")
+
+
+@query("op8_simhash_components")
+def op8_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    from proofline.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op9_redirect_equivalence", r"""
+with recursive parts as (
+  select page_id, url, html, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), hosts as (
+  select *, regexp_extract(rest, '^[^/?#]*') as h, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts
+), rules(verdict, host, path) as (
+  values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), judged as (
+  select p.*, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    (select max(struct_pack(n := length(r.host || r.path), rule := r.host || r.path, verdict := r.verdict)) from rules r
+      where (p.host_lower = r.host or ends_with(p.host_lower, '.' || r.host)) and starts_with(p.path, r.path)) as own
+  from (select *, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host_lower from hosts) p
+), edges as (
+  select url as a, regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1) as b from pages
+  where html like '%<link rel="canonical" href="%'
+), walk(a, b) as (
+  select a, b from edges union select b, a from edges
+  union select w.a, e.b from walk w join (select a, b from edges union select b, a from edges) e on w.b = e.a
+), near as (
+  select w.a, bool_or(j.own.verdict = 'allow') as allowed, bool_or(j.own.verdict = 'block') as blocked from walk w join judged j on j.url = w.b group by w.a
+)
+select j.page_id, j.host, j.path, j.own.rule as rule,
+  coalesce(j.own.verdict, case when n.blocked and not coalesce(n.allowed, false) then 'block' end, 'allow') as verdict
+from judged j left join near n on n.a = j.url
+""")
+def op9_redirect_equivalence(spark: SparkSession, folder: str) -> DataFrame:
+    from proofline.llm.urls import judge_urls
+
+    return judge_urls(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query("op10_exact_top_k", """
+with clean as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+  from (select * from clean where vec_id % 50 = 0) q join clean c on c.vec_id != q.vec_id and len(c.v) = len(q.v)
+), ranked as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+""")
+def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from proofline.llm.vectors import top_k
+
+    return top_k(table(spark, folder, "embeddings", "vec_id", "embedding"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
