@@ -173,3 +173,10 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     from proofline.llm.vectors import top_k
 
     return top_k(table(spark, folder, "embeddings", "vec_id", "embedding"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+@query("op3_robust_outliers")
+def op3_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    from proofline.llm.quality import judge
+
+    return judge(table(spark, folder, "documents", "doc_id", "text", "lang", "source")).drop("distance")
