@@ -180,3 +180,17 @@ def op3_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     from proofline.llm.quality import judge
 
     return judge(table(spark, folder, "documents", "doc_id", "text", "lang", "source")).drop("distance")
+
+
+@query("op7_boosted_pii")
+def op7_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from proofline.llm.pii import KINDS, find_personal_data, told
+
+    found = find_personal_data(table(spark, folder, "documents", "doc_id", "text"))
+    number = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    return found.select(
+        "doc_id", *(number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(told(F.col("base")), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+    )
