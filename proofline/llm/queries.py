@@ -194,3 +194,10 @@ def op7_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *(number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(told(F.col("base")), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"),
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, folder)
