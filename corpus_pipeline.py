@@ -28,11 +28,16 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.withColumn(_ROW, mark)
 
 
+def _without(marked: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose mark is not listed.  The list grows with the corpus, so it is merged at every size and never broadcast."""
+    return marked.join(marks.hint("merge"), _ROW, "left_anti")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the robust outlier test keep."""
     marked = _marked(docs)
     rejected = cut(judge(marked, key=_ROW).where("not kept").select(_ROW).distinct())
-    return marked.join(rejected, _ROW, "left_anti").drop(_ROW)
+    return _without(marked, rejected).drop(_ROW)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +45,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     marked = _marked(docs)
     found = cut(near_duplicates(marked, key=_ROW).select(_ROW, (F.col(_ROW) == F.col("component_id")).alias("stays")))
     dropped = cut(found.where("not stays").select(_ROW).distinct())
-    kept = marked.join(dropped, _ROW, "left_anti")
+    kept = _without(marked, dropped)
     # rows equal in all columns share their mark, so one of them is left only by leaving the others out here
     if not found.where("stays").groupBy(_ROW).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates([_ROW])
