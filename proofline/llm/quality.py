@@ -77,7 +77,7 @@ GROUP_ROWS = 100
 LEAST_ROWS = 20
 #: The chance that a row of a normal group lies beyond the cut.
 TAIL = 1e-6
-#: Concentration steps at most; they stop before when no determinant changes.
+#: Concentration steps at most; they stop before when no determinant gets smaller.
 STEPS = 20
 #: Features are whole multiples of 1 / UNIT, so that sums are exact and do not depend on the order of rows.
 UNIT = 1024
@@ -215,13 +215,12 @@ def judge(docs: DataFrame, tail: float = TAIL, key: str = "doc_id", text: str =
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = cut(_grouped(cut(_features(counted.withColumn("base_failed", failed)))))
     judged = rows.where(~F.col("base_failed"))
-    estimates, before = _start(judged), None
-    for _ in range(STEPS):
-        estimates = _concentrate(judged, estimates, 0.5, 0.0, 1.0)
-        now = estimates.agg(F.sum(F.round("logdet", 9))).collect()[0][0]
-        if now == before:
+    estimates = _concentrate(judged, _start(judged), 0.5, 0.0, 1.0)
+    for _ in range(STEPS - 1):
+        before, estimates = estimates.select("team", F.col("logdet").alias("before")), _concentrate(judged, estimates, 0.5, 0.0, 1.0)
+        gained = estimates.join(before, "team").agg(F.max(F.col("before") - F.col("logdet"))).collect()[0][0]
+        if gained is None or gained <= 1e-9:
             break
-        before = now
     inner = chi2_quantile(0.975, P)
     estimates = _concentrate(judged, estimates, None, inner, 0.975 / chi2_cdf(inner, P + 2))
     sizes = judged.groupBy("team").agg(F.count("*").alias("team_rows"))
