@@ -30,14 +30,27 @@ REQUIRED_MANIFEST_PATHS = (
     "lineage.english_from",
 )
 DECISION_MODES = ("unattended", "interactive")
+NUMERIC = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
+
+
+def truthy_at(v: Column, path: str) -> Column:
+    """False for absent, null, false, zero, and empty text, list or object; true for any other value."""
+    kind, text = kind_at(v, path), text_at(v, path)
+    told = (
+        F.when(kind == "BOOLEAN", text == "true").when(kind.rlike(NUMERIC), value_at(v, path, "double") != 0)
+        .when(kind.startswith("ARRAY"), text != "[]").when(kind.startswith("OBJECT"), text != "{}").when(kind == "STRING", text != "")
+    )
+    return F.coalesce(told, F.lit(False))
 
 
 def closed_keys(docs: DataFrame, raw: str, allowed: Sequence[str], required: Sequence[str]) -> DataFrame:
-    """Unknown and missing keys of a JSON object; anything else is not an object."""
-    keys = F.json_object_keys(raw)
+    """Unknown and missing keys of a text that is exactly one JSON object; anything else is no object and lacks all of ``required``."""
+    parsed = with_document(docs, raw)
+    is_object = F.coalesce(kind_at(F.col("_v")).startswith("OBJECT"), F.lit(False))
+    keys = F.when(F.col("is_object"), F.json_object_keys(raw)).otherwise(F.array().cast("array<string>"))
     known = F.array(*[F.lit(k) for k in allowed])
     needed = F.array(*[F.lit(k) for k in required])
-    return docs.withColumn("is_object", keys.isNotNull()).withColumn(
+    return parsed.withColumn("is_object", is_object).drop("_v").withColumn(
         "unknown_keys", F.array_sort(F.array_except(keys, known))
     ).withColumn("missing_keys", F.array_sort(F.array_except(needed, keys)))
 
@@ -58,16 +71,14 @@ def manifest_gaps(docs: DataFrame, raw: str) -> DataFrame:
         return F.coalesce(kind_at(v, path).startswith("ARRAY<") & (text_at(v, path) != "[]"), F.lit(False))
 
     duration = "source.duration_seconds"
-    numeric = kind_at(v, duration).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+    numeric = kind_at(v, duration).rlike(NUMERIC)
     positive = F.coalesce(numeric & (value_at(v, duration, "double") > 0), F.lit(False))
-    truthy = ~F.coalesce(text_at(v, "captions.selected"), F.lit("")).isin("", "false", "0", "[]", "{}")
-    used = F.coalesce(text_at(v, "transcription.used"), F.lit("")).isin("true", "1")
     typed = [
         F.when(~F.coalesce(text_at(v, "decision_mode"), F.lit("")).isin(*DECISION_MODES), "decision_mode"),
         F.when(~filled_array("transitions"), "transitions"),
         F.when(~filled_array("access.probe_attempts"), "access.probe_attempts"),
         F.when(~positive, duration),
-        F.when(~exclusive(truthy, used), "source_branch"),
+        F.when(~exclusive(truthy_at(v, "captions.selected"), truthy_at(v, "transcription.used")), "source_branch"),
     ]
     gaps = [F.when(F.coalesce(text_at(v, p), F.lit("")) == "", F.lit(p)) for p in REQUIRED_MANIFEST_PATHS]
     return parsed.withColumn("missing", listed(*typed, *gaps)).drop("_v")

@@ -62,15 +62,16 @@ def review_scope_audit(reviews: DataFrame, expected: DataFrame, hashes: DataFram
 def gate_order_audit(reviews: DataFrame, package: str) -> DataFrame:
     """Findings on the declared order of scoped reviews.
 
-    A package with more than ``MAX_REVIEWS`` reviews is itself a finding and is not
-    paired any further, which bounds the work per package whatever the skew.
+    A package with more than ``MAX_REVIEWS`` reviews is itself a finding.  Its ranks and canonical approvals are audited like
+    any other; only its keyframe and sequence reviews are not paired, which bounds the work per package whatever the skew.
+    A gate without a rank is a finding, too.
     """
     sizes = reviews.groupBy(package).agg(F.count(F.lit(1)).alias("_n"))
     too_many = sizes.where(F.col("_n") > MAX_REVIEWS).select(
         package, F.lit(-1).cast("bigint").alias("id"), F.lit("too-many-reviews").alias("code")
     )
-    kept = reviews.join(sizes.where(F.col("_n") <= MAX_REVIEWS).select(package), on=package, how="left_semi")
-    ranked = kept.withColumn("_rank", gate_rank(F.col("gate"))).withColumn("_canonical", F.try_element_at("subject_ids", F.lit(1)))
+    pairable = sizes.where(F.col("_n") <= MAX_REVIEWS).select(package)
+    ranked = reviews.withColumn("_rank", gate_rank(F.col("gate"))).withColumn("_canonical", F.try_element_at("subject_ids", F.lit(1)))
     ranked = ranked.withColumn("_frames", F.slice("subject_ids", 2, F.greatest(F.size("subject_ids"), F.lit(1))))
 
     running = scan(ordered(ranked.select(package, "declared_order", "id", "_rank"), [package], ["declared_order", "id"]),
@@ -88,7 +89,8 @@ def gate_order_audit(reviews: DataFrame, package: str) -> DataFrame:
     keyframes = ranked.where(F.col("_rank") == 1).select(
         package, "_canonical", F.col("_frames").alias("_keys"), F.col("declared_order").alias("_key_order")
     )
-    sequences = ranked.where(F.col("_rank") == 2).select(package, "id", "_canonical", "_frames", "declared_order")
+    unknown = ranked.where(F.col("_rank").isNull()).select(package, "id", F.lit("unknown-gate").alias("code"))
+    sequences = ranked.where(F.col("_rank") == 2).join(pairable, on=package, how="left_semi").select(package, "id", "_canonical", "_frames", "declared_order")
     subset = F.size(F.array_except("_keys", "_frames")) == 0
     matches = sequences.join(keyframes, on=[package, "_canonical"], how="left").groupBy(package, "id").agg(
         F.count_if(subset).alias("_matches"), F.min(F.when(subset, F.col("_key_order"))).alias("_key_order"),
@@ -97,7 +99,7 @@ def gate_order_audit(reviews: DataFrame, package: str) -> DataFrame:
     wrong = matches.where(
         (F.col("_matches") != 1) | (F.col("_key_order") >= F.col("declared_order"))
     ).select(package, "id", F.lit("keyframes-not-before-sequence").alias("code"))
-    return too_many.unionByName(backwards).unionByName(early).unionByName(wrong)
+    return too_many.unionByName(unknown).unionByName(backwards).unionByName(early).unionByName(wrong)
 
 
 def review_decision(packets: DataFrame, bound_text: Column) -> DataFrame:

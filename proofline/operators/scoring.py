@@ -7,11 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from proofline.functions.cases import listed, lookup
 from proofline.functions.arrays import abs_diff_sum, mask_counts
 from proofline.operators.sequence import exact_quantiles
 
+#: Releases that one evaluation may compare.
+MAX_RELEASES = 10_000
 # Rubric size, bands, default criterion weights and the frozen synthetic gates.
 RUBRIC_DIMENSIONS = 16
 RUBRIC_BANDS = ((28, "strong"), (23, "useful"), (17, "insufficient"), (0, "failed"))
@@ -58,7 +61,9 @@ def mask_scores(pairs: DataFrame, predicted: str, truth: str, threshold: int = 1
 
 def trigger_eval(runs: DataFrame, cases: DataFrame) -> DataFrame:
     """Invocation precision and recall per release and split, missing runs counted as not triggered."""
-    releases = runs.select("release").distinct()
+    names = [r["release"] for r in runs.select("release").distinct().limit(MAX_RELEASES + 1).collect()]
+    if len(names) > MAX_RELEASES:
+        raise ValueError(f"more than {MAX_RELEASES} releases")
     asked = cases.join(runs.select("release", "case_id", "triggered"), on="case_id", how="left")
     known = asked.where(F.col("release").isNotNull())
     totals = cases.groupBy("split").agg(F.count_if("should_trigger").alias("_positive"))
@@ -66,7 +71,9 @@ def trigger_eval(runs: DataFrame, cases: DataFrame) -> DataFrame:
         F.count_if(F.col("triggered") & F.col("should_trigger")).alias("tp"),
         F.count_if(F.col("triggered") & ~F.col("should_trigger")).alias("fp"),
     )
-    grid = counts.join(releases, on="release").join(totals, on="split")
+    kind = runs.schema["release"].dataType
+    cells = totals.select("*", F.explode(F.array(*map(F.lit, names)).cast(ArrayType(kind))).alias("release"))
+    grid = cells.join(counts, on=["release", "split"], how="left").fillna(0, ["tp", "fp"])
     fn = (F.col("_positive") - F.col("tp")).alias("fn")
     scores = score_columns(F.col("tp"), F.col("fp"), F.col("_positive") - F.col("tp"))
     return grid.select("release", "split", "tp", "fp", fn, scores["precision"].alias("precision"), scores["recall"].alias("recall"))
@@ -111,12 +118,18 @@ def weighted_score(scores: DataFrame, gates: DataFrame, weights: Mapping[str, fl
 
 
 def must_checks(outputs: DataFrame, cases: DataFrame) -> DataFrame:
-    """Literal must and must-not phrases per output, with the ones that failed."""
-    joined = outputs.join(cases, on="case_id")
+    """Literal must and must-not phrases per output, with the ones that failed.
+
+    ``status`` is ``judged``, or ``no case`` or ``no output`` for a row of one side only, which has not passed.
+    """
+    left, right = outputs.withColumn("_output", F.lit(True)), cases.withColumn("_case", F.lit(True))
+    joined = left.join(right, on="case_id", how="full_outer")
+    status = F.when(F.col("_case").isNull(), "no case").when(F.col("_output").isNull(), "no output").otherwise("judged")
+    joined = joined.withColumn("status", status).drop("_case", "_output")
     absent = F.filter("must", lambda m: ~F.contains(F.col("output"), m))
     present = F.filter("must_not", lambda m: F.contains(F.col("output"), m))
     return joined.withColumn("absent", absent).withColumn("forbidden", present).withColumn(
-        "passed", (F.size("absent") == 0) & (F.size("forbidden") == 0)
+        "passed", (F.col("status") == "judged") & (F.size("absent") == 0) & (F.size("forbidden") == 0)
     )
 
 

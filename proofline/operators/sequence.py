@@ -156,7 +156,10 @@ def scan(
     )
     kept = [c for c in seq.df.columns if c not in final]
     here = seq.df.select("*", *[expr.alias(name) for name, expr in local.items()])
-    joined = here.join(summary, on=by, how="left")
+    # null keys are a group of their own, here as in a plain window
+    marks = {c: f"_of_{c}" for c in by}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(m)) for c, m in marks.items()])
+    joined = here.join(summary.withColumnsRenamed(marks), on=same, how="left")
     return seq.derive(joined.select(*kept, *[expr.alias(name) for name, expr in final.items()]))
 
 

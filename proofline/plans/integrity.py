@@ -275,12 +275,13 @@ EVENT_JSON = """case when event_id % 7 = 0 then '{"k": 1, "z": 2, "a": null}' wh
 
 
 @R.add("b14_closed_keys", """
-    select event_id, event_id % 7 = 0 or event_id % 11 <> 0 as is_object,
-           case when event_id % 7 = 0 then 'a,z' else '' end as unknown_keys,
-           case when event_id % 7 = 0 then 'v' when event_id % 11 = 0 then '' when event_id % 13 = 0 then 'k' else 'v' end as missing_keys
+    select event_id, (event_id % 7 = 0 or event_id % 11 <> 0) and event_id % 17 <> 0 as is_object,
+           case when event_id % 17 <> 0 and event_id % 7 = 0 then 'a,z' else '' end as unknown_keys,
+           case when event_id % 17 = 0 then 'k,v' when event_id % 7 = 0 then 'v' when event_id % 11 = 0 then 'k,v' when event_id % 13 = 0 then 'k' else 'v' end as missing_keys
     from events""")
 def b14(spark, d):
-    docs = load(spark, d, "events").select("event_id", F.expr(EVENT_JSON).alias("raw"))
+    raw = F.concat(F.expr(EVENT_JSON), F.expr("if(event_id % 17 = 0, ' junk', '')"))
+    docs = load(spark, d, "events").select("event_id", raw.alias("raw"))
     out = contracts.closed_keys(docs, "raw", ["k", "v"], ["k", "v"])
     return out.select("event_id", "is_object", *[
         F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("unknown_keys", "missing_keys")])
@@ -317,8 +318,8 @@ def b15_manifest(spark, d):
         F.lit('},"access":{"probe_attempts":'),
         F.expr("case when doc_id % 11 = 0 then if(doc_id % 2 = 0, 'null', '[]') else '[{\"outcome\":\"ok\"}]' end"),
         F.lit(',"paywall_outcome":"none","drm_outcome":"none"},"captions":{"tracks":[],"selected":'),
-        F.expr("if(doc_id % 3 = 0, concat('\"manual:', lang, '\"'), 'null')"),
-        F.lit('},"transcription":{"used":'), F.expr("if(doc_id % 4 = 0, 'true', 'false')"),
+        F.expr("""case when doc_id % 6 = 0 then '"0"' when doc_id % 3 = 0 then concat('"manual:', lang, '"') when doc_id % 5 = 0 then '""' else 'null' end"""),
+        F.lit('},"transcription":{"used":'), F.expr("""case when doc_id % 12 = 0 then '"whisper"' when doc_id % 8 = 0 then '2' when doc_id % 4 = 0 then 'true' when doc_id % 5 = 0 then '0' else 'false' end"""),
         F.lit('},"lineage":{"source_authority":"captions","source_corrected":"a","chinese_from":"b","english_from":null},"transitions":'),
         F.expr("if(doc_id % 7 = 0, '[]', '[{\"state\":\"initialized\"}]')"), F.lit("}"),
     )

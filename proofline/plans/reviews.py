@@ -60,7 +60,7 @@ def b23(spark, d):
     with r as (select user_id, event_id as id, epoch_us(ts) as ord, 'c' || (event_id % 3) as canon,
                       case event_type when 'signup' then 0 when 'purchase' then 2 else 1 end as rank,
                       case when event_type = 'purchase' then ['f0', 'f1', 'f2'] else ['f' || (event_id % 50)] end as frames
-               from events where event_type in ('signup', 'purchase', 'click')),
+               from events),
     p as (select *, max(rank) over (partition by user_id order by ord, id rows between unbounded preceding and 1 preceding) as peak from r),
     c as (select user_id, canon, max(ord) as at from r where rank = 0 group by 1, 2),
     k as (select s.user_id, s.id, s.ord, count(f.id) as n, min(f.ord) as key_ord
@@ -77,7 +77,7 @@ def b24(spark, d):
     canonical = F.expr("concat('c', event_id % 3)")
     subjects = F.when(F.col("event_type") == "purchase", F.array(canonical, F.lit("f0"), F.lit("f1"), F.lit("f2"))).otherwise(
         F.array(canonical, F.expr("concat('f', event_id % 50)")))
-    rows = load(spark, d, "events").where("event_type in ('signup', 'purchase', 'click')").select(
+    rows = load(spark, d, "events").select(
         "user_id", F.col("event_id").alias("id"), gate.alias("gate"), subjects.alias("subject_ids"), micros().alias("declared_order"))
     return ops.gate_order_audit(rows, "user_id")
 

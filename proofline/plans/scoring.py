@@ -57,19 +57,23 @@ def d02(spark, d):
 @R.add("d03_trigger_eval", """
     with c as (select doc_id, quality = 1 as want, case when doc_id % 2 = 0 then 'even' else 'odd' end as split from labels),
     u as (select 'r1' as release, doc_id, n_chars > 500 as hit from documents
-          union all select 'r2', doc_id, n_chars > 800 from documents where doc_id % 10 <> 0),
+          union all select 'r2', doc_id, n_chars > 800 from documents where doc_id % 10 <> 0
+          union all select 'r3', doc_id, n_chars > 300 from documents where doc_id % 2 = 0),
     t as (select split, count(*) filter (want) as pos from c group by 1),
     g as (select release, split, count(*) filter (hit and want) as tp, count(*) filter (hit and not want) as fp
-          from c join u using (doc_id) group by 1, 2)
+          from c join u using (doc_id) group by 1, 2),
+    f as (select release, split, pos, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp
+          from (select distinct release from u) cross join t left join g using (release, split))
     select release, split, tp, fp, pos - tp as fn, round(case when tp + fp > 0 then tp / (tp + fp) else 1 end, 9) as "precision",
-           round(case when pos > 0 then tp / pos else 1 end, 9) as recall from g join t using (split)""")
+           round(case when pos > 0 then tp / pos else 1 end, 9) as recall from f""")
 def d03(spark, d):
     cases = load(spark, d, "labels").select(
         F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("should_trigger"),
         F.expr("if(doc_id % 2 = 0, 'even', 'odd')").alias("split"))
     docs = load(spark, d, "documents")
     runs = docs.select(F.lit("r1").alias("release"), F.col("doc_id").alias("case_id"), (F.col("n_chars") > 500).alias("triggered")).union(
-        docs.where("doc_id % 10 <> 0").select(F.lit("r2"), "doc_id", F.col("n_chars") > 800))
+        docs.where("doc_id % 10 <> 0").select(F.lit("r2"), "doc_id", F.col("n_chars") > 800)).union(
+        docs.where("doc_id % 2 = 0").select(F.lit("r3"), "doc_id", F.col("n_chars") > 300))
     return rounded(ops.trigger_eval(runs, cases), "precision", "recall")
 
 
@@ -115,17 +119,22 @@ def d05(spark, d):
 @R.add("d06_must_checks", """
     with c as (select *, case lang when 'en' then ['the', 'of'] when 'fr' then ['que', 'les'] when 'de' then ['und', 'der'] else ['que', 'el'] end as must,
                       case when lang = 'en' then ['***', 'token'] else ['###', '@'] end as must_not from documents),
-    r as (select doc_id, list_filter(must, lambda m: not contains(text, m)) as a, list_filter(must_not, lambda m: contains(text, m)) as f from c)
-    select doc_id, array_to_string(a, ',') as absent, array_to_string(f, ',') as forbidden, len(a) + len(f) = 0 as passed from r""")
+    r as (select doc_id, lang, list_filter(must, lambda m: not contains(text, m)) as a, list_filter(must_not, lambda m: contains(text, m)) as f from c)
+    select doc_id, case when lang <> 'es' then array_to_string(a, ',') else '' end as absent,
+           case when lang <> 'es' then array_to_string(f, ',') else '' end as forbidden, lang <> 'es' and len(a) + len(f) = 0 as passed,
+           case when lang = 'es' then 'no case' else 'judged' end as status from r
+    union all select null, '', '', false, 'no output'""")
 def d06(spark, d):
     docs = load(spark, d, "documents")
-    cases = docs.select(F.col("lang").alias("case_id")).distinct().select(
+    asked = docs.where("lang <> 'es'").select(F.col("lang").alias("case_id")).distinct().union(spark.range(1).select(F.lit("it")))
+    cases = asked.select(
         "case_id",
         F.expr("""case case_id when 'en' then array('the', 'of') when 'fr' then array('que', 'les')
                   when 'de' then array('und', 'der') else array('que', 'el') end""").alias("must"),
         F.expr("if(case_id = 'en', array('***', 'token'), array('###', '@'))").alias("must_not"))
     out = ops.must_checks(docs.select("doc_id", F.col("lang").alias("case_id"), F.col("text").alias("output")), cases)
-    return out.select("doc_id", F.array_join("absent", ",").alias("absent"), F.array_join("forbidden", ",").alias("forbidden"), "passed")
+    joined = {c: F.coalesce(F.array_join(c, ","), F.lit("")) for c in ("absent", "forbidden")}
+    return out.withColumns(joined).select("doc_id", "absent", "forbidden", "passed", "status")
 
 
 @R.add("d07_release_regressions", """
@@ -211,9 +220,9 @@ def d11_checklist(spark, d):
 
 @R.add("d12_score_disagreement", """
     select l_partkey % 500 as item, l_linenumber as criterion, min(l_quantity % 5 + 1) as lowest, max(l_quantity % 5 + 1) as highest, count(*) as scores
-    from lineitem where l_suppkey % 9 <> 0 group by 1, 2 having max(l_quantity % 5) - min(l_quantity % 5) >= 3""")
+    from lineitem group by 1, 2 having max(l_quantity % 5) - min(l_quantity % 5) >= 3""")
 def d12(spark, d):
-    scores = load(spark, d, "lineitem").where("l_suppkey % 9 <> 0").select(
+    scores = load(spark, d, "lineitem").select(
         (F.col("l_partkey") % 500).alias("item"), F.col("l_linenumber").alias("criterion"), (F.col("l_quantity") % 5 + 1).alias("score"))
     return ops.score_disagreement(scores, ["item", "criterion"], "score", 3)
 
