@@ -217,9 +217,13 @@ def judge(docs: DataFrame, tail: float = TAIL, key: str = "doc_id", text: str =
     judged = rows.where(~F.col("base_failed"))
     estimates = _concentrate(judged, _start(judged), 0.5, 0.0, 1.0)
     for _ in range(STEPS - 1):
-        before, estimates = estimates.select("team", F.col("logdet").alias("before")), _concentrate(judged, estimates, 0.5, 0.0, 1.0)
-        gained = estimates.join(before, "team").agg(F.max(F.col("before") - F.col("logdet"))).collect()[0][0]
-        if gained is None or gained <= 1e-9:
+        new = _concentrate(judged, estimates, 0.5, 0.0, 1.0).alias("new")
+        better = F.col("new.logdet") < F.col("old.logdet") - 1e-9
+        pairs = cut(estimates.alias("old").join(new, F.col("old.team") == F.col("new.team")).select(
+            "old.team", *(F.when(better, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in ("centre", "inverse", "logdet")), better.alias("better"),
+        ))
+        estimates = pairs.drop("better")
+        if pairs.where("better").isEmpty():
             break
     inner = chi2_quantile(0.975, P)
     estimates = _concentrate(judged, estimates, None, inner, 0.975 / chi2_cdf(inner, P + 2))

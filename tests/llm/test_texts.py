@@ -76,10 +76,10 @@ def plain_mcd(x):
         bins = np.minimum(2000, np.floor(np.log1p(distance()) * 100))
         chosen = x[bins <= np.sort(bins)[-(-len(x) // 2) - 1]]
         cov = quality._consistency(len(chosen) / len(x)) * np.cov(chosen.T, bias=True) + floor
-        centre, inverse, now = chosen.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+        now = np.linalg.slogdet(cov)[1]
         if before is not None and before - now <= 1e-9:
             break
-        before = now
+        centre, inverse, before = chosen.mean(axis=0), np.linalg.inv(cov), now
     inner = quality.chi2_quantile(0.975, quality.P)
     chosen = x[distance() <= inner]
     cov = 0.975 / quality.chi2_cdf(inner, quality.P + 2) * np.cov(chosen.T, bias=True) + floor
