@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from proofline import plans  # noqa: E402
-from proofline.session import build_session  # noqa: E402
+from proofline.session import build_session, drop_scratch  # noqa: E402
 
 HEADLINE = (
     "a04_interval_union", "a05_rank_tracks", "a06_coverage_ratio", "a09_first_success", "a12_select_formats", "a14_even_sample",
@@ -49,6 +49,7 @@ def main() -> None:
         known[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begin, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
+    drop_scratch(spark)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": int(cpus),
