@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,7 +72,7 @@ def _package(routes: dict[str, str]) -> list[Step]:
     ]
 
 
-# The two protocol versions as transition tables.
+# The protocol versions as transition tables.
 STEPS = {
     "v1": [
         *_review("awaiting-canonical-review", "awaiting-production-blueprint-review"),
@@ -100,6 +100,14 @@ STEPS = {
     ],
 }
 
+# a job of the second version whose intent holds no in-between position has no sequence to ask for after its keyframes
+KEYFRAMES_ONLY = "v2-keyframes-only"
+STEPS[KEYFRAMES_ONLY] = [
+    replace(s, then="awaiting-sequence-review") if s.phase == "awaiting-keyframe-review" and s.decision == APPROVED else s for s in STEPS["v2"]
+]
+#: An input column with this name gives each job its own version.
+PROTOCOL = "protocol"
+
 
 def waiting_kind(phase: Column) -> Column:
     return F.when(phase.isin(*INPUTS), "input").when(phase.isin(*GATES), "review").otherwise("none")
@@ -118,14 +126,24 @@ def context_hash(job: int, revision: int) -> str:
     return hashlib.sha256(f'{{"job":{job},"revision":{revision}}}'.encode()).hexdigest()
 
 
+def checkpoint_name(job: Column, revision: Column) -> Column:
+    """Id of the checkpoint that waits at a revision; it is renewed with every revision."""
+    return F.concat(F.lit("cp-"), revision.cast("string"), F.lit("-"), F.substring(F.sha2(context_text(job, revision), 256), 1, 16))
+
+
+def checkpoint_id(job: int, revision: int) -> str:
+    return f"cp-{revision}-{context_hash(job, revision)[:16]}"
+
+
 def answer(version: str, job: int, phase: str, revision: int, response: dict) -> tuple[str, int, str]:
     """Phase, revision and status after one response."""
-    if response["job_revision"] != revision or response["context_sha256"] != context_hash(job, revision):
+    bound = response["context_sha256"] == context_hash(job, revision) and response["checkpoint_id"] == checkpoint_id(job, revision)
+    if response["job_revision"] != revision or not bound:
         return phase, revision, "stale"
     waiting = "input" if phase in INPUTS else "review" if phase in GATES else "none"
     if response["kind"] != waiting:
         return phase, revision, "kind-mismatch"
-    for step in STEPS[version]:
+    for step in STEPS[response.get(PROTOCOL) or version]:
         if (step.phase, step.kind, step.gate, step.decision, step.return_to) == (
             phase, response["kind"], response["gate"], response["decision"], response["return_to"]
         ):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from proofline.functions.cases import listed, lookup
 from proofline.functions.hashing import canonical_sha256, sha256
 from proofline.functions.protocol import (
-    FIRST_PHASE, PACKAGE_FAILURES, PACKAGE_STATES, PHASES, STEPS, context_text, gate_of, waiting_kind,
+    FIRST_PHASE, PACKAGE_FAILURES, PACKAGE_STATES, PHASES, PROTOCOL, STEPS, checkpoint_name, context_text, gate_of, waiting_kind,
 )
 from proofline.operators.sequence import ordered, scan, union_all
 from proofline.session import cut
@@ -105,11 +106,13 @@ def transition_log_audit(log: DataFrame, package: str, seq: str, state: str, at:
 
 def _matched(responses: DataFrame, version: str) -> DataFrame:
     """Attach the phase a response is valid in and the phase it leads to (null when none)."""
-    answers = {"|".join((s.kind, s.gate, s.decision, s.return_to)): s for s in STEPS[version]}
-    token = F.concat_ws("|", "kind", "gate", "decision", "return_to")
+    answers = {"|".join((v, s.kind, s.gate, s.decision, s.return_to)): s for v, steps in STEPS.items() for s in steps}
+    of_job = F.coalesce(F.col(PROTOCOL), F.lit(version)) if PROTOCOL in responses.columns else F.lit(version)
+    token = F.concat_ws("|", of_job, "kind", "gate", "decision", "return_to")
     phase = lookup(token, {k: s.phase for k, s in answers.items()})
     then = lookup(token, {k: s.then for k, s in answers.items()})
-    bound = sha256(context_text(F.col("job"), F.col("job_revision"))) == F.col("context_sha256")
+    bound = (sha256(context_text(F.col("job"), F.col("job_revision"))) == F.col("context_sha256")) & (
+        checkpoint_name(F.col("job"), F.col("job_revision")) == F.col("checkpoint_id"))
     return responses.withColumns({"_phase": phase, "_then": then, "_bound": F.coalesce(bound, F.lit(False))})
 
 
@@ -146,7 +149,8 @@ def checkpoint_fold(responses: DataFrame, version: str = "v1") -> DataFrame:
     """Status of every response and the job state right after it.
 
     ``responses``: job, event_id (arrival order, unique), kind, gate, decision,
-    return_to (empty strings when unused), job_revision, context_sha256.
+    return_to (empty strings when unused), checkpoint_id, job_revision, context_sha256, and
+    optionally protocol, the version of the job where it differs from ``version``.
     """
     matched = cut(_matched(responses, version))
     hits = applied_responses(matched).select(F.col("id").alias("event_id"), F.lit(1).cast("bigint").alias("_hit"))
@@ -187,13 +191,16 @@ def stale_responses(deliveries: DataFrame, version: str = "v1") -> DataFrame:
 
 
 # Sections whose change restarts a job, reopens motion review, or only package review.
-RESTART = ("identity", "target", "rendering_profile", "clip_bindings")
+RESTART = ("identity", "target", "rendering_profile", "clip_bindings", "source_bindings")
 MOTION = ("clips",)
 PACKAGE = ("output_scope", "runtime_scope")
 
 
 def change_scope(versions: DataFrame, job: str, order: str, others: Sequence[str] = ()) -> DataFrame:
-    """What each new intent of a job invalidates; ``base_revision`` never counts as a change."""
+    """What each new intent of a job invalidates; ``base_revision`` never counts as a change.
+
+    ``source_bindings`` holds the hashes of the identity's source files: new bytes restart a job even under equal intent texts.
+    """
     sections = (*RESTART, *MOTION, *PACKAGE, *others)
     digest = canonical_sha256({s: F.col(s).cast("string") for s in sections})
     rows = versions.select(job, order, *sections).withColumn("material_sha256", digest).withColumn("_all", F.struct("material_sha256", *sections))
@@ -215,9 +222,14 @@ def change_scope(versions: DataFrame, job: str, order: str, others: Sequence[str
 
 # What survives each rework route, by section of the job state.
 RETAINED_ALWAYS = {
-    "output": ("canonical_references", "identity_bible", "motion_blueprints"),
-    "approval": ("canonical", "motion-blueprint"),
-    "input": (),
+    "v1": {
+        "output": ("canonical_references", "identity_bible", "motion_blueprints"),
+        "approval": ("canonical", "motion-blueprint"),
+    },
+    "v2": {
+        "output": ("canonical_references", "identity_bible", "motion_plan", "raw_frame_admissions"),
+        "approval": ("canonical", "motion-plan"),
+    },
 }
 RETAINED_ALSO = {
     "keyframes": {},
@@ -226,19 +238,30 @@ RETAINED_ALSO = {
         "input": ("keyframes",),
         "approval": ("keyframes", "spacing-plan"),
         "output": ("spacing_plan_drafts", "spacing_plans"),
+        "plan": ("spacing_plan",),
     },
 }
 
 
-def rework_retention(state: DataFrame) -> DataFrame:
-    """Mark which parts of a job survive its rework route; columns section, name, return_to."""
+def rework_retention(state: DataFrame, version: str = "v1") -> DataFrame:
+    """Mark which parts of a job survive its rework route; columns section, name, return_to.
+
+    A column protocol names the version of a job where it differs from ``version``.  A column material_revision, if there
+    is one, goes up by one wherever the route reopens the job.
+    """
+    of_job = F.coalesce(F.col(PROTOCOL), F.lit(version)) if PROTOCOL in state.columns else F.lit(version)
+    first = of_job == "v1"
     kept = (F.col("section") == "approval") & F.col("name").endswith("-changes-requested")
-    for section, names in RETAINED_ALWAYS.items():
-        kept = kept | ((F.col("section") == section) & F.col("name").isin(*names))
+    for protocol, parts in RETAINED_ALWAYS.items():
+        for section, names in parts.items():
+            kept = kept | ((first if protocol == "v1" else ~first) & (F.col("section") == section) & F.col("name").isin(*names))
     for route, parts in RETAINED_ALSO.items():
         for section, names in parts.items():
             kept = kept | ((F.col("return_to") == route) & (F.col("section") == section) & F.col("name").isin(*names))
-    return state.withColumn("kept", F.col("return_to").isin(*RETAINED_ALSO) & kept)
+    reopened = F.coalesce(F.col("return_to").isin(*RETAINED_ALSO), F.lit(False))
+    if "material_revision" in state.columns:
+        state = state.withColumn("material_revision", F.col("material_revision") + reopened.cast("int"))
+    return state.withColumn("kept", reopened & kept)
 
 
 def phase_funnel(jobs: DataFrame, phase: str) -> DataFrame:
@@ -246,11 +269,26 @@ def phase_funnel(jobs: DataFrame, phase: str) -> DataFrame:
     return counts.select(phase, gate_of(F.col(phase)).alias("gate"), waiting_kind(F.col(phase)).alias("waiting"), "jobs")
 
 
+# The only keys a persisted job state may have.
+STATE_KEYS = (
+    "schema_version", "pixel_protocol_id", "revision", "material_revision", "phase", "intent", "inputs", "approvals", "outputs",
+    "intent_material_sha256", "checkpoint_id", "context_sha256", "checkpoint", "spacing_plan",
+)
+
+
 def state_integrity(jobs: DataFrame, context: Mapping[str, Column]) -> DataFrame:
-    """Reasons why a persisted job state is corrupt; ``context`` names what its hash covers."""
+    """Reasons why a persisted job state is corrupt; ``context`` names what its hash covers.
+
+    ``jobs``: phase, revision, material_revision, context_sha256, checkpoint_id, state_keys (the keys of the persisted
+    object) and checkpoint (struct of id, job_revision, context_sha256), which must repeat the state's own values.
+    """
+    same = [("id", "checkpoint_id"), ("job_revision", "revision"), ("context_sha256", "context_sha256")]
+    binding = reduce(lambda a, b: a & b, [F.col(f"checkpoint.{c}").eqNullSafe(F.col(own)) for c, own in same])
     reasons = listed(
         F.when(~F.coalesce(F.col("phase").isin(*PHASES), F.lit(False)), "unknown phase"),
         F.when(~F.coalesce(F.col("revision") >= 1, F.lit(False)), "revision"),
         F.when(~F.coalesce(F.col("material_revision") >= 1, F.lit(False)), "material revision"),
+        F.when(~F.coalesce(F.size(F.array_except("state_keys", F.array(*map(F.lit, STATE_KEYS)))) == 0, F.lit(False)), "state keys"),
+        F.when(F.col("checkpoint").isNull() | ~binding, "checkpoint binding"),
         F.when(~F.col("context_sha256").eqNullSafe(canonical_sha256(context)), "context hash"),)
     return jobs.withColumn("reasons", reasons)

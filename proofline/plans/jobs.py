@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.functions.hashing import canonical_sha256, sha256
-from proofline.functions.protocol import PACKAGE_STATES, PHASES, STEPS, context_text
+from proofline.functions.protocol import KEYFRAMES_ONLY, PACKAGE_STATES, PHASES, PROTOCOL, STEPS, checkpoint_name, context_text
 from proofline.operators import jobs as ops
 from proofline.operators.sequence import numbered, ordered, scan
 from proofline.plans.registry import Registry
@@ -114,25 +114,42 @@ SCRIPT = (
     ("review", "sequence", "approved", ""), ("review", "package", "approved", ""),
 )
 SCRIPT_FIELDS = ("kind", "gate", "decision", "return_to")
+# Histories under the second version: even jobs have in-between positions, odd ones have none.
+SCRIPT_V2 = (
+    ("review", "canonical", "approved", ""), ("review", "motion-plan", "approved", ""), ("input", "keyframes", "", ""),
+    ("review", "keyframe-set", "changes-requested", ""), ("input", "keyframes", "", ""), ("review", "keyframe-set", "approved", ""),
+    ("input", "sequence", "", ""), ("review", "sequence", "approved", ""), ("review", "package", "changes-requested", "keyframes"),
+    ("input", "keyframes", "", ""), ("review", "keyframe-set", "approved", ""), ("input", "sequence", "", ""),
+    ("review", "sequence", "changes-requested", ""), ("input", "sequence", "", ""), ("review", "sequence", "approved", ""),
+    ("review", "package", "approved", ""),
+)
+SCRIPT_KEYFRAMES_ONLY = (
+    ("review", "canonical", "approved", ""), ("review", "motion-plan", "approved", ""), ("input", "keyframes", "", ""),
+    ("review", "keyframe-set", "approved", ""), ("review", "sequence", "changes-requested", ""), ("input", "sequence", "", ""),
+    ("review", "sequence", "approved", ""), ("review", "package", "changes-requested", "keyframes"), ("input", "keyframes", "", ""),
+    ("review", "keyframe-set", "approved", ""), ("review", "sequence", "approved", ""), ("review", "package", "approved", ""),
+)
 
 
-def job_responses(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a user as responses: the script, interleaved with noise of four kinds."""
+def job_responses(spark: SparkSession, d: str, scripts=(SCRIPT,)) -> DataFrame:
+    """Events of a user as responses: the user's script (by id), interleaved with noise of four kinds; wrong bindings miss the context or the checkpoint."""
     ev = load(spark, d, "events").select(
         F.col("user_id").alias("job"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.expr("event_id % 4 = 0"), F.lit(0)).otherwise(1).cast("bigint").alias("_real"))
     steps = scan(ordered(ev, ["job"], ["event_id"]), before_sum={"_done": "_real"}).plain()
-    script = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, SCRIPT_FIELDS)]) for row in SCRIPT])
-    rows = steps.withColumn("_s", F.element_at(script, (F.col("_done") % len(SCRIPT) + 1).cast("int")))
+    lines = [F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, SCRIPT_FIELDS)]) for row in script]) for script in scripts]
+    of_job = F.element_at(F.array(*lines), (F.col("job") % len(scripts) + 1).cast("int"))
+    rows = steps.withColumn("_script", of_job).withColumn("_s", F.element_at("_script", (F.col("_done") % F.size("_script") + 1).cast("int")))
     noise, which = F.col("_real") == 0, F.expr("div(event_id, 4) % 4")
     revision = F.col("_done") + 1 - F.when(noise & (which == 0), 1).otherwise(0)
     bound = sha256(context_text(F.col("job"), revision))
+    other, lost = noise & (which == 1), F.expr("div(event_id, 16) % 2 = 0")
     return rows.select(
         "job", "event_id", "ts",
         F.when(noise & (which == 2), F.expr("if(_s.kind = 'input', 'review', 'input')")).otherwise(F.col("_s.kind")).alias("kind"),
         F.when(noise & (which == 3), F.lit("unknown")).otherwise(F.col("_s.gate")).alias("gate"),
-        F.col("_s.decision").alias("decision"), F.col("_s.return_to").alias("return_to"), revision.cast("bigint").alias("job_revision"),
-        F.when(noise & (which == 1), F.lit("0" * 64)).otherwise(bound).alias("context_sha256"),
+        F.col("_s.decision").alias("decision"), F.col("_s.return_to").alias("return_to"), F.when(other & ~lost, F.lit("cp-0-gone")).otherwise(checkpoint_name(F.col("job"), revision)).alias("checkpoint_id"),
+        revision.cast("bigint").alias("job_revision"), F.when(other & lost, F.lit("0" * 64)).otherwise(bound).alias("context_sha256"),
     )
 
 
@@ -140,9 +157,13 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(repr(v) if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
 
 
-FOLD = f"""
-    with recursive tr(p, kind, gate, decision, return_to, nxt) as (values {_values([(s.phase, s.kind, s.gate, s.decision, s.return_to, s.then) for s in STEPS['v1']])}),
-    sc(i, kind, gate, decision, return_to) as (values {_values([(i, *row) for i, row in enumerate(SCRIPT)])}),
+def _fold_sql(tables, scripts) -> str:
+    """The sequential fold; the n-th table and script hold for jobs whose id leaves n."""
+    steps = [(n, *row) for n, table in enumerate(tables) for row in table]
+    lines = [(n, len(script), i, *row) for n, script in enumerate(scripts) for i, row in enumerate(script)]
+    return f"""
+    with recursive tr(v, p, kind, gate, decision, return_to, nxt) as (values {_values(steps)}),
+    sc(v, size, i, kind, gate, decision, return_to) as (values {_values(lines)}),
     ev as (select user_id as job, event_id, event_id % 4 = 0 as noise, event_id // 4 % 4 as which,
                   row_number() over (partition by user_id order by event_id) as rn,
                   coalesce(sum(case when event_id % 4 = 0 then 0 else 1 end) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as done
@@ -150,7 +171,7 @@ FOLD = f"""
     rs as (select job, event_id, rn, case when noise and which = 2 then case when sc.kind = 'input' then 'review' else 'input' end else sc.kind end as kind,
                   case when noise and which = 3 then 'unknown' else sc.gate end as gate, sc.decision, sc.return_to,
                   done + 1 - case when noise and which = 0 then 1 else 0 end as rev, not (noise and which = 1) as bound
-           from ev join sc on sc.i = done % {len(SCRIPT)}),
+           from ev join sc on sc.v = job % {len(scripts)} and sc.i = done % sc.size),
     st as (
       select job, cast(0 as bigint) as rn, cast(-1 as bigint) as event_id, 'awaiting-canonical-review' as phase, cast(1 as bigint) as revision, '' as status
       from (select distinct job from rs)
@@ -159,21 +180,51 @@ FOLD = f"""
              case when ok then 'applied' when rs.rev <> s.revision or not rs.bound then 'stale'
                   when rs.kind <> case when s.phase like '%-input' then 'input' when s.phase like '%-review' then 'review' else 'none' end then 'kind-mismatch' else 'invalid' end
       from st s join rs on rs.job = s.job and rs.rn = s.rn + 1
-           left join tr on tr.p = s.phase and tr.kind = rs.kind and tr.gate = rs.gate and tr.decision = rs.decision and tr.return_to = rs.return_to,
+           left join tr on tr.v = rs.job % {len(tables)} and tr.p = s.phase and tr.kind = rs.kind and tr.gate = rs.gate and tr.decision = rs.decision and tr.return_to = rs.return_to,
            lateral (select rs.rev = s.revision and rs.bound and tr.nxt is not null as ok) z)"""
 
 
+FOLD = _fold_sql([[(s.phase, s.kind, s.gate, s.decision, s.return_to, s.then) for s in STEPS["v1"]]], [SCRIPT])
+# The second version, written out: what follows an approval, a request for changes and an input.
+_BOTH_V2 = [
+    ("awaiting-canonical-review", "review", "canonical", "approved", "", "awaiting-motion-plan-review"),
+    ("awaiting-canonical-review", "review", "canonical", "changes-requested", "", "awaiting-canonical-review"),
+    ("awaiting-motion-plan-review", "review", "motion-plan", "approved", "", "awaiting-keyframe-input"),
+    ("awaiting-motion-plan-review", "review", "motion-plan", "changes-requested", "", "awaiting-motion-plan-review"),
+    ("awaiting-keyframe-input", "input", "keyframes", "", "", "awaiting-keyframe-review"),
+    ("awaiting-keyframe-review", "review", "keyframe-set", "changes-requested", "", "awaiting-keyframe-input"),
+    ("awaiting-sequence-input", "input", "sequence", "", "", "awaiting-sequence-review"),
+    ("awaiting-sequence-review", "review", "sequence", "approved", "", "awaiting-package-review"),
+    ("awaiting-sequence-review", "review", "sequence", "changes-requested", "", "awaiting-sequence-input"),
+    ("awaiting-package-review", "review", "package", "approved", "", "package-ready"),
+    ("awaiting-package-review", "review", "package", "changes-requested", "keyframes", "awaiting-keyframe-input"),
+    ("awaiting-package-review", "review", "package", "changes-requested", "sequence", "awaiting-sequence-input"),
+]
+_APPROVED_SET = ("awaiting-keyframe-review", "review", "keyframe-set", "approved", "")
+FOLD_V2 = _fold_sql(
+    [[*_BOTH_V2, (*_APPROVED_SET, "awaiting-sequence-input")], [*_BOTH_V2, (*_APPROVED_SET, "awaiting-sequence-review")]], [SCRIPT_V2, SCRIPT_KEYFRAMES_ONLY])
+
+
 @R.add("f03_checkpoint_fold", FOLD + "select job, event_id, status, phase, revision from st where rn > 0")
 def f03(spark, d):
     return ops.checkpoint_fold(job_responses(spark, d))
 
 
+def responses_v2(spark: SparkSession, d: str) -> DataFrame:
+    return job_responses(spark, d, (SCRIPT_V2, SCRIPT_KEYFRAMES_ONLY)).withColumn(PROTOCOL, F.when(F.col("job") % 2 == 0, "v2").otherwise(KEYFRAMES_ONLY))
+
+
+@R.add("f03_checkpoint_fold_v2", FOLD_V2 + "select job, event_id, status, phase, revision from st where rn > 0")
+def f03_v2(spark, d):
+    return ops.checkpoint_fold(responses_v2(spark, d), "v2")
+
+
 @R.add("f03_checkpoint_stream", FOLD + "select job, event_id, status, phase, revision from st where rn > 0")
 def f03_stream(spark, d):
     root = scratch_path(spark, "responses")
     job_responses(spark, d).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(live.RESPONSE_SCHEMA).parquet(f"{root}/in")
-    live.run_to_end(live.checkpoint_fold_stream(live.first_deliveries(stream, "60 days")), f"{root}/out", f"{root}/state")
+    live.run_to_end(live.checkpoint_fold_stream(live.first_deliveries(stream)), f"{root}/out", f"{root}/state")
     return spark.read.parquet(f"{root}/out")
 
 
@@ -195,16 +246,17 @@ def f04(spark, d):
 @R.add("f05_change_scope", """
     with v as (select o_custkey as job, o_orderkey, '{"clip_bindings":"' || (o_orderkey % 40 < 2) || '","clips":"' || substr(o_orderpriority, 1, 1)
                  || '","identity":"' || o_custkey || '","output_scope":"' || (o_orderkey % 3) || '","rendering_profile":"p","runtime_scope":"' || (o_orderkey % 2)
-                 || '","target":"' || case when o_orderkey % 9 = 0 then 'x' else 'y' end || '"}' as j, substr(o_orderpriority, 1, 1) as clips,
-                 o_orderkey % 40 < 2 as bind, o_orderkey % 9 = 0 as target, o_orderkey % 3 as outp, o_orderkey % 2 as run from orders),
-    l as (select *, lag({'j': j, 'c': clips, 'b': bind, 't': target, 'o': outp, 'r': run}) over (partition by job order by o_orderkey) as w from v)
+                 || '","source_bindings":"' || (o_orderkey // 32 % 9 = 4) || '","target":"' || case when o_orderkey % 9 = 0 then 'x' else 'y' end || '"}' as j, substr(o_orderpriority, 1, 1) as clips,
+                 o_orderkey % 40 < 2 as bind, o_orderkey % 9 = 0 as target, o_orderkey // 32 % 9 = 4 as src, o_orderkey % 3 as outp, o_orderkey % 2 as run from orders),
+    l as (select *, lag({'j': j, 'c': clips, 'b': bind, 't': target, 's': src, 'o': outp, 'r': run}) over (partition by job order by o_orderkey) as w from v)
     select job, o_orderkey, sha256(j) as material_sha256, case when w is null then 'new' when w.j = j then 'unchanged'
-       when w.b <> bind or w.t <> target then 'restart' when w.c <> clips then 'motion-review' when w.o <> outp or w.r <> run then 'package-review' else 'revision-only' end as scope
+       when w.b <> bind or w.t <> target or w.s <> src then 'restart' when w.c <> clips then 'motion-review' when w.o <> outp or w.r <> run then 'package-review' else 'revision-only' end as scope
     from l""")
 def f05(spark, d):
     versions = load(spark, d, "orders").select(
         F.col("o_custkey").alias("job"), "o_orderkey", F.col("o_custkey").alias("identity"), F.expr("if(o_orderkey % 9 = 0, 'x', 'y')").alias("target"),
-        F.lit("p").alias("rendering_profile"), (F.col("o_orderkey") % 40 < 2).alias("clip_bindings"), F.substring("o_orderpriority", 1, 1).alias("clips"),
+        F.lit("p").alias("rendering_profile"), (F.col("o_orderkey") % 40 < 2).alias("clip_bindings"), F.expr("div(o_orderkey, 32) % 9 = 4").alias("source_bindings"),
+        F.substring("o_orderpriority", 1, 1).alias("clips"),
         (F.col("o_orderkey") % 3).alias("output_scope"), (F.col("o_orderkey") % 2).alias("runtime_scope"))
     return ops.change_scope(versions, "job", "o_orderkey")
 
@@ -213,22 +265,25 @@ STATE_PARTS = (
     ("output", "canonical_references"), ("output", "identity_bible"), ("output", "motion_blueprints"), ("output", "spacing_plan_drafts"),
     ("output", "spacing_plans"), ("output", "sealed_delivery"), ("input", "keyframes"), ("input", "sequence"), ("approval", "canonical"),
     ("approval", "motion-blueprint"), ("approval", "keyframes"), ("approval", "spacing-plan"), ("approval", "sequence"),
-    ("approval", "awaiting-package-review-changes-requested"),
+    ("approval", "awaiting-package-review-changes-requested"), ("output", "motion_plan"), ("output", "raw_frame_admissions"),
+    ("approval", "motion-plan"), ("plan", "spacing_plan"),
 )
 
 
 @R.add("f06_rework_retention", f"""
     with p(section, name) as (values {_values(STATE_PARTS)}),
-    s as (select o_orderkey as job, case o_orderstatus when 'F' then 'keyframes' when 'O' then 'spacing-plan' else 'sequence' end as route from orders)
-    select job, section, name, route as return_to, name in ('canonical_references', 'identity_bible', 'motion_blueprints', 'canonical', 'motion-blueprint')
+    s as (select o_orderkey as job, case o_orderstatus when 'F' then 'keyframes' when 'O' then 'spacing-plan' else 'sequence' end as route,
+          o_custkey % 2 = 0 as second, o_orderkey % 5 + 2 as material_revision from orders)
+    select job, section, name, route as return_to, material_revision, name in ('canonical_references', 'identity_bible', 'canonical')
+        or (not second and name in ('motion_blueprints', 'motion-blueprint')) or (second and name in ('motion_plan', 'raw_frame_admissions', 'motion-plan'))
         or name like '%-changes-requested' or (route in ('spacing-plan', 'sequence') and name = 'keyframes')
-        or (route = 'sequence' and name in ('spacing_plan_drafts', 'spacing_plans', 'spacing-plan')) as kept from s, p""")
+        or (route = 'sequence' and name in ('spacing_plan_drafts', 'spacing_plans', 'spacing-plan', 'spacing_plan')) as kept from s, p""")
 def f06(spark, d):
     parts = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name")) for s, n in STATE_PARTS])
     state = load(spark, d, "orders").select(
         F.col("o_orderkey").alias("job"), F.expr("case o_orderstatus when 'F' then 'keyframes' when 'O' then 'spacing-plan' else 'sequence' end").alias("return_to"),
-        F.inline(parts))
-    return ops.rework_retention(state)
+        F.expr("if(o_custkey % 2 = 0, 'v2', 'v1')").alias(PROTOCOL), (F.col("o_orderkey") % 5 + 1).alias("material_revision"), F.inline(parts))
+    return ops.rework_retention(state).drop(PROTOCOL)
 
 
 def persisted_jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +293,13 @@ def persisted_jobs(spark: SparkSession, d: str) -> DataFrame:
             F.element_at(names, (F.col("o_custkey") % len(PHASES) + 1).cast("int"))).alias("phase"),
         (F.col("o_orderkey") % 45).alias("revision"), F.expr("if(o_orderkey % 80 = 1, -1L, 1L)").alias("material_revision"))
     context = {c: F.col(c) for c in ("job", "phase", "revision")}
-    return jobs.withColumn("context_sha256", F.when(F.col("job") % 70 == 3, F.lit("0" * 64)).otherwise(canonical_sha256(context)))
+    jobs = jobs.withColumn("context_sha256", F.when(F.col("job") % 70 == 3, F.lit("0" * 64)).otherwise(canonical_sha256(context)))
+    keys = F.array(*map(F.lit, ("phase", "revision", "material_revision", "checkpoint", "checkpoint_id", "context_sha256")))
+    jobs = jobs.withColumn("checkpoint_id", checkpoint_name(F.col("job"), F.col("revision"))).withColumn(
+        "state_keys", F.when(F.col("job") % 110 == 9, F.array_append(keys, "debug")).otherwise(keys))
+    return jobs.withColumn("checkpoint", F.when(F.col("job") % 100 != 33, F.struct(
+        F.when(F.col("job") % 90 == 5, "cp-0-gone").otherwise(F.col("checkpoint_id")).alias("id"),
+        (F.col("revision") + F.when(F.col("job") % 95 == 6, 1).otherwise(0)).alias("job_revision"), "context_sha256")))
 
 
 PHASE_LIST = "[" + ", ".join(repr(p) for p in PHASES) + "]"
@@ -258,7 +319,8 @@ def f07(spark, d):
 
 @R.add("f08_state_integrity", """
     select o_orderkey as job, concat_ws('; ', case when o_orderkey % 60 = 7 then 'unknown phase' end, case when o_orderkey % 45 < 1 then 'revision' end,
-        case when o_orderkey % 80 = 1 then 'material revision' end, case when o_orderkey % 70 = 3 then 'context hash' end) as reasons from orders""")
+        case when o_orderkey % 80 = 1 then 'material revision' end, case when o_orderkey % 110 = 9 then 'state keys' end,
+        case when o_orderkey % 100 = 33 or o_orderkey % 90 = 5 or o_orderkey % 95 = 6 then 'checkpoint binding' end, case when o_orderkey % 70 = 3 then 'context hash' end) as reasons from orders""")
 def f08(spark, d):
     out = ops.state_integrity(persisted_jobs(spark, d), {c: F.col(c) for c in ("job", "phase", "revision")})
     return out.select("job", F.array_join("reasons", "; ").alias("reasons"))

@@ -1,8 +1,7 @@
 """Structured Streaming versions of the job protocol and the transition audit.
 
-A revision check decides whether a response counts, never its event time, so a
-watermark here only bounds the memory of duplicate ids: a response that is
-delivered again after its id was forgotten is rejected as stale.
+A revision check decides whether a response counts, never its event time: no
+watermark drops a late first delivery.
 """
 
 from __future__ import annotations
@@ -17,22 +16,29 @@ from proofline.functions.protocol import FIRST_PHASE, PACKAGE_FAILURES, PACKAGE_
 
 RESPONSE_SCHEMA = (
     "job bigint, event_id bigint, ts timestamp, kind string, gate string, decision string, return_to string, "
-    "job_revision bigint, context_sha256 string"
+    "checkpoint_id string, job_revision bigint, context_sha256 string"
 )
 OUTCOME_SCHEMA = "job bigint, event_id bigint, status string, phase string, revision bigint"
 STATE_SCHEMA = "phase string, revision bigint"
 
 
-def first_deliveries(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop repeated deliveries of one event within the watermark delay."""
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def first_deliveries(stream: DataFrame) -> DataFrame:
+    """The first delivery of each event, however late it comes.
+
+    The state keeps every id seen, so use the RocksDB state store for long streams; without this step repeats commit nothing
+    either, they only add rows (see ``checkpoint_fold_stream``).
+    """
+    return stream.dropDuplicates(["event_id"])
 
 
 def checkpoint_fold_stream(stream: DataFrame, version: str = "v1") -> DataFrame:
     """Status of each response as it arrives; state per job is its phase and revision.
 
     Rows of one job are ordered by ``event_id`` inside a micro-batch, whose size
-    the source limits; across batches arrival order decides.
+    the source limits; across batches arrival order decides.  A response that is
+    delivered again is judged again: after it was applied the revision has moved,
+    so it is stale, and otherwise it is refused as before.  A column protocol in the
+    input names the version of a job where it differs from ``version``.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

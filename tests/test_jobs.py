@@ -6,11 +6,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from proofline.functions.protocol import FIRST_PHASE, STEPS, answer, context_hash
+from proofline.functions.protocol import FIRST_PHASE, KEYFRAMES_ONLY, STEPS, answer, checkpoint_id, context_hash
 from proofline.operators import jobs
 from proofline.streaming import jobs as live
 
-FIELDS = "job bigint, event_id bigint, ts timestamp, kind string, gate string, decision string, return_to string, job_revision bigint, context_sha256 string"
+FIELDS = "job bigint, event_id bigint, ts timestamp, kind string, gate string, decision string, return_to string, checkpoint_id string, job_revision bigint, context_sha256 string"
 
 
 def random_responses(seed, n_jobs=6, n=60, version="v1"):
@@ -25,7 +25,7 @@ def random_responses(seed, n_jobs=6, n=60, version="v1"):
             step = rng.choice(fitting if rng.random() < 0.7 else STEPS[version])
             bound = max(1, revision + rng.choice([0, 0, 0, 0, 1, -1, 2]))
             row = dict(job=job, event_id=event, ts=None, kind=step.kind, gate=step.gate, decision=step.decision, return_to=step.return_to,
-                       job_revision=bound, context_sha256=context_hash(job, bound) if rng.random() < 0.9 else "x")
+                       checkpoint_id=checkpoint_id(job, bound) if rng.random() < 0.95 else "cp-x", job_revision=bound, context_sha256=context_hash(job, bound) if rng.random() < 0.9 else "x")
             phase, revision, _ = answer(version, job, phase, revision, row)
             rows.append(row)
     return rows
@@ -47,7 +47,7 @@ def as_frame(spark, rows):
 
 
 def test_parallel_fold_equals_the_sequential_one(spark):
-    for version, seed in (("v1", 1), ("v1", 2), ("v2", 3)):
+    for version, seed in (("v1", 1), ("v1", 2), ("v2", 3), (KEYFRAMES_ONLY, 4)):
         rows = random_responses(seed, version=version)
         got = sorted(tuple(r) for r in jobs.checkpoint_fold(as_frame(spark, rows), version).collect())
         assert got == plain_fold(rows, version)
@@ -66,9 +66,38 @@ def test_stream_in_two_batches_equals_batch(spark, tmp_path):
     assert got == plain_fold(rows, "v1")
 
 
+def test_a_late_first_delivery_counts_and_repeats_commit_nothing(spark, tmp_path):
+    script = [s for s in STEPS["v1"] if s.decision != "changes-requested"]
+    rows = [dict(job=1, event_id=i, ts=None, kind=s.kind, gate=s.gate, decision=s.decision, return_to="", checkpoint_id=checkpoint_id(1, i), job_revision=i,
+                 context_sha256=context_hash(1, i)) for i, s in enumerate(script, 1)]
+    # each delivery is a year older than the one before; every second one comes twice
+    df = as_frame(spark, rows).withColumn("ts", F.timestamp_seconds(F.lit(4_000_000_000) - F.col("event_id") * 31_536_000))
+    for part in (df.where("event_id <= 4"), df.where("event_id > 4 or event_id % 2 = 0")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(live.RESPONSE_SCHEMA).parquet(f"{tmp_path}/in")
+        live.run_to_end(live.checkpoint_fold_stream(live.first_deliveries(stream)), f"{tmp_path}/once", f"{tmp_path}/state-once")
+        live.run_to_end(live.checkpoint_fold_stream(stream), f"{tmp_path}/all", f"{tmp_path}/state-all")
+    once = spark.read.parquet(f"{tmp_path}/once").collect()
+    assert len(once) == len(script) and {r["status"] for r in once} == {"applied"}
+    again = spark.read.parquet(f"{tmp_path}/all").groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in again} == {"applied": len(script), "stale": 2}
+
+
+def test_retention_by_version(spark):
+    names = [("output", "motion_plan"), ("output", "motion_blueprints"), ("output", "raw_frame_admissions"), ("approval", "motion-plan"), ("plan", "spacing_plan")]
+    rows = [(v, 3, route, *part) for v in ("v1", "v2") for route in ("keyframes", "sequence", "nowhere") for part in names]
+    state = spark.createDataFrame(rows, "protocol string, material_revision int, return_to string, section string, name string")
+    out = jobs.rework_retention(state).collect()
+    kept = {(r["protocol"], r["return_to"], r["name"]) for r in out if r["kept"]}
+    v2 = {"motion_plan", "raw_frame_admissions", "motion-plan"}
+    assert kept == {("v1", route, "motion_blueprints") for route in ("keyframes", "sequence")} | {
+        ("v2", route, n) for route in ("keyframes", "sequence") for n in v2} | {(v, "sequence", "spacing_plan") for v in ("v1", "v2")}
+    assert {(r["return_to"], r["material_revision"]) for r in out} == {("keyframes", 4), ("sequence", 4), ("nowhere", 3)}
+
+
 def test_full_history_reaches_package_ready(spark):
     script = [s for s in STEPS["v1"] if s.decision != "changes-requested"]
-    rows = [dict(job=1, event_id=i, ts=None, kind=s.kind, gate=s.gate, decision=s.decision, return_to="", job_revision=i, context_sha256=context_hash(1, i))
+    rows = [dict(job=1, event_id=i, ts=None, kind=s.kind, gate=s.gate, decision=s.decision, return_to="", checkpoint_id=checkpoint_id(1, i), job_revision=i, context_sha256=context_hash(1, i))
             for i, s in enumerate(script, 1)]
     (state,) = jobs.job_states(jobs.checkpoint_fold(as_frame(spark, rows))).collect()
     assert (state["phase"], state["revision"]) == ("package-ready", len(script) + 1)
