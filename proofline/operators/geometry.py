@@ -216,18 +216,17 @@ def dominant_bin(samples: DataFrame, keys: Sequence[str], axes: Sequence[str], t
 def nearest_center(points: DataFrame, centers: DataFrame, point_id: str, vector: str, block: int = 256) -> DataFrame:
     """Nearest centre per point, the first one on ties.
 
-    Centres travel as arrays of at most ``block``; a point meets each block once
-    through an equi-join that is broadcast only when the block table is small.
+    Centres travel as arrays of about ``block``, dealt by a hash of their id; a point meets
+    each array once through an equi-join that is broadcast only when that table is small.
     """
-    placed = numbered(ordered(centers.select("center_id", F.col("center").alias("_v")), [], ["center_id"]), "_rn").plain()
-    blocks = placed.groupBy(F.expr(f"div(_rn - 1, {block})").alias("_block")).agg(
-        F.sort_array(F.collect_list(F.struct("_rn", "center_id", "_v"))).alias("_centers")
+    count = max(1, -(-centers.count() // block))
+    blocks = centers.groupBy(F.pmod(F.xxhash64("center_id"), F.lit(count)).cast("bigint").alias("_block")).agg(
+        F.collect_list(F.struct("center_id", F.col("center").alias("_v"))).alias("_centers")
     )
-    count = blocks.count()
     spread = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
     met = join_small(spread, blocks, ["_block"], how="inner", max_rows=64)
     scored = F.array_min(F.transform(
-        "_centers", lambda c: F.struct(squared_distance(F.col(vector), c["_v"]).alias("d"), c["_rn"].alias("rn"), c["center_id"].alias("id"))
+        "_centers", lambda c: F.struct(squared_distance(F.col(vector), c["_v"]).alias("d"), c["center_id"].alias("id"))
     ))
     best = met.withColumn("_best", scored).groupBy(point_id).agg(F.min("_best").alias("_best"))
     return best.select(point_id, F.col("_best.id").alias("center_id"), F.sqrt("_best.d").alias("distance"))

@@ -20,11 +20,15 @@ def gate_rank(gate: Column) -> Column:
     return lookup(gate, GATE_RANK)
 
 
-def review_scope_audit(reviews: DataFrame, expected: DataFrame, hashes: DataFrame, package: str) -> DataFrame:
+def review_scope_audit(
+    reviews: DataFrame, expected: DataFrame, hashes: DataFrame, package: str, admissions: DataFrame | None = None,
+) -> DataFrame:
     """One review per expected (gate, subject list), nothing else, with current subject hashes.
 
     ``reviews``: package, id, gate, subject_ids, subject_sha256 (map), declared_order.
     ``expected``: package, gate, subject_ids.  ``hashes``: package, subject_id, sha256.
+    ``admissions``: package, subject_id, sha256 of the admission proof of canonical subjects; with it, reviews carry a map
+    admission_sha256 that binds exactly the canonicals among their subjects to their current proof.
     """
     scope = [package, "gate", "subject_ids"]
     seen = reviews.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id"))
@@ -56,21 +60,30 @@ def review_scope_audit(reviews: DataFrame, expected: DataFrame, hashes: DataFram
     gaps = orders.where((F.col("_rows") != F.col("_d")) | (F.col("_lo") != 1) | (F.col("_hi") != F.col("_d"))).select(
         package, F.lit(-1).cast("bigint").alias("id"), F.lit("order-not-contiguous").alias("code")
     )
-    return scopes.unionByName(stale).unionByName(surplus).unionByName(again).unionByName(gaps)
+    found = scopes.unionByName(stale).unionByName(surplus).unionByName(again).unionByName(gaps)
+    if admissions is None:
+        return found
+    # every subject and every key of the map: either side may lack what the other holds
+    named = reviews.select(package, "id", "admission_sha256", "subject_ids", F.explode(
+        F.array_union("subject_ids", F.coalesce(F.map_keys("admission_sha256"), F.array().cast("array<string>")))).alias("subject_id"))
+    proofs = named.join(admissions.select(package, "subject_id", "sha256"), on=[package, "subject_id"], how="left")
+    due = F.when(F.array_contains("subject_ids", F.col("subject_id")), F.col("sha256"))
+    unbound = proofs.where(~F.try_element_at("admission_sha256", F.col("subject_id")).eqNullSafe(due)).select(
+        package, "id", F.lit("admission").alias("code")).distinct()
+    return found.unionByName(unbound)
 
 
 def gate_order_audit(reviews: DataFrame, package: str) -> DataFrame:
     """Findings on the declared order of scoped reviews.
 
-    A package with more than ``MAX_REVIEWS`` reviews is itself a finding.  Its ranks and canonical approvals are audited like
-    any other; only its keyframe and sequence reviews are not paired, which bounds the work per package whatever the skew.
-    A gate without a rank is a finding, too.
+    A package with more than ``MAX_REVIEWS`` reviews is itself a finding, and it is audited like any other.  A keyframe set
+    belongs to a sequence that holds all its frames: both meet on (package, canonical, frame), and the frames that met are
+    counted against the size of the set.  A gate without a rank is a finding, too.
     """
     sizes = reviews.groupBy(package).agg(F.count(F.lit(1)).alias("_n"))
     too_many = sizes.where(F.col("_n") > MAX_REVIEWS).select(
         package, F.lit(-1).cast("bigint").alias("id"), F.lit("too-many-reviews").alias("code")
     )
-    pairable = sizes.where(F.col("_n") <= MAX_REVIEWS).select(package)
     ranked = reviews.withColumn("_rank", gate_rank(F.col("gate"))).withColumn("_canonical", F.try_element_at("subject_ids", F.lit(1)))
     ranked = ranked.withColumn("_frames", F.slice("subject_ids", 2, F.greatest(F.size("subject_ids"), F.lit(1))))
 
@@ -86,16 +99,21 @@ def gate_order_audit(reviews: DataFrame, package: str) -> DataFrame:
         F.col("_approved_at").isNull() | (F.col("_approved_at") >= F.col("declared_order"))
     ).select(package, "id", F.lit("before-canonical").alias("code"))
 
-    keyframes = ranked.where(F.col("_rank") == 1).select(
-        package, "_canonical", F.col("_frames").alias("_keys"), F.col("declared_order").alias("_key_order")
-    )
     unknown = ranked.where(F.col("_rank").isNull()).select(package, "id", F.lit("unknown-gate").alias("code"))
-    sequences = ranked.where(F.col("_rank") == 2).join(pairable, on=package, how="left_semi").select(package, "id", "_canonical", "_frames", "declared_order")
-    subset = F.size(F.array_except("_keys", "_frames")) == 0
-    matches = sequences.join(keyframes, on=[package, "_canonical"], how="left").groupBy(package, "id").agg(
-        F.count_if(subset).alias("_matches"), F.min(F.when(subset, F.col("_key_order"))).alias("_key_order"),
-        F.first("declared_order").alias("declared_order"),
-    )
+    scope = [package, "_canonical"]
+    framed = ranked.where(F.col("_rank") > 0).withColumn("_frames", F.array_distinct("_frames"))
+    sets = framed.where(F.col("_rank") == 1).select(
+        *scope, F.struct("id", "declared_order").alias("_set"), F.size("_frames").alias("_size"), F.col("declared_order").alias("_key_order"), "_frames")
+    sequences = framed.where(F.col("_rank") == 2).select(*scope, "id", "declared_order", "_frames")
+    met = sequences.select(*scope, "id", "declared_order", F.explode("_frames").alias("_frame")).join(
+        sets.select(*scope, "_set", "_size", "_key_order", F.explode("_frames").alias("_frame")), on=[*scope, "_frame"])
+    whole = met.groupBy(package, "id", "declared_order", "_set", "_size", "_key_order").agg(F.count(F.lit(1)).alias("_met")).where("_met = _size")
+    # a set without frames belongs to every sequence of its canonical: such sets are counted, not paired
+    empty = sets.where("_size = 0").groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.min("_key_order").alias("_key_order"))
+    plain = sequences.join(empty, on=scope, how="left").select(
+        package, "id", "declared_order", F.coalesce("_n", F.lit(0)).alias("_n"), "_key_order")
+    matches = plain.unionByName(whole.select(package, "id", "declared_order", F.lit(1).alias("_n"), "_key_order")).groupBy(package, "id").agg(
+        F.sum("_n").alias("_matches"), F.min("_key_order").alias("_key_order"), F.min("declared_order").alias("declared_order"))
     wrong = matches.where(
         (F.col("_matches") != 1) | (F.col("_key_order") >= F.col("declared_order"))
     ).select(package, "id", F.lit("keyframes-not-before-sequence").alias("code"))
@@ -111,6 +129,8 @@ def review_decision(packets: DataFrame, bound_text: Column) -> DataFrame:
     """
     observations = F.flatten(F.transform("reviews", lambda r: r["observations"]))
     cited = F.flatten(F.transform("reviews", lambda r: r["evidence_ids"]))
+    # exactly one acceptable observation per subject
+    accepted = F.transform(F.filter(observations, lambda o: o["disposition"] == "acceptable"), lambda o: o["subject_id"])
     problems = listed(
         F.when(F.exists("reviews", lambda r: F.size(r["evidence_ids"]) == 0), "review without evidence"),
         F.when(F.size(F.array_except(cited, F.col("evidence"))) > 0, "unknown evidence"),
@@ -120,7 +140,8 @@ def review_decision(packets: DataFrame, bound_text: Column) -> DataFrame:
         F.when(~F.col("status").isin("approved", "rejected"), "invalid status"),
         F.when(~F.col("subject_sha256").eqNullSafe(sha256(bound_text)), "decision hash mismatch"),
         F.when((F.size(observations) == 0)
-               | F.exists(observations, lambda o: ~o["disposition"].eqNullSafe(F.lit("acceptable"))), "not acceptable"),)
+               | F.exists(observations, lambda o: ~o["disposition"].eqNullSafe(F.lit("acceptable"))), "not acceptable"),
+        F.when((F.size(accepted) != F.size("subjects")) | (F.size(F.array_except(F.col("subjects"), accepted)) > 0), "subject coverage"),)
     return packets.withColumn("problems", problems).withColumn("approved", (F.size("problems") == 0))
 
 

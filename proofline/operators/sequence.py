@@ -207,9 +207,10 @@ def exact_quantiles(
     """Exact linearly interpolated quantiles per key, without one task per key.
 
     Values are first counted per (key, value) with map-side combine, then the
-    cumulative counts locate the two neighbouring ranks of each quantile.
+    cumulative counts locate the two neighbouring ranks of each quantile.  The
+    counts are written once, so that the rows behind them are read once.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     ranked = scan(ordered(counts, keys, [value]), before_sum={"_lo": "_n"}, total={"_all": "_n"}).df
 
     def at(rank: Column) -> Column:

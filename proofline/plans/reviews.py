@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.functions.hashing import sha256, sorted_struct
@@ -16,6 +16,15 @@ R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 
 
+def _admission(subjects) -> Column:
+    """Proofs of the canonical subjects (1 and 2) of a review; some are wrong, missing or of a subject that has none."""
+    canonical = F.filter(subjects, lambda s: s.isin("1", "2"))
+    named = F.expr("order_id % 31 = 5")
+    keys = F.when(named, F.array_append(canonical, F.lit("9"))).when(F.col("order_id") % 29 == 4, F.slice(canonical, 1, 0)).otherwise(canonical)
+    seal = F.when(F.col("order_id") % 19 == 6, F.lit("z")).otherwise(F.lit("a"))
+    return F.map_from_arrays(keys, F.transform(keys, lambda s: sha256(F.concat(seal, s))))
+
+
 def order_reviews(spark: SparkSession, d: str) -> DataFrame:
     """Orders of a customer as scoped reviews, the subject hashes partly out of date."""
     orders = load(spark, d, "orders").select(
@@ -28,6 +37,7 @@ def order_reviews(spark: SparkSession, d: str) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).alias("gate"), subjects.alias("subject_ids"),
         F.map_from_arrays(subjects, F.transform(subjects, lambda s: sha256(F.concat(held, s)))).alias("subject_sha256"),
         F.when(F.col("order_id") % 50 == 0, F.col("place") + 100).otherwise(F.col("place")).alias("declared_order"),
+        _admission(subjects).alias("admission_sha256"),
     )
 
 
@@ -44,6 +54,8 @@ def order_reviews(spark: SparkSession, d: str) -> DataFrame:
     from g full join e on g.package = e.package and g.gate = e.gate and g.s = e.s
     where n is null or e.package is null or n > 1
     union all select distinct package, id, 'stale' from r where oid % 11 = 0
+    union all select distinct package, id, 'admission' from r
+      where oid % 31 = 5 or (s between 0 and 2 and oid % 29 = 4) or (s between 0 and 2 and oid % 19 = 6)
     union all select package, id, 'repeated-id' from r group by 1, 2 having count(*) > 1
     union all select package, -1, 'order-not-contiguous' from r group by 1
               having min(ord) <> 1 or max(ord) <> count(*) or count(distinct ord) <> count(*)""")
@@ -53,7 +65,8 @@ def b23(spark, d):
         found.where("package % 10 = 0").select("package", F.lit("9"), F.array(F.lit("0"), F.lit("1"))))
     hashes = found.select("package", F.explode("subject_ids").alias("subject_id")).distinct().withColumn(
         "sha256", sha256(F.concat(F.lit("s"), F.col("subject_id"))))
-    return ops.review_scope_audit(found, expected, hashes, "package")
+    admissions = hashes.where("subject_id in ('1', '2')").select("package", "subject_id", sha256(F.concat(F.lit("a"), F.col("subject_id"))).alias("sha256"))
+    return ops.review_scope_audit(found, expected, hashes, "package", admissions)
 
 
 @R.add("b24_gate_order_audit", """
@@ -115,7 +128,8 @@ def bound_text():
        case when n = 2 and doc_id % 12 = 0 then 'unknown subject' end,
        case when doc_id % 18 = 0 then 'invalid status' end,
        case when doc_id % 21 = 0 then 'decision hash mismatch' end,
-       case when n = 0 or toxic = 1 or quality = 0 then 'not acceptable' end) as problems,
+       case when n = 0 or toxic = 1 or quality = 0 then 'not acceptable' end,
+       case when n < 2 or toxic = 1 or quality = 0 or doc_id % 12 = 0 then 'subject coverage' end) as problems,
        sha256('{"evidence":["e1"],"packet":' || doc_id || ',"reviews":[{"evidence_ids":['
          || case when doc_id % 10 = 0 then '"e9"' when doc_id % 16 = 0 then '' else '"e1"' end || '],"observations":['
          || array_to_string(list_transform(range(n), lambda i: '{"classification":"reviewed","disposition":"'

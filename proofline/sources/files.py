@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +17,9 @@ from proofline.functions.documents import kind_at, with_document
 # The largest JSON document, and files a manifest never lists.
 LARGEST_DOCUMENT = 8 * 1024 * 1024
 SKIPPED_FILES = r"(^|/)__pycache__/|\.pyc$|(^|/)\.DS_Store$|(^|/)SHA256SUMS$"
-# binaryFile keeps one file per row, so larger files are listed without content.
-LARGEST_HASHED = 1 << 30
+# A row holds a whole file up to this size; larger ones are read and hashed in blocks.
+LARGEST_ROW = 1 << 26
+BLOCK = 1 << 20
 
 TRIGGER_SCHEMA = "id string, should_trigger boolean, prompt string, reason string"
 CASE = "struct<id:string,prompt:string,reason:string>"
@@ -63,17 +70,35 @@ def read_checksum_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Regular files below ``root``: relative path, byte length and SHA-256."""
+def scan_files(spark: SparkSession, root: str, glob: str | None = None, largest_row: int = LARGEST_ROW) -> DataFrame:
+    """Regular files below ``root``: relative path, byte length and SHA-256, whatever their size.
+
+    Files above ``largest_row`` bytes are read through the Arrow file system of their URI scheme, which executors must be able to reach.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     base = root.rstrip("/") + "/"
     relative = F.element_at(F.split("path", F.lit("\\Q" + base + "\\E"), 2), -1)
-    files = reader.load(root).withColumn("path", F.url_decode(F.regexp_replace(relative, r"\+", "%2B"))).where(~F.col("path").rlike(SKIPPED_FILES))
-    small = files.where(F.col("length") <= LARGEST_HASHED).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > LARGEST_HASHED).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large)
+    files = reader.load(root).withColumn("uri", F.regexp_replace("path", "^file:/+", "file:///")).withColumn("path", F.url_decode(F.regexp_replace(relative, r"\+", "%2B"))).where(~F.col("path").rlike(SKIPPED_FILES))
+    small = files.where(F.col("length") <= largest_row).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > largest_row).select("path", F.col("length").alias("bytes"), "uri")
+    return small.unionByName(large.mapInArrow(_hashed_in_blocks, "path string, bytes bigint, sha256 string"))
+
+
+def _hashed_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of files of any size, one block in memory at a time; a file's digest is sequential by definition."""
+    ascii_marks = "!#$%&'()*+,/:;=?@[]~"
+    for batch in batches:
+        digests = []
+        for uri in batch.column("uri").to_pylist():
+            digest = hashlib.sha256()
+            system, path = FileSystem.from_uri(quote(uri, safe=ascii_marks))  # letters beyond ASCII come unescaped
+            with system.open_input_stream(path) as stream:
+                while data := stream.read(BLOCK):
+                    digest.update(data)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
 
 
 def write_manifest(files: DataFrame, path: str, single_file: bool = False) -> None:

@@ -124,7 +124,41 @@ def test_keyframes_precede_their_sequence(spark):
     assert codes(late) == [(2, "rank-decreases"), (3, "keyframes-not-before-sequence")]
     many = [("big", i, "sequence-approval", ["c", "x"], i) for i in range(reviews.MAX_REVIEWS + 1)]
     # a package over the limit is a finding, and its approvals are audited all the same
-    assert codes(many) == [(-1, "too-many-reviews")] + [(i, "before-canonical") for i in range(reviews.MAX_REVIEWS + 1)]
+    assert codes(many) == sorted([(-1, "too-many-reviews")] + [
+        (i, code) for i in range(reviews.MAX_REVIEWS + 1) for code in ("before-canonical", "keyframes-not-before-sequence")])
+    # a set without frames belongs to the sequence as well, so two sets match
+    bare = [*good[:2], ("p", 9, "keyframe-set-approval", ["c"], 3), (*good[2][:4], 4)]
+    assert codes(bare) == [(3, "keyframes-not-before-sequence")]
+    # a sequence that lacks one frame of the set has none
+    assert codes([*good[:2], ("p", 3, "sequence-approval", ["c", "k1", "m"], 3)]) == [(3, "keyframes-not-before-sequence")]
+
+
+def test_a_review_binds_the_admission_of_its_canonicals(spark):
+    schema = ("package string, id bigint, gate string, subject_ids array<string>, subject_sha256 map<string,string>, declared_order bigint, "
+              "admission_sha256 map<string,string>")
+    hashes = spark.createDataFrame([("p", s, f"h{s}") for s in "ck"], "package string, subject_id string, sha256 string")
+    proofs = spark.createDataFrame([("p", "c", "proof")], "package string, subject_id string, sha256 string")
+
+    def codes(admission):
+        rows = spark.createDataFrame([("p", 1, "g", ["c", "k"], {"c": "hc", "k": "hk"}, 1, admission)], schema)
+        return [r["code"] for r in reviews.review_scope_audit(rows, rows.select("package", "gate", "subject_ids"), hashes, "package", proofs).collect()]
+
+    assert codes({"c": "proof"}) == []
+    for wrong in ({"c": "other"}, {}, None, {"c": "proof", "k": "hk"}, {"c": "proof", "x": "y"}):
+        assert codes(wrong) == ["admission"]
+
+
+def test_every_subject_needs_one_acceptable_observation(spark):
+    schema = ("subjects array<string>, evidence array<string>, status string, subject_sha256 string, "
+              "reviews array<struct<evidence_ids:array<string>,observations:array<struct<classification:string,disposition:string,subject_id:string>>>>")
+
+    def problems(*subjects):
+        seen = [("reviewed", "acceptable", s) for s in subjects]
+        row = (["s1", "s2"], ["e1"], "approved", hashlib.sha256(b"x").hexdigest(), [(["e1"], seen)])
+        return reviews.review_decision(spark.createDataFrame([row], schema), F.lit("x")).first()["problems"]
+
+    assert problems("s1", "s2") == [] and problems("s2", "s1") == []
+    assert problems("s1") == ["subject coverage"] and problems("s1", "s1") == ["subject coverage"] and problems("s1", "s2", "s2") == ["subject coverage"]
 
 
 def test_touching_rectangles_do_not_meet(spark):
@@ -187,6 +221,8 @@ def test_sources_round_trip(spark, tmp_path):
     files = io.scan_files(spark, f"file:{tmp_path}/t")
     assert {(r["path"], r["bytes"], r["sha256"]) for r in files.collect()} == {
         ("a b+c.txt", 3, hashlib.sha256(b"one").hexdigest()), ("n/é.bin", 4, hashlib.sha256(b"\x00two").hexdigest())}
+    for limit in (3, 0):  # in blocks
+        assert sorted(io.scan_files(spark, f"file:{tmp_path}/t", largest_row=limit).collect()) == sorted(files.collect())
     io.write_manifest(files, f"{tmp_path}/sums", single_file=True)
     lines = io.read_checksum_lines(spark, f"{tmp_path}/sums")
     assert [r["path"] for r in lines.collect()] == ["a b+c.txt", "n/é.bin"] and lines.where("error is not null").count() == 0
