@@ -153,13 +153,13 @@ def _estimate(n: int, sums, products, factor: float):
     return mean.tolist(), [float(inverse[i, j]) for i, j in _PAIRS], float(np.linalg.slogdet(cov)[1])
 
 
-_ESTIMATES = "team string, centre array<double>, inverse array<double>, logdet double"
+_ESTIMATES = "team string, centre array<double>, inverse array<double>, logdet double, better boolean"
 
 
 def _concentrate(rows: DataFrame, estimates: DataFrame, share: float | None, within: float, factor: float) -> DataFrame:
     """New estimates from the ``share`` of each group with the smallest distances (to the end of its bin), or from all with at most ``within``.
 
-    Counts, sums and products are added up per group and bin of distance, with map-side combine: a group gives a few hundred rows, whatever its size.
+    With a ``share``, a group keeps its old estimate unless the new one's determinant is smaller; ``better`` tells which.  Counts, sums and products are added up per group and bin of distance, with map-side combine: a group gives a few hundred rows, whatever its size.
     """
     binned = rows.join(estimates.select("team", "centre", "inverse"), "team").withColumn("d", distance())
     fine = F.least(F.lit(2000), F.floor(F.log1p("d") * 100)).cast("int")
@@ -171,7 +171,9 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, share: float | None, wit
     )
     columns = ["n", *FEATURES, *(f"p{i}{j}" for i, j in _PAIRS)]
 
-    def solve(group: pa.Table) -> pa.Table:
+    def solve(group: pa.Table, old: pa.Table) -> pa.Table:
+        if not group.num_rows:  # no row within the ellipsoid: nothing to estimate from
+            return old.slice(0, 0).append_column("better", pa.array([], pa.bool_()))
         group = group.sort_by("bin")
         table = np.stack([group[x].to_numpy() for x in columns]).astype(np.int64)
         n = np.cumsum(table[0])
@@ -179,12 +181,17 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, share: float | None, wit
         total = table[:, :upto].sum(axis=1)
         part = 1.0 if share is None else total[0] / n[-1]
         centre, inverse, logdet = _estimate(int(total[0]), total[1 : P + 1], total[P + 1 :], factor if share is None else _consistency(part))
+        better = share is None or logdet < old["logdet"][0].as_py() - 1e-9
+        if not better:
+            return old.append_column("better", pa.array([False], pa.bool_()))
         return pa.table({
             "team": group["team"].slice(0, 1), "centre": pa.array([centre], pa.list_(pa.float64())),
             "inverse": pa.array([inverse], pa.list_(pa.float64())), "logdet": pa.array([logdet], pa.float64()),
+            "better": pa.array([True], pa.bool_()),
         })
 
-    return cut(added.groupBy("team").applyInArrow(solve, _ESTIMATES))
+    known = estimates.select("team", "centre", "inverse", "logdet").groupBy("team")
+    return cut(added.groupBy("team").cogroup(known).applyInArrow(solve, _ESTIMATES))
 
 
 def _consistency(part: float) -> float:
@@ -200,7 +207,7 @@ def _start(rows: DataFrame) -> DataFrame:
     centre = F.array(*(F.col(name)[1] / UNIT for name in FEATURES))
     variance = [F.pow((F.col(name)[2] - F.col(name)[0]) / (1.349 * UNIT), 2) + floor**2 for name, floor in FEATURES.items()]
     inverse = F.array(*(1 / variance[i] if i == j else F.lit(0.0) for i, j in _PAIRS))
-    return cut(told.select("team", centre.alias("centre"), inverse.alias("inverse"), F.lit(0.0).alias("logdet")))
+    return cut(told.select("team", centre.alias("centre"), inverse.alias("inverse"), F.lit(float("inf")).alias("logdet")))
 
 
 def judge(docs: DataFrame, tail: float = TAIL, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -215,15 +222,10 @@ def judge(docs: DataFrame, tail: float = TAIL, key: str = "doc_id", text: str =
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = cut(_grouped(cut(_features(counted.withColumn("base_failed", failed)))))
     judged = rows.where(~F.col("base_failed"))
-    estimates = _concentrate(judged, _start(judged), 0.5, 0.0, 1.0)
-    for _ in range(STEPS - 1):
-        new = _concentrate(judged, estimates, 0.5, 0.0, 1.0).alias("new")
-        better = F.col("new.logdet") < F.col("old.logdet") - 1e-9
-        pairs = cut(estimates.alias("old").join(new, F.col("old.team") == F.col("new.team")).select(
-            "old.team", *(F.when(better, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in ("centre", "inverse", "logdet")), better.alias("better"),
-        ))
-        estimates = pairs.drop("better")
-        if pairs.where("better").isEmpty():
+    estimates = _start(judged)
+    for _ in range(STEPS):
+        estimates = _concentrate(judged, estimates, 0.5, 0.0, 1.0)
+        if estimates.where("better").isEmpty():
             break
     inner = chi2_quantile(0.975, P)
     estimates = _concentrate(judged, estimates, None, inner, 0.975 / chi2_cdf(inner, P + 2))
