@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, key:
     """
     stamped = cut(fingerprints(docs, words, key, text))  # texts are hashed once
     distinct = cut(stamped.groupBy("print").agg(F.min("key").alias("least")))
-    found = components(links(distinct))
+    found = components(links(distinct, radius))
     named = distinct.join(found, distinct["print"] == found["node"], "left").select(
         "print", "least", F.coalesce("component", "print").alias("component"),
     )

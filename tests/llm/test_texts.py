@@ -309,6 +309,12 @@ def test_near_duplicates_of_documents(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_within_another_radius(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id in (6, 145)")  # 3 bits apart
+    assert {r.component_id for r in near_duplicates(docs).collect()} == {6}
+    assert {r.component_id for r in near_duplicates(docs, radius=2).collect()} == {6, 145}
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark):
