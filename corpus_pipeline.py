@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm.mixing import mix, word_count
-from proofline.llm.packing import cut_pieces, pack
+from proofline.llm.packing import pack_documents
 from proofline.llm.pii import redact, train, with_spans
 from proofline.llm.quality import judge
 from proofline.llm.queries import VOCABULARY
@@ -81,9 +81,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 1024 tokens."""
-    placed = pack(cut_pieces(docs, VOCABULARY, end_id=0, with_ids=False).drop("ids"))
-    return placed.select(F.col("key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Pieces of all documents with their ids (raw, little-endian) and places, as read back from the written sequences of 1024 tokens."""
+    placed = pack_documents(docs, VOCABULARY, end_id=0)
+    return placed.select(F.col("key").alias("doc_id"), "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [

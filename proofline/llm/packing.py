@@ -169,15 +169,85 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def sequences(placed: DataFrame, tokenizer: str, pad_id: int = 0, window: int = WINDOW) -> DataFrame:
-    """The packed rows: sequence_id, ids (raw), n_tokens and piece borders; padded to the window unless the length is a power of two."""
-    width = encoder(tokenizer).width
-    rows = placed.groupBy("sequence_id").agg(
-        F.sort_array(F.collect_list(F.struct("offset", "length", "ids"))).alias("pieces"), F.sum("length").alias("n_tokens"),
-    )
-    joined = F.aggregate("pieces", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
-    whole = (F.col("n_tokens").bitwiseAND(F.col("n_tokens") - 1)) == 0
-    padding = F.unhex(F.repeat(F.lit(int(pad_id).to_bytes(width, "little").hex()), (F.lit(window) - F.col("n_tokens")).cast("int")))
-    return rows.select(
-        "sequence_id", F.when(whole, joined).otherwise(F.concat(joined, padding)).alias("ids"), "n_tokens",
-        F.transform("pieces", lambda x: x["offset"]).alias("borders"),
-    )
+    """The packed rows: sequence_id, ids (raw), n_tokens and piece borders; padded to the window unless the length is a power of two.
+
+    ``keys``, ``starts`` and ``totals`` tell whose the pieces are.  Rows of a sequence meet sorted, so a task holds one sequence at a time
+    besides its batch.
+    """
+    columns = ["sequence_id", "length", "ids", "offset", "key", "start", "doc_tokens"]
+    rows = placed.select(*columns).repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    kind = rows.schema["key"].dataType.simpleString()
+    long_list = pa.list_(pa.int64())
+
+    def join(batches):
+        width = encoder(tokenizer).width
+        pad = int(pad_id).to_bytes(width, "little")
+
+        def whole(some: pa.Table) -> pa.RecordBatch:
+            """Rows of whole sequences."""
+            sequence = some["sequence_id"].to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], sequence[1:] != sequence[:-1]]))
+            ends = np.append(begins[1:], len(sequence))
+            n_tokens = np.add.reduceat(some["length"].to_numpy(), begins)
+            pieces, packed = some["ids"].to_pylist(), []
+            for a, b, n in zip(begins.tolist(), ends.tolist(), n_tokens.tolist()):
+                packed.append(b"".join(pieces[a:b]) + (pad * (window - n) if n & (n - 1) else b""))
+            spots = pa.array(np.append(begins, len(sequence)), pa.int32())
+            lists = [pa.ListArray.from_arrays(spots, some[x].combine_chunks()) for x in ("offset", "key", "start", "doc_tokens")]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(sequence[begins]), pa.array(packed, pa.binary()), pa.array(n_tokens), *lists],
+                names=["sequence_id", "ids", "n_tokens", "borders", "keys", "starts", "totals"],
+            )
+
+        left = None
+        for batch in batches:
+            some = pa.Table.from_batches([batch])
+            some = some if left is None else pa.concat_tables([left, some])
+            if not some.num_rows:
+                continue
+            sequence = some["sequence_id"].to_numpy()
+            last = int(np.searchsorted(sequence, sequence[-1]))  # the last sequence may go on in the next batch
+            if last:
+                yield whole(some.slice(0, last))
+            left = some.slice(last)
+        if left is not None:
+            yield whole(left)
+
+    schema = f"sequence_id long, ids binary, n_tokens long, borders array<long>, keys array<{kind}>, starts array<long>, totals array<long>"
+    return rows.mapInArrow(join, schema)
+
+
+def read_sequences(packed: DataFrame, tokenizer: str) -> DataFrame:
+    """The pieces that lie in packed rows, as ``pack`` places them: ids, length, offset and checksum are read off the rows' ids and borders."""
+    kind = packed.schema["keys"].dataType.elementType.simpleString()
+
+    def split(batches):
+        made = encoder(tokenizer)
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE):
+                some = batch.slice(low, SLICE)
+                length, ids, crc = [], [], []
+                for packed_ids, n, borders in zip(*(some.column(x).to_pylist() for x in ("ids", "n_tokens", "borders"))):
+                    words = made.words(packed_ids)
+                    for begin, end in zip(borders, [*borders[1:], n]):
+                        piece = words[begin:end]
+                        length.append(len(piece))
+                        ids.append(piece.tobytes())
+                        crc.append(crc32_of(piece))
+                counts = np.diff(np.asarray(some.column("borders").offsets))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("keys").flatten(), some.column("starts").flatten(), pa.array(length, pa.int64()), pa.array(ids, pa.binary()),
+                     pa.array(crc, pa.int64()), some.column("totals").flatten(), pa.array(np.repeat(some.column("sequence_id").to_numpy(), counts)),
+                     some.column("borders").flatten()],
+                    names=["key", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                )
+
+    columns = packed.select("sequence_id", "ids", "n_tokens", "borders", "keys", "starts", "totals")
+    return columns.mapInArrow(split, (
+        f"key {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    ))
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
+    """Packs the pieces of all documents, writes the padded sequences to the shared folder and reads the pieces back from them."""
+    return read_sequences(cut(sequences(pack(cut_pieces(docs, tokenizer, end_id)), tokenizer)), tokenizer)

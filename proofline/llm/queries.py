@@ -66,10 +66,10 @@ def op2_keyed_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    from proofline.llm.packing import cut_pieces, pack
+    from proofline.llm.packing import pack_documents
 
     docs = table(spark, folder, "documents", "doc_id", "text")
-    placed = pack(cut_pieces(docs, VOCABULARY, end_id=0, with_ids=False).drop("ids"))
+    placed = pack_documents(docs, VOCABULARY, end_id=0)
     return placed.select(placed["key"].alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -9,9 +9,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from proofline.llm.counts import count_tokens, read_cache
-from proofline.llm.packing import best_fit_decreasing, cut_pieces, pack, sequences
+import corpus_pipeline
+from proofline.llm.packing import best_fit_decreasing, cut_pieces, pack, pack_documents, read_sequences, sequences
 from proofline.llm.shards import build_mphf, keys_of, locate, read_payloads, slots_of, write_shards
 from proofline.llm.tokens import encoder
 from proofline.session import scratch_path
@@ -141,6 +143,31 @@ def test_packing_holds_every_id_once(spark, docs, empty):
     assert pack(cut_pieces(empty, NAME, end_id=0)).count() == 0
 
 
+def test_sequences_hold_the_pieces(spark, docs, empty):
+    placed = pack(cut_pieces(docs, NAME, end_id=0)).cache()
+    packed = sequences(placed, NAME, pad_id=7).cache()
+    columns = ["key", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    expected = sorted(map(str, placed.select(*columns).collect()))
+    for found in (read_sequences(packed, NAME), pack_documents(docs, NAME, end_id=0)):
+        assert found.columns == columns and sorted(map(str, found.collect())) == expected
+    for r in packed.collect():
+        words = encoder(NAME).words(bytes(r.ids)).tolist()
+        assert len(words) == (r.n_tokens if r.n_tokens & (r.n_tokens - 1) == 0 else 1024) and set(words[r.n_tokens :]) <= {7}
+    # what is read back is what the rows hold, not what was known before packing
+    spoilt = packed.withColumn("ids", F.expr("cast(repeat('A', length(ids)) as binary)"))
+    for r in read_sequences(spoilt, NAME).collect():
+        assert bytes(r.ids) == b"A" * 2 * r.length and r.ids_crc32 == zlib.crc32(b"AA\0\0" * r.length)
+    assert pack_documents(empty, NAME, end_id=0).count() == 0
+
+
+def test_pipeline_returns_ids(spark, docs):
+    found = defaultdict(list)
+    for r in corpus_pipeline.packing(spark, docs, "").collect():
+        found[r.doc_id].append((r.start, encoder(NAME).words(bytes(r.ids)).tolist()))
+    for i in set(range(len(TEXTS))) - {3}:  # three rows share this id
+        assert [x for _, words in sorted(found[i]) for x in words] == [*ids(TEXTS[i]), 0]
+
+
 def test_counts_and_their_cache(spark, docs, empty):
     path = scratch_path(spark, "cache")
     expected = sorted(((r.doc_id, len((r.text or "").encode()), len(ids(r.text)), len(ids(r.text)) > 512) for r in docs.collect()), key=str)
