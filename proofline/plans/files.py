@@ -87,6 +87,19 @@ def s06(spark, d):
     return out.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), "bytes", "sha256")
 
 
+@R.add("s06_scan_files_all", """
+    with t as (select doc_id, doc_id // 64 as part, coalesce(text, '') || chr(10) as line from documents),
+    g as (select part, cast(sum(octet_length(encode(line))) as bigint) as bytes, sha256(string_agg(line, '' order by doc_id, line)) as sha256 from t group by 1)
+    select 'part=' || part as folder, bytes, sha256 from g""")
+def s06_all(spark, d):
+    path = scratch_path(spark, "tree")
+    rows = load(spark, d, "documents").select(F.expr("doc_id div 64").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    lines = rows.repartition("part").sortWithinPartitions("part", "doc_id", "value").select("part", "value")  # a part is one file, in this order
+    lines.write.partitionBy("part").text(path)
+    out = io.scan_files(spark, path, "*.txt")
+    return out.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), "bytes", "sha256")
+
+
 @R.add("s07_write_manifest", FILES + "select sha256, source || '/' || path as path from f")
 def s07(spark, d):
     path = scratch_path(spark, "manifest")
