@@ -109,6 +109,16 @@ def b06(spark, d):
     return ops.orphan_audit(load(spark, d, "customer"), refs, ["c_custkey"]).select("c_custkey")
 
 
+@R.add("b06_orphan_audit_all", """
+    select c_custkey from (select c_custkey from customer union all select -1 - n_nationkey from nation)
+    where c_custkey not in (select o_custkey from orders where o_custkey is not null)""")
+def b06_all(spark, d):
+    # every given customer of the small tables has orders, so a few without are added
+    more = load(spark, d, "nation").select((-1 - F.col("n_nationkey")).alias("c_custkey"))
+    customers = load(spark, d, "customer").select("c_custkey").union(more)
+    return ops.orphan_audit(customers, load(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+
+
 @R.add("b07_exact_coverage", """
     with e as (select source, doc_id from documents where doc_id % 10 <> 9 or source = 'src3'),
     a as (select source, doc_id from documents where source in ('src3', 'src4') or doc_id in (select doc_id from labels)),

@@ -17,3 +17,11 @@ def test_every_document_is_scanned(spark):
     whole = load(spark, SMALL, "documents").agg(size).collect()[0][0]
     found = {name: QUERIES[name](spark, SMALL).agg(F.sum("bytes")).collect()[0][0] for name in ("s06_scan_files", "s06_scan_files_all")}
     assert found["s06_scan_files"] < found["s06_scan_files_all"] == whole
+
+
+def test_orders_of_any_status_are_references(spark):
+    found = {r.c_custkey for r in QUERIES["b06_orphan_audit_all"](spark, SMALL).collect()}
+    orders = {r.o_custkey for r in load(spark, SMALL, "orders").collect()}
+    given = {r.c_custkey for r in load(spark, SMALL, "customer").collect()}
+    assert {x for x in found if x >= 0} == given - orders and min(found) < 0
+    assert given - orders < {r.c_custkey for r in QUERIES["b06_orphan_audit"](spark, SMALL).collect()}
