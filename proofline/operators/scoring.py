@@ -214,14 +214,18 @@ def score_disagreement(scores: DataFrame, keys: Sequence[str], score: str, gap:
 
 
 def findability_summary(candidates: DataFrame, trials: DataFrame, key: str) -> DataFrame:
-    """Median time, incorrect selections, re-find share and sample size; an empty sample is no evidence."""
+    """Median time, incorrect selections, re-find share, sample size and failures; an empty sample is no evidence.
+
+    A trial with a null ``time_to_find`` failed: it counts in all but the median, which is that of the others.
+    """
     base = trials.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("incorrect").alias("_incorrect"), F.avg(F.col("refound").cast("int")).alias("refind_share")
+        F.count(F.lit(1)).alias("_n"), F.sum("incorrect").alias("_incorrect"), F.avg(F.col("refound").cast("int")).alias("refind_share"),
+        F.count_if(F.col("time_to_find").isNull()).alias("_failed"),
     )
     middle = exact_quantiles(trials, [key], "time_to_find", {"median_time": 0.5})
     joined = candidates.select(key).distinct().join(base, on=key, how="left").join(middle, on=key, how="left")
     return joined.select(
-        key, F.coalesce("_n", F.lit(0)).alias("sample"), F.coalesce("_incorrect", F.lit(0)).alias("incorrect"), "refind_share", "median_time",
+        key, F.coalesce("_n", F.lit(0)).alias("sample"), F.coalesce("_failed", F.lit(0)).alias("failed"), F.coalesce("_incorrect", F.lit(0)).alias("incorrect"), "refind_share", "median_time",
         F.when(F.col("_n") > 0, "directional evidence").otherwise("no evidence").alias("evidence"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.operators import scoring as ops
@@ -237,10 +237,28 @@ def d12(spark, d):
            coalesce(round(mid, 3), -1) as median_time, case when n > 0 then 'directional evidence' else 'no evidence' end as evidence
     from c left join g using (event_type)""")
 def d13(spark, d):
+    return findability(spark, d, F.col("_next").isNotNull()).drop("failed")
+
+
+@R.add("d13_findability_all", """
+    with m as (select *, first_value(case when event_type = 'purchase' then epoch_us(ts) end ignore nulls)
+                         over (partition by user_id order by ts, event_id rows between 1 following and unbounded following) as nxt from events),
+    t as (select event_type, nxt - epoch_us(ts) as gap, event_id % 5 as bad, event_id % 3 = 0 as again from m),
+    g as (select event_type, count(*) as n, count(*) - count(gap) as failed, cast(sum(bad) as bigint) as bad, avg(case when again then 1 else 0 end) as share,
+                 quantile_cont(gap, 0.5) as mid from t group by 1),
+    c as (select distinct event_type from events union select r_name from region)
+    select event_type, coalesce(n, 0) as sample, coalesce(failed, 0) as failed, coalesce(bad, 0) as incorrect, coalesce(round(share, 9), -1) as refind_share,
+           coalesce(round(mid, 3), -1) as median_time, case when n > 0 then 'directional evidence' else 'no evidence' end as evidence
+    from c left join g using (event_type)""")
+def d13_all(spark, d):
+    return findability(spark, d, F.lit(True))
+
+
+def findability(spark: SparkSession, d: str, taken: Column) -> DataFrame:
     ev = load(spark, d, "events").select("user_id", "event_id", "event_type", micros().alias("us"))
     marked = ev.withColumn("_buy", F.when(F.col("event_type") == "purchase", F.col("us")))
     seq = scan(ordered(marked, ["user_id"], ["us", "event_id"]), after_valid={"_next": "_buy"}).plain()
-    trials = seq.where("_next is not null").select(
+    trials = seq.where(taken).select(
         "event_type", (F.col("_next") - F.col("us")).alias("time_to_find"), (F.col("event_id") % 5).alias("incorrect"), (F.col("event_id") % 3 == 0).alias("refound"))
     known = ev.select("event_type").distinct().union(load(spark, d, "region").select("r_name"))
     out = ops.findability_summary(known, trials, "event_type")

@@ -25,3 +25,12 @@ def test_orders_of_any_status_are_references(spark):
     given = {r.c_custkey for r in load(spark, SMALL, "customer").collect()}
     assert {x for x in found if x >= 0} == given - orders and min(found) < 0
     assert given - orders < {r.c_custkey for r in QUERIES["b06_orphan_audit"](spark, SMALL).collect()}
+
+
+def test_failed_searches_count(spark):
+    found = {r.event_type: r for r in QUERIES["d13_findability_all"](spark, SMALL).collect()}
+    narrow = {r.event_type: r for r in QUERIES["d13_findability_summary"](spark, SMALL).collect()}
+    for r in load(spark, SMALL, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("event_id") % 5).alias("bad")).collect():
+        some = found[r.event_type]
+        assert (some.sample, some.incorrect) == (r.n, r.bad) and some.failed == r.n - narrow[r.event_type].sample
+    assert sum(r.failed for r in found.values()) > 0
