@@ -34,5 +34,29 @@ def mask_counts(a: Column, b: Column, threshold: float) -> Column:
     )
 
 
+def boundary(plane: Column, width: int, threshold: float) -> Column:
+    """Positions, row by row, of the elements at or above the threshold with one below it among their eight neighbours on the plane."""
+    around = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for y in (-1, 0, 1) for x in (-1, 0, 1) if x or y))
+
+    def open_side(i: Column) -> Column:
+        def below(step: Column) -> Column:
+            column, at = i % width + step["x"], i + step["x"] + step["y"] * width
+            return (column >= 0) & (column < width) & (at >= 0) & (at < F.size(plane)) & (F.get(plane, at) < threshold)
+
+        return F.exists(around, below)
+
+    return F.filter(F.sequence(F.lit(0), F.size(plane) - 1), lambda i: (F.get(plane, i) >= threshold) & open_side(i))
+
+
+def mean_least_distance(a: Column, b: Column, width: int) -> Column:
+    """Mean distance of the positions ``a`` on a plane to the nearest of ``b``; null if either is empty."""
+    def square(i: Column, j: Column) -> Column:
+        x, y = i % width - j % width, F.floor(i / width) - F.floor(j / width)
+        return x * x + y * y
+
+    nearest = F.transform(a, lambda i: F.sqrt(F.array_min(F.transform(b, lambda j: square(i, j))).cast("double")))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), total(nearest) / F.size(a))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from proofline.functions.cases import listed, lookup
-from proofline.functions.arrays import abs_diff_sum, mask_counts
+from proofline.functions.arrays import abs_diff_sum, boundary, mask_counts, mean_least_distance
 from proofline.operators.sequence import exact_quantiles
 
 #: Releases that one evaluation may compare.
@@ -51,12 +51,20 @@ def binary_scores(df: DataFrame, scope: Sequence[str], predicted: Column, truth:
     return counts.select("*", *[c.alias(n) for n, c in scores.items()])
 
 
-def mask_scores(pairs: DataFrame, predicted: str, truth: str, threshold: int = 128) -> DataFrame:
-    """The same scores between two 0..255 planes on one row, plus mean absolute error."""
+def mask_scores(pairs: DataFrame, predicted: str, truth: str, threshold: int = 128, width: int | None = None) -> DataFrame:
+    """The same scores between two 0..255 planes on one row, plus mean absolute error.
+
+    With the ``width`` of the planes also boundary_error_px: the mean of both mean distances from one boundary to the other, infinite if one is empty.
+    """
     both = pairs.withColumn("_m", mask_counts(F.col(predicted), F.col(truth), threshold))
     scores = score_columns(F.col("_m.both"), F.col("_m.only_a"), F.col("_m.only_b"))
     error = abs_diff_sum(F.col(predicted), F.col(truth), "bigint") / (F.size(predicted) * F.lit(255.0))
-    return both.select("*", *[c.alias(n) for n, c in scores.items()], error.alias("alpha_mae")).drop("_m")
+    out = both.select("*", *[c.alias(n) for n, c in scores.items()], error.alias("alpha_mae")).drop("_m")
+    if width is None:
+        return out
+    edges = out.withColumns({"_a": boundary(F.col(predicted), width, threshold), "_b": boundary(F.col(truth), width, threshold)})
+    apart = (mean_least_distance(F.col("_a"), F.col("_b"), width) + mean_least_distance(F.col("_b"), F.col("_a"), width)) / 2.0
+    return edges.withColumn("boundary_error_px", F.coalesce(apart, F.lit(float("inf")))).drop("_a", "_b")
 
 
 def trigger_eval(runs: DataFrame, cases: DataFrame) -> DataFrame:

@@ -188,6 +188,26 @@ def d09_synthetic(spark, d):
     return ops.threshold_gates(scores, rules).select("clip", "vec_id", F.size("reasons").alias("reasons"))
 
 
+@R.add("d09_synthetic_gates_all", PLANES + """,
+    w as (select clip, vec_id, a as x, lag(a) over (partition by clip order by vec_id) as y from p),
+    k as (select *, list_filter(range(0, 64), lambda i: x[i + 1] >= 128 and len(list_filter(range(0, 64), lambda j: x[j + 1] < 128 and abs(i % 8 - j % 8) <= 1 and abs(i // 8 - j // 8) <= 1)) > 0) as ex,
+                    list_filter(range(0, 64), lambda i: y[i + 1] >= 128 and len(list_filter(range(0, 64), lambda j: y[j + 1] < 128 and abs(i % 8 - j % 8) <= 1 and abs(i // 8 - j // 8) <= 1)) > 0) as ey
+          from w where y is not null),
+    m as (select clip, vec_id, len(list_filter(range(1, 65), lambda i: x[i] >= 128 and y[i] >= 128)) as tp,
+                 len(list_filter(range(1, 65), lambda i: x[i] >= 128 and y[i] < 128)) as fp,
+                 len(list_filter(range(1, 65), lambda i: x[i] < 128 and y[i] >= 128)) as fn,
+                 list_sum(list_transform(range(1, 65), lambda i: abs(x[i] - y[i]))) / (64 * 255.0) as mae,
+                 coalesce((list_avg(list_transform(ex, lambda i: list_min(list_transform(ey, lambda j: sqrt((i % 8 - j % 8) ** 2 + (i // 8 - j // 8) ** 2)))))
+                           + list_avg(list_transform(ey, lambda i: list_min(list_transform(ex, lambda j: sqrt((i % 8 - j % 8) ** 2 + (i // 8 - j // 8) ** 2)))))) / 2, 'inf'::double) as edge from k),
+    c as (""" + confusion_sql("m", "clip, vec_id, mae, edge") + """)
+    select clip, vec_id, round(edge, 9) as boundary_error_px,
+           (iou < 0.965)::int + ("precision" < 0.98)::int + (recall < 0.98)::int + (f1 < 0.98)::int + (mae > 0.018)::int + (edge > 2)::int as reasons from c""")
+def d09_synthetic_all(spark, d):
+    seq = scan(ordered(planes(spark, d), ["clip"], ["vec_id"]), prev={"truth": "alpha"}).plain().where("truth is not null")
+    judged = ops.threshold_gates(ops.mask_scores(seq, "alpha", "truth", width=8), ops.SYNTHETIC_GATES)
+    return rounded(judged.select("clip", "vec_id", "boundary_error_px", F.size("reasons").alias("reasons")), "boundary_error_px")
+
+
 @R.add("d10_framing_stability", """
     with c as (select user_id, event_id % 3 as framing, event_type, count(*) as n from events group by 1, 2, 3)
     select user_id, framing, cast(sum(n) as bigint) as runs, count(*) as outcomes, min_by(event_type, {'n': -n, 't': event_type}) as modal_outcome,

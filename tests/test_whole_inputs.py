@@ -7,6 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from proofline import plans
+from proofline.operators import scoring
 from proofline.session import load
 
 QUERIES = plans.queries()
@@ -34,3 +35,12 @@ def test_failed_searches_count(spark):
         some = found[r.event_type]
         assert (some.sample, some.incorrect) == (r.n, r.bad) and some.failed == r.n - narrow[r.event_type].sample
     assert sum(r.failed for r in found.values()) > 0
+
+
+def test_a_row_can_break_the_boundary_gate_only(spark):
+    rows = [("block", [255] * 32 + [0] * 32, [255] * 32 + [0] * 32), ("full", [255] * 64, [255] * 64), ("dot", [0] * 63 + [255], [255] + [0] * 63)]
+    planes = spark.createDataFrame(rows, "name string, alpha array<int>, truth array<int>")
+    judged = scoring.threshold_gates(scoring.mask_scores(planes, "alpha", "truth", width=8), scoring.SYNTHETIC_GATES)
+    found = {r.name: (r.boundary_error_px, [x.split()[0] for x in r.reasons]) for r in judged.collect()}
+    assert found["block"] == (0.0, []) and found["full"] == (float("inf"), ["boundary_error_px"])
+    assert found["dot"][0] == pytest.approx(98**0.5) and found["dot"][1][-1] == "boundary_error_px"
