@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.functions.hashing import (
@@ -203,6 +203,28 @@ CHAIN = """
     union all select ledger, iteration, 'chain-hash' from p where previous = 'lost' or payload = 'changed'
     union all select ledger, iteration, 'final-hash' from e where ledger % 10 = 1""")
 def b09(spark, d):
+    # the twin leaves out the final hashes of ledgers that may be cut after their first record
+    bad, again, finals = planted_ledger(spark, d)
+    return ledger.chain_audit(bad, again, finals.where("ledger % 10 <> 7")).select("ledger", "iteration", "code")
+
+
+@R.add("b09_chain_audit_all", CHAIN + """,
+    p as (select ledger, iteration, chain,
+                 case when ledger % 10 = 3 and iteration = 2 then 'changed' else payload end as payload,
+                 case when ledger % 10 = 5 and iteration = 3 then 'lost' else previous end as previous
+          from c where not (ledger % 10 = 7 and iteration = 2)),
+    e as (select ledger, max(iteration) as iteration, max_by(chain, iteration) as final from p group by 1),
+    f as (select ledger, case when ledger % 10 = 1 then repeat('0', 64) else max_by(chain, iteration) end as final from c group by 1)
+    select ledger, iteration, 'order' as code from p where ledger % 10 = 7 and iteration = 3
+    union all select ledger, iteration, 'previous-hash' from p where previous = 'lost'
+    union all select ledger, iteration, 'chain-hash' from p where previous = 'lost' or payload = 'changed'
+    union all select e.ledger, e.iteration, 'final-hash' from e join f on e.ledger = f.ledger where e.final <> f.final""")
+def b09_all(spark, d):
+    return ledger.chain_audit(*planted_ledger(spark, d)).select("ledger", "iteration", "code")
+
+
+def planted_ledger(spark: SparkSession, d: str) -> tuple[DataFrame, Column, DataFrame]:
+    """Records with planted faults, their hashes computed again, and the final hashes before the faults; one in ten of these is wrong."""
     clean = conversation_ledger(spark, d)
     finals = clean.groupBy("ledger").agg(F.max_by("chain_hash", "iteration").alias("final_chain_hash")).withColumn(
         "final_chain_hash", F.when(F.col("ledger") % 10 == 1, F.lit(ZERO_HASH)).otherwise(F.col("final_chain_hash")))
@@ -210,9 +232,7 @@ def b09(spark, d):
     bad = bad.withColumn("payload_sha256", F.expr("if(ledger % 10 = 3 and iteration = 2, 'changed', payload_sha256)"))
     bad = bad.withColumn("previous_hash", F.expr("if(ledger % 10 = 5 and iteration = 3, 'lost', previous_hash)"))
     again = sha256(record_text(F.col("iteration"), F.col("payload_sha256"), F.col("previous_hash")))
-    # a ledger cut after its first record loses its end, so its final hash no longer agrees
-    return ledger.chain_audit(bad, again, finals.where(
-        "ledger % 10 <> 7")).select("ledger", "iteration", "code")
+    return bad, again, finals
 
 
 @R.add("b10_preserved_prefix", """

@@ -44,3 +44,9 @@ def test_a_row_can_break_the_boundary_gate_only(spark):
     found = {r.name: (r.boundary_error_px, [x.split()[0] for x in r.reasons]) for r in judged.collect()}
     assert found["block"] == (0.0, []) and found["full"] == (float("inf"), ["boundary_error_px"])
     assert found["dot"][0] == pytest.approx(98**0.5) and found["dot"][1][-1] == "boundary_error_px"
+
+
+def test_a_ledger_cut_after_its_first_record_has_a_wrong_final_hash(spark):
+    turns = load(spark, SMALL, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).where("conv_id % 10 = 7 and n = 2")
+    found = {r.ledger for r in QUERIES["b09_chain_audit_all"](spark, SMALL).where("code = 'final-hash' and ledger % 10 = 7").collect()}
+    assert found == {r.conv_id for r in turns.collect()} and found
