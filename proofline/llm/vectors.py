@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 2_048
 #: Cells per component.
 CELLS = 64
-#: Scaled components reach so far at most; beyond it scores could leave the range of long.
-LARGEST = 1 << 26
+#: No score may reach this, by the greatest components of queries and vectors; a little below the range of long, as the bound is a double.
+LARGEST = 2.0**63 * (1 - 2.0**-40)
 #: Queries whose bounds are held at once, and exact vectors read at once for one query.
 SOME_QUERIES, READ = 128, 32
 
@@ -74,24 +74,35 @@ def scaled(vector: Column, factor: int = 256) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("long"))
 
 
-def usable(vector: Column, factor: int = 256) -> Column:
-    """Neither null nor empty, all components present, finite and small enough for exact scores."""
-    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * factor < LARGEST)
+def usable(vector: Column) -> Column:
+    """Neither null nor empty, all components present and finite."""
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(good(x), F.lit(False)))
 
 
+def check_range(clean: DataFrame, factor: int = 256) -> None:
+    """Raises an error if a score between a query and a vector could leave the range of long.  Needs vector, d and asks."""
+    reach = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))) * factor + 1
+    most = clean.select("d", "asks", reach.alias("reach")).groupBy("d").agg(F.max("reach").alias("v"), F.max(F.when(F.col("asks"), F.col("reach"))).alias("q"))
+    worst = most.agg(F.max(F.col("v") * F.col("q") * F.col("d"))).collect()[0][0]
+    if worst is not None and worst >= LARGEST:
+        raise ValueError(f"components are too large: scores may reach {worst:.3g}, beyond the range of long")
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k greatest integer inner products of each query, ties to smaller ids.
 
     Rows for which ``is_query`` holds are the queries; every row with another id and as many components is a candidate.  Vectors are scaled
-    by ``scaled``; rows without an id or with a vector that is not ``usable`` take no part.  Repeated rows are one query
+    by ``scaled``; rows without an id or with a vector that is not ``usable`` take no part; components so large
+    that a score could leave the range of long are an error.  Repeated rows are one query
     each per distinct vector, and candidates each.  Queries without candidates give no rows, as does an empty table.
 
     Every block of queries meets every block of vectors in one task; blocks have a fixed size, so a task's memory does not grow.
     """
     clean = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("asks"))
-    clean = clean.withColumn("vector", F.when(usable(F.col("vector")), scaled(F.when(usable(F.col("vector")), F.col("vector"))))).where("vector is not null")
-    clean = clean.withColumn("d", F.size("vector"))
+    clean = clean.withColumn("vector", F.when(usable(F.col("vector")), F.col("vector"))).where("vector is not null").withColumn("d", F.size("vector"))
+    check_range(clean)
+    clean = clean.withColumn("vector", scaled(F.col("vector")))
     n, m = clean.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).collect()[0]
     blocks, turns = max(1, -(-n // BLOCK_VECTORS)), max(1, -(-m // BLOCK_QUERIES))
     block = F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int")

@@ -87,6 +87,17 @@ def test_top_k(spark, monkeypatch, sizes):
     assert top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_large_components_take_part(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** (i % 7)).astype(np.float32).tolist()) for i in range(120)] + [(150, [3e5] * 8), (151, [-3e5] * 8), (152, [2e7] * 7 + [2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asks = F.col("vec_id") % 50 == 0
+    assert sorted(tuple(r) for r in top_k(frame, asks).collect()) == plain_top(rows, 5)
+    beyond = frame.unionByName(spark.createDataFrame([(200, [1e12] * 8), (201, [1e12] * 8)], frame.schema))
+    with pytest.raises(ValueError, match="range of long"):
+        top_k(beyond, asks)
+
+
 def test_cells_bound_their_values():
     x = np.random.default_rng(1).integers(-50, 50, (300, 3))
     cells, low, high = vectors.approximate(x)
