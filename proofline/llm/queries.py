@@ -196,6 +196,92 @@ def op7_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_phrase_collocations", rf"""
+with docs as (select row_number() over () as doc, coalesce(lang, 'und') as lang, {_LOWER} as text from documents),
+pieces as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from docs)
+), phrases as materialized (
+  select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f from (
+    select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from (select lang, w, unnest(range(1, 5)) as m from pieces) where len(w) >= m
+  ) group by all
+), totals as (select lang, sum(f)::bigint as n from phrases where m = 1 group by lang
+), candidates as materialized (select *, string_split(phrase, ' ') as w from phrases where m > 1 and f >= 30
+), places as materialized (
+  select c.lang, c.m, c.phrase, c.f, k, array_to_string(c.w[1:k], ' ') as head, array_to_string(c.w[k + 1:c.m], ' ') as tail
+  from (select *, unnest(range(1, m)) as k from candidates) c
+), frequent as materialized (select lang, phrase, f from phrases where f >= 30
+), lefts as materialized (select p.*, f.f as l from places p join frequent f on f.lang = p.lang and f.phrase = p.head
+), cuts as (
+  select p.lang, p.phrase, p.f as a, k, l, f.f as r, ((2000000::hugeint * p.f) // (l + f.f))::bigint as score
+  from lefts p join frequent f on f.lang = p.lang and f.phrase = p.tail
+), best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inner_parts as (
+  select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, max(f) as above
+  from (select lang, w, f, k, unnest(range(1, m - k + 2)) as i from (select *, unnest(range(2, m)) as k from candidates where m > 2)) group by all
+), kept as (select b.* from best b left join inner_parts i using (lang, phrase) where above is null or 100::hugeint * above < 80::hugeint * a
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from proofline.llm.phrases import collocations
+
+    return collocations(table(spark, folder, "documents", "lang", "text"))
+
+
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op12_suffix_automaton_leaks", rf"""
+with items as (select distinct coalesce(item_id::varchar, '') as item, {_WORDS} as w from benchmark
+), windows as (
+  select distinct item, k, array_to_string(w[i:i + k - 1], ' ') as words
+  from (select item, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from items where len(w) > 0)
+), docs as (select row_number() over () as row, doc_id, {_WORDS} as w from documents
+), spots as (
+  select row, k, i, array_to_string(w[i:i + k - 1], ' ') as words
+  from (select row, w, k, unnest(range(1, len(w) - k + 2)) as i from docs, (select distinct k from windows) where len(w) >= k)
+), found as (select s.row, s.k, s.i, v.item from spots s join windows v on s.k = v.k and s.words = v.words
+), hits as (select row, count(distinct spot) as n from (select row, unnest(range(i, i + k)) as spot from found) group by row
+), held as (select row, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct row, item from found) group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(hits.n, 0)::bigint as n_hit, coalesce(held.n, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(hits.n, 0) > 0 as contaminated
+from docs left join hits using (row) left join held using (row)
+""")
+def op12_suffix_automaton_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from proofline.llm.leaks import find_leaks
+
+    found = find_leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op13_blocked_lexical_search", rf"""
+with docs as (select row_number() over () as row, doc_id, {_WORDS} as w from documents
+), sized as (select row, doc_id, len(w)::bigint as n from docs where len(w) > 0
+), whole as (select count(*) as big_n, coalesce(sum(n), 0)::bigint as big_l from sized
+), asked as (select row_number() over () as item, item_id, unnest(list_distinct({_WORDS})) as term from benchmark
+), held as (
+  select row, term, count(*) as tf from (select row, unnest(w) as term from docs) where term in (select term from asked) group by row, term
+), weights as (select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from held, whole group by term, big_n
+), scored as (
+  select item, item_id, s.doc_id, s.row, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::bigint as score
+  from asked a join held h using (term) join weights using (term) join sized s using (row), whole group by item, item_id, s.doc_id, s.row
+), ranked as (select *, (row_number() over (partition by item order by score desc, doc_id nulls last))::integer as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+""")
+def op13_blocked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    from proofline.llm.lexical import search
+
+    return search(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run

@@ -20,6 +20,6 @@ def test_twin(spark, name):
 
 def test_all_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES if name != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
     assert QUERIES.keys() <= driver.queries().keys() and ORACLE.keys() <= driver.oracle_sql().keys()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicate", "personal_data", "source_mix", "packing"]
