@@ -67,11 +67,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{SCRATCH}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything this application wrote below the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/{SCRATCH}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_table(spark, f"{checkpoint_root(spark).rstrip('/')}/{SCRATCH}/{spark.sparkContext.applicationId}")
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
