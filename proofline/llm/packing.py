@@ -3,26 +3,34 @@
 Overlong documents are cut into full windows first; what remains is shorter than a window.  Pieces differ only in
 their length, so best-fit decreasing runs over the counts per length (at most one number per length, whatever the
 corpus holds): from the longest length down, a segment tree over remaining capacities finds the tightest open
-sequences, and runs of equal sequences are filled together.  Spark numbers the pieces of each length and reads off
-their places, so the result is the one that best-fit decreasing gives piece by piece.
+sequences, and runs of equal sequences are filled together.  Of equally tight sequences the one with the lowest number
+is filled first.  Spark numbers the pieces of each length and reads off their places, so the result is the one that
+best-fit decreasing gives piece by piece.
+
+Ids are written once with their pieces, and once as sequences.  A full window is a sequence as it is; only shorter pieces are
+shuffled, once, to their sequences.  The numbering reads no ids: a task numbers its own pieces of each length while it writes
+them, and a small table tells how many pieces of a length the tasks before it have.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.llm.tokens import crc32_of, encoder
-from proofline.session import cut
+from proofline.session import drop_table, scratch_path
 
 WINDOW = 1024
-#: Parts into which the pieces of one length are dealt for numbering.
-CHUNKS = 1024
 SLICE = 512
+#: Rows (writing task, length) whose places are broadcast, about 100 bytes each; more are joined by a shuffle, with the same result.
+BROADCAST_ROWS = 500_000
+_SEGMENT = "struct<rank:bigint,sequence:bigint,per:bigint,offset:bigint>"
 
 
 class CapacityTree:
@@ -68,7 +76,7 @@ class Plan:
 
 
 def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> Plan:
-    """Plan from the number of pieces of each length (1 to ``window``)."""
+    """Plan from the number of pieces of each length (1 to ``window``); of sequences with equal room the lowest number goes first."""
     plan, tree, open_at = Plan(window), CapacityTree(window), {c: [] for c in range(window + 1)}
     for length in sorted(counts, reverse=True):
         rank, n = 0, counts[length]
@@ -76,30 +84,30 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> Plan:
             capacity = tree.tightest(length)
             if capacity is None:
                 capacity, new = window, -(-(n - rank) // (window // length))
-                open_at[window].append((plan.sequences, new))
+                heapq.heappush(open_at[window], (plan.sequences, new))
                 plan.sequences += new
-            first, run = open_at[capacity].pop()
+            first, run = heapq.heappop(open_at[capacity])
             # a sequence that takes a piece is the tightest for the next one until it is too full
             per = min(capacity // length, n - rank)
             used = min(run, (n - rank) // per)
             plan.rows.append((length, rank, first, per, window - capacity))
             rank += used * per
             if run > used:
-                open_at[capacity].append((first + used, run - used))
+                heapq.heappush(open_at[capacity], (first + used, run - used))
             tree.set(capacity, bool(open_at[capacity]))
             if left := capacity - per * length:
-                open_at[left].append((first, used))
+                heapq.heappush(open_at[left], (first, used))
                 tree.set(left, True)
     return plan
 
 
 def cut_pieces(
     docs: DataFrame, tokenizer: str, end_id: int | None = None, window: int = WINDOW, key: str = "doc_id", text: str = "text",
-    with_ids: bool = True,
 ) -> DataFrame:
     """Token pieces of whole texts: full windows from the start, then the rest.
 
-    Returns key, start, length, ids (raw little-endian ids, null unless ``with_ids``), ids_crc32, doc_tokens.
+    Returns key, start, length, ids (raw little-endian ids), ids_crc32, doc_tokens, the task that cut the piece, and how many
+    pieces of its length that task had cut before.
     Null texts are empty; a document without any id gives no piece; repeated rows give repeated pieces;
     other columns stay out, whatever their names.
     """
@@ -109,10 +117,11 @@ def cut_pieces(
     def pieces(batches):
         made = encoder(tokenizer)
         end = b"" if end_id is None else np.asarray([end_id], dtype=made.kind).tobytes()
+        task, had = TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 some = batch.slice(low, SLICE)
-                owner, start, length, ids, crc, total = [], [], [], [], [], []
+                owner, start, length, ids, crc, total, before = [], [], [], [], [], [], []
                 for i, packed in enumerate(made.encode(some.column(1).to_pylist())):
                     words = made.words(packed + end)
                     for begin in range(0, len(words), window):
@@ -120,62 +129,81 @@ def cut_pieces(
                         owner.append(i)
                         start.append(begin)
                         length.append(len(piece))
-                        ids.append(piece.tobytes() if with_ids else None)
+                        ids.append(piece.tobytes())
                         crc.append(crc32_of(piece))
                         total.append(len(words))
+                        before.append(had[len(piece)])
+                        had[len(piece)] += 1
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0).take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array(ids, pa.binary()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())],
-                    names=["key", "start", "length", "ids", "ids_crc32", "doc_tokens"],
+                     pa.array(ids, pa.binary()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()),
+                     pa.array([task] * len(owner), pa.int64()), pa.array(before, pa.int64())],
+                    names=["key", "start", "length", "ids", "ids_crc32", "doc_tokens", "task", "before"],
                 )
 
-    return rows.mapInArrow(pieces, f"key {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(pieces, f"key {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, task long, before long")
+
+
+def write_ids(table: DataFrame, path: str) -> DataFrame:
+    """Writes rows with ids, which only an entropy coder makes smaller, and reads them back."""
+    table.write.option("compression", "zstd").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a ``length`` of 1 to ``window``; all other columns are carried along.
+def pack(pieces: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+    """Pieces as ``cut_pieces`` gives them, with sequence_id and offset in place of task and before; all other columns are carried along.
 
-    Pieces of a length are numbered in ``CHUNKS`` parts, dealt by a hash of key, start and checksum, so a common length has no
-    task of its own.  Pieces that are equal in these are interchangeable.  An empty table stays empty.
+    The pieces are written to ``path`` (a scratch path if there is none), so that all that follows sees the same rows.  Pieces of
+    a length are numbered by task and, within it, as they were cut.  An empty table stays empty.
     """
-    part = F.pmod(F.xxhash64("key", "start", "ids_crc32"), F.lit(CHUNKS))
-    kept = cut(pieces.withColumn("part", part))  # encoded once, and the numbering below sees the same rows
-    sizes = kept.groupBy("length", "part").agg(F.count("*").alias("n"))
+    spark = pieces.sparkSession
+    kept = write_ids(pieces, path or scratch_path(spark, "pieces"))
+    sizes = kept.groupBy("task", "length").agg((F.max("before") + 1).alias("n"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # window rows at most
     if any(not 1 <= x <= window for x in counts):
         raise ValueError("a piece is empty or longer than the window")
     plan = best_fit_decreasing(counts, window).arrays()
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "part").orderBy("key", "start", "ids_crc32")
-    ranked = kept.withColumn("rank", F.row_number().over(inside) - 1).join(bases, ["length", "part"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("part", "base")
-    names = [x for x in ranked.columns if x != "rank"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-
-    def place(batches):
-        # rows of the plan in order of (length, rank): one long key finds the row of a piece
-        span = int(plan["rank"].max(initial=0)) + 1
-        starts = plan["length"] * span + plan["rank"]
-        for batch in batches:
-            length, rank = np.asarray(batch.column("length")), np.asarray(batch.column("rank"))
-            at = np.searchsorted(starts, length * span + np.minimum(rank, span - 1), side="right") - 1
-            inside = rank - plan["rank"][at]
-            sequence = plan["sequence"][at] + inside // plan["per"][at]
-            offset = plan["offset"][at] + inside % plan["per"][at] * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    based = sizes.select("task", "length", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    segment = pa.struct([(x, pa.int64()) for x in ("rank", "sequence", "per", "offset")])
 
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    def segments(batches):
+        """The rows of the plan that hold a task's pieces of a length, with ranks counted from the task's first one."""
+        for batch in batches:
+            found = []
+            for length, n, base in zip(*(batch.column(x).to_pylist() for x in ("length", "n", "base"))):
+                low, high = np.searchsorted(plan["length"], [length, length + 1])
+                ranks = plan["rank"][low:high]
+                first, beyond = low + np.searchsorted(ranks, base, side="right") - 1, low + np.searchsorted(ranks, base + n)
+                found.append([
+                    {"rank": r - base, "sequence": s, "per": p, "offset": o}
+                    for r, s, p, o in zip(*(plan[x][first:beyond].tolist() for x in ("rank", "sequence", "per", "offset")))
+                ])
+            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("length"), pa.array(found, pa.list_(segment))], names=["task", "length", "segments"])
+
+    places = based.mapInArrow(segments, f"task long, length long, segments array<{_SEGMENT}>")
+    if sizes.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    joined = kept.join(places, ["task", "length"]).withColumn("segment", F.element_at(F.filter("segments", lambda s: s["rank"] <= F.col("before")), -1))
+    inside, per = F.col("before") - F.col("segment.rank"), F.col("segment.per")
+    return joined.select(
+        *(c for c in pieces.columns if c not in ("task", "before")),
+        (F.col("segment.sequence") + F.floor(inside / per)).alias("sequence_id"), (F.col("segment.offset") + inside % per * F.col("length")).alias("offset"),
+    )
 
 
 def sequences(placed: DataFrame, tokenizer: str, pad_id: int = 0, window: int = WINDOW) -> DataFrame:
     """The packed rows: sequence_id, ids (raw), n_tokens and piece borders; padded to the window unless the length is a power of two.
 
-    ``keys``, ``starts`` and ``totals`` tell whose the pieces are.  Rows of a sequence meet sorted, so a task holds one sequence at a time
-    besides its batch.
+    ``keys``, ``starts`` and ``totals`` tell whose the pieces are.  A piece as long as the window is a sequence where it lies; the others
+    are shuffled.  Rows of a sequence meet sorted, so a task holds one sequence at a time besides its batch.
     """
     columns = ["sequence_id", "length", "ids", "offset", "key", "start", "doc_tokens"]
-    rows = placed.select(*columns).repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    full = placed.where(F.col("length") == window).select(
+        "sequence_id", "ids", F.col("length").alias("n_tokens"), F.array("offset").alias("borders"), F.array("key").alias("keys"),
+        F.array("start").alias("starts"), F.array("doc_tokens").alias("totals"),
+    )
+    rows = placed.where(F.col("length") < window).select(*columns).repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
     kind = rows.schema["key"].dataType.simpleString()
     long_list = pa.list_(pa.int64())
 
@@ -214,7 +242,7 @@ def sequences(placed: DataFrame, tokenizer: str, pad_id: int = 0, window: int =
             yield whole(left)
 
     schema = f"sequence_id long, ids binary, n_tokens long, borders array<long>, keys array<{kind}>, starts array<long>, totals array<long>"
-    return rows.mapInArrow(join, schema)
+    return full.unionByName(rows.mapInArrow(join, schema))
 
 
 def read_sequences(packed: DataFrame, tokenizer: str) -> DataFrame:
@@ -249,5 +277,12 @@ def read_sequences(packed: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
-    """Packs the pieces of all documents, writes the padded sequences to the shared folder and reads the pieces back from them."""
-    return read_sequences(cut(sequences(pack(cut_pieces(docs, tokenizer, end_id)), tokenizer)), tokenizer)
+    """Packs the pieces of all documents, writes the padded sequences to the shared folder and reads the pieces back from them.
+
+    The table of pieces goes once the sequences stand.
+    """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "pieces")
+    packed = write_ids(sequences(pack(cut_pieces(docs, tokenizer, end_id), path=path), tokenizer), scratch_path(spark, "sequences"))
+    drop_table(spark, path)
+    return read_sequences(packed, tokenizer)

@@ -101,21 +101,23 @@ def parse(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     return cut(chunks.groupBy("lang", "words", "last").agg(F.sum("n").alias("n")))
 
 
-def bits_of(lang: str, phrases: list[bytes]) -> np.ndarray:
-    """Where the filter keeps the phrases of a language."""
+def bits_of(lang: str, phrases: list[bytes], bits: int) -> np.ndarray:
+    """Where a filter of so many bits keeps the phrases of a language."""
     seed = zlib.crc32(lang.encode())
     codes = np.fromiter((zlib.crc32(p, seed) for p in phrases), dtype=np.int64, count=len(phrases))
-    return codes % FILTER_BITS
+    return codes % bits
 
 
 def _filter_of(frequent: DataFrame) -> np.ndarray:
     """The bits of (lang, phrase) rows, gathered as bitmaps of 32,768 bits."""
 
+    size = FILTER_BITS
+
     def spots(batches):
         for batch in batches:
             for own in batch.column(0).unique().to_pylist():
                 of_lang = batch.filter(pc.equal(batch.column(0), own))
-                yield pa.RecordBatch.from_pydict({"bit": pa.array(bits_of(own, of_lang.column(1).to_pylist()), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"bit": pa.array(bits_of(own, of_lang.column(1).to_pylist(), size), pa.int64())})
 
     bits = frequent.select("lang", "phrase").mapInArrow(spots, "bit long")
     # bitmap_bucket_number counts from 1 for positions 0..32767 counted from 1
@@ -152,7 +154,7 @@ def _count(dictionary: DataFrame, sizes: tuple[int, ...], known: np.ndarray | No
                     maybe = seen.setdefault(own, {})
                     parts = words if least == 1 else [b" ".join(x) for x in zip(*(words[i:] for i in range(least)))]
                     if new := [p for p in parts if p not in maybe]:
-                        at = bits_of(own, new)
+                        at = bits_of(own, new, 8 * len(bits))
                         maybe.update(zip(new, (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool).tolist()))
                     fits = [maybe[p] for p in parts]
                     for size in sizes:

@@ -144,10 +144,10 @@ def distance() -> Column:
 
 def _estimate(n: int, sums, products, factor: float):
     """Centre, inverse of the scaled and floored covariance, and its log determinant."""
-    mean = np.asarray(sums, dtype=np.float64) / n / UNIT
+    mean = np.array([x / n for x in sums], dtype=np.float64) / UNIT
     cov = np.zeros((P, P))
     for (i, j), x in zip(_PAIRS, products):
-        cov[i, j] = cov[j, i] = x / n / UNIT**2 - mean[i] * mean[j]
+        cov[i, j] = cov[j, i] = (n * x - sums[i] * sums[j]) / (n * n * UNIT * UNIT)  # whole numbers up to the division, so that nothing cancels
     cov = factor * cov + np.diag([x * x for x in FEATURES.values()])
     inverse = np.linalg.inv(cov)
     return mean.tolist(), [float(inverse[i, j]) for i, j in _PAIRS], float(np.linalg.slogdet(cov)[1])
@@ -165,9 +165,10 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, share: float | None, wit
     fine = F.least(F.lit(2000), F.floor(F.log1p("d") * 100)).cast("int")
     if share is None:
         binned, fine = binned.where(F.col("d") <= within), F.lit(0)
+    wide = {name: F.col(name).cast("decimal(19,0)") for name in FEATURES}  # squares of long words pass 64 bits
     added = binned.groupBy("team", fine.alias("bin")).agg(
-        F.count("*").alias("n"), *(F.sum(name).alias(name) for name in FEATURES),
-        *(F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"p{i}{j}") for i, j in _PAIRS),
+        F.count("*").alias("n"), *(F.sum(x).alias(name) for name, x in wide.items()),
+        *(F.sum(wide[f"f{i}"] * wide[f"f{j}"]).alias(f"p{i}{j}") for i, j in _PAIRS),
     )
     columns = ["n", *FEATURES, *(f"p{i}{j}" for i, j in _PAIRS)]
 
@@ -175,8 +176,8 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, share: float | None, wit
         if not group.num_rows:  # no row within the ellipsoid: nothing to estimate from
             return old.slice(0, 0).append_column("better", pa.array([], pa.bool_()))
         group = group.sort_by("bin")
-        table = np.stack([group[x].to_numpy() for x in columns]).astype(np.int64)
-        n = np.cumsum(table[0])
+        table = np.array([[int(v) for v in group[x].to_pylist()] for x in columns], dtype=object)  # whole numbers of any size
+        n = np.cumsum(table[0]).astype(np.int64)
         upto = len(n) if share is None else int(np.searchsorted(n, share * n[-1], side="left")) + 1
         total = table[:, :upto].sum(axis=1)
         part = 1.0 if share is None else total[0] / n[-1]

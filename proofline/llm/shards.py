@@ -82,7 +82,8 @@ def _store(path: str):
 
 
 def key_hashes(*key: str | Column) -> tuple[Column, Column]:
-    return F.xxhash64(*key), F.xxhash64(*key, F.lit("mark"))
+    """Two hashes of a key.  Spark seeds each column's hash with that before it, so the literal stands first: keys equal in one differ in the other."""
+    return F.xxhash64(*key), F.xxhash64(F.lit("mark"), *key)
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> None:

@@ -59,22 +59,30 @@ class Encoder:
         self.added = [x["content"] for x in setup.get("added_tokens", [])]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        #: Ids whose token begins with a space, which byte-level vocabularies write as the letter below.
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))])
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype=self.kind).tobytes() for x in found]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks, each with its leading space, in a few long texts; offsets tell whose the ids are."""
+        """Encode chunks, each with its leading space, in a few long texts, and tell whose the ids are.
+
+        Tokens that begin with a space mark the chunks, unless one holds spaces itself; then the offsets do.
+        """
         for i in range(0, len(chunks), CALL_CHUNKS):
             some = chunks[i : i + CALL_CHUNKS]
-            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            begins = np.cumsum([0] + [len(x) + 1 for x in some[:-1]])
-            starts = np.fromiter((x[0] for x in found.offsets), dtype=np.int64, count=len(found.ids))
-            spots = (np.searchsorted(starts, begins) * self.width).tolist() + [len(starts) * self.width]
-            ids = np.asarray(found.ids, dtype=self.kind).tobytes()
-            self.known.update((x, ids[a:b]) for x, a, b in zip(some, spots, spots[1:]))
+            text = " " + " ".join(some)
+            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) != len(some) or text.count(" ") != len(some):
+                found = self.tokenizer.encode(text, add_special_tokens=False)
+                begins = np.cumsum([0] + [len(x) + 1 for x in some[:-1]])
+                at = np.searchsorted(np.fromiter((x[0] for x in found.offsets), dtype=np.int64, count=len(found.ids)), begins)
+            spots, packed = (at * self.width).tolist() + [len(ids) * self.width], ids.tobytes()
+            self.known.update((x, packed[a:b]) for x, a, b in zip(some, spots, spots[1:]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""

@@ -64,6 +64,11 @@ def resolve(link: Column, base: Column) -> Column:
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(u, v) nodes: a page and the target of its canonical link or of its meta refresh."""
+    return linked_urls(pages, url, html).select(url_node(F.col("source")).alias("u"), url_node(F.col("target")).alias("v"))
+
+
+def linked_urls(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(source, target) URLs as they are written: a page and what its canonical link or meta refresh names."""
     attribute = lambda tag, name: F.regexp_replace(
         F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), r"""^["']|["']$""", "",
     )
@@ -79,7 +84,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
     linked = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv"))
     each = linked.select(F.col(url).alias("base"), F.explode(targets).alias("link"))
-    return each.select(url_node(F.col("base")).alias("u"), url_node(resolve(F.col("link"), F.col("base"))).alias("v"))
+    return each.select(F.col("base").alias("source"), resolve(F.col("link"), F.col("base")).alias("target"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -87,7 +92,8 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
 
     The longest fitting rule decides.  A page without one takes the decision of its component over redirects (``redirects``: rows of
     ``source`` and ``target`` URLs) and the canonical and refresh links of all pages: allow if a rule allows any URL in it, else block if a
-    rule blocks any, else allow.  URLs need not be pages to carry a decision.
+    rule blocks any, else allow.  URLs need not be pages to carry a decision.  Rules are judged on URLs as written; that an empty path and
+    ``/`` name one resource only tells which URLs belong together.
 
     Null URLs or such without ``://`` have an empty host and path and no links; null html has none; pages are kept row by row, so
     repeated rows repeat; an empty table gives no rows; other columns stay out.
@@ -96,13 +102,16 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"))
     judged = rows.select("_key", url_node(F.col("_url")).alias("node"), host.alias("host"), path.alias("path"))
     judged = judged.withColumn("own", matching_rule(F.col("host"), F.col("path"), rules))
-    edges = page_links(pages, url, html)
+    links = linked_urls(pages, url, html)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(url_node(F.col("source")).alias("u"), url_node(F.col("target")).alias("v")))
-    nodes = components(edges)
-    seen = nodes.select("component", matching_rule(*split_url(F.col("node")), rules)["verdict"].alias("verdict"))
+        links = links.unionByName(redirects.select("source", "target"))
+    ends = links.select(F.explode(F.array("source", "target")).alias("url"))
+    verdicts = ends.select(url_node(F.col("url")).alias("node"), matching_rule(*split_url(F.col("url")), rules)["verdict"].alias("verdict"))
+    verdicts = verdicts.unionByName(judged.select("node", F.col("own.verdict").alias("verdict"))).where("verdict is not null").distinct()
+    nodes = components(links.select(url_node(F.col("source")).alias("u"), url_node(F.col("target")).alias("v")))
+    seen = nodes.join(verdicts, "node").select("component", "verdict")
     spread = seen.groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked"))
-    decided = nodes.join(spread, "component").select(
+    decided = nodes.join(spread, "component", "left").select(
         "node", F.when(F.col("blocked") & ~F.coalesce("allowed", F.lit(False)), F.lit("block")).otherwise(F.lit("allow")).alias("spread"),
     )
     return judged.join(decided, "node", "left").select(

@@ -53,6 +53,16 @@ def test_verdicts(spark):
     assert judge_urls(pages.limit(0)).count() == 0
 
 
+def test_empty_paths_are_judged_as_written(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://y.org", link.format("http://example.org/es/1")), (2, "http://example.org/es/1", None), (3, "http://w.org", link.format("http://w.org/a")), (4, "http://v.org/", None),
+            (5, "http://u.net", link.format("http://v.org"))]
+    found = judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.path, r.rule, r.verdict) for r in found} == {
+        1: ("", None, "block"), 2: ("/es/1", "example.org/es/", "block"), 3: ("", None, "allow"), 4: ("/", "org/", "allow"), 5: ("", None, "allow"),
+    }
+
+
 def test_links(spark):
     pages = spark.createDataFrame([("http://h.net/a/b?c", HTML[10]), ("nothing", HTML[13]), ("http://h.net/a/b", '<link rel="canonical" href="c&amp;d">')], "url string, html string")
     assert {tuple(r) for r in page_links(pages).where("v is not null and u is not null").collect()} == {("http://h.net/a/b?c", "http://h.net/q"), ("http://h.net/a/b", "http://h.net/a/c&d")}
