@@ -54,10 +54,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every span of personal data replaced by its kind in brackets; null texts stay null."""
-    rows = docs.withColumn(_TEXT, F.coalesce(F.col("text"), F.lit("")))
+    # only the whole row and its text, so that no column of the input meets a helper column of the operator
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias(_ROW), F.coalesce(F.col("text"), F.lit("")).alias(_TEXT))
     found = with_spans(rows, _TEXT, train(docs))
-    text = F.when(F.col("text").isNotNull() & (F.size("spans") > 0), redact(F.col(_TEXT), F.col("spans"))).otherwise(F.col("text"))
-    return _with_text(found, text, docs)
+    clean = F.when(F.col(_ROW)["text"].isNotNull() & (F.size("spans") > 0), redact(F.col(_TEXT), F.col("spans"))).otherwise(F.col(_ROW)["text"])
+    return _with_text(found.select(f"{_ROW}.*", clean.alias(_TEXT)), F.col(_TEXT), docs)
 
 
 def _with_text(rows: DataFrame, text: Column, like: DataFrame) -> DataFrame:
