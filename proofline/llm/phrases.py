@@ -13,7 +13,6 @@ filter of fixed size over the frequent shorter ones: a false hit costs a row and
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ OVERLAP = 3
 TRIGGER = 16
 #: Bits of the filter (8 MB): the bound of what is broadcast, whatever the corpus holds.
 FILTER_BITS = 1 << 26
-#: Distinct rows that a Python task adds up before it passes them on; words and hashes that it remembers.
-HELD_ROWS, KEPT_WORDS = 400_000, 500_000
+#: Distinct chunks, or occurrences of phrases, that a Python task adds up before it passes them on; words that it remembers.
+HELD_ROWS, HELD_WORDS, KEPT_WORDS = 400_000, 2_000_000, 500_000
 #: Scale of a score.
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
@@ -49,10 +48,10 @@ class Parser:
     def __init__(self) -> None:
         self.hashes: dict[bytes, int] = {}
 
-    def chunks(self, words: list[bytes]) -> list[tuple[bytes, bool]]:
-        """(space-joined words, whether the piece ends here); neighbours share the triggering window."""
+    def chunks(self, words: list[bytes]) -> list[bytes]:
+        """Space-joined words; a chunk that its piece goes on after ends in a space.  Neighbours share the triggering window."""
         if len(words) <= OVERLAP + 1:
-            return [(b" ".join(words), True)]
+            return [b" ".join(words)]
         known, out, first = self.hashes, [], 0
         try:
             codes = [known[w] for w in words]
@@ -63,61 +62,58 @@ class Parser:
             codes = [known[w] for w in words]
         for i, (a, b, c) in enumerate(zip(codes[1:-OVERLAP], codes[2:], codes[3:]), 1):
             if (a + 3 * b + 7 * c) % TRIGGER == 0:
-                out.append((b" ".join(words[first : i + OVERLAP]), False))
+                out.append(b" ".join(words[first : i + OVERLAP]) + b" ")
                 first = i
-        return [*out, (b" ".join(words[first:]), True)]
-
-
-_COUNTED = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("last", pa.bool_()), ("n", pa.int64())])
-_PHRASES = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("f", pa.int64())])
-
-
-def _summed(groups: dict, schema: pa.Schema) -> pa.RecordBatch:
-    """A batch of (lang, *key, count) from a counter per language."""
-    rows = [(lang, *key, n) for lang, found in groups.items() for key, n in found.items()]
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+        return [*out, b" ".join(words[first:])]
 
 
 def parse(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """The dictionary: lang, words of a distinct chunk, whether it ends a piece, and its frequency n."""
+    """The dictionary: lang, the words of a distinct chunk, and its frequency n."""
+    kind = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("n", pa.int64())])
+
+    def told(found: dict[str, dict[bytes, int]]):
+        for own, counts in found.items():
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(counts), pa.string()), pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=kind)
 
     def cut_up(batches):
-        parser, found, held = Parser(), {}, 0
+        chunks, found = Parser().chunks, {}
         for batch in batches:
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                counter = found.setdefault(own, Counter())
-                before = len(counter)
+                counts = found.setdefault(own, {})
                 for words in pieces_of(text):
-                    counter.update(parser.chunks(words))
-                held += len(counter) - before
-                if held > HELD_ROWS:
-                    yield _summed(found, _COUNTED)
-                    found, held = {}, 0
-        if held:
-            yield _summed(found, _COUNTED)
+                    for chunk in chunks(words):
+                        counts[chunk] = counts.get(chunk, 0) + 1
+            if sum(map(len, found.values())) > HELD_ROWS:
+                yield from told(found)
+                found = {}
+        yield from told(found)
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).cast("string").alias("text"))
-    chunks = rows.mapInArrow(cut_up, "lang string, words binary, last boolean, n long")
-    return cut(chunks.groupBy("lang", "words", "last").agg(F.sum("n").alias("n")))
+    chunks = rows.mapInArrow(cut_up, "lang string, words binary, n long")
+    return cut(chunks.groupBy("lang", "words").agg(F.sum("n").alias("n")))
 
 
-def bits_of(lang: str, phrases: list[bytes], bits: int) -> np.ndarray:
-    """Where a filter of so many bits keeps the phrases of a language."""
-    seed = zlib.crc32(lang.encode())
-    codes = np.fromiter((zlib.crc32(p, seed) for p in phrases), dtype=np.int64, count=len(phrases))
-    return codes % bits
+def bits_of(lang: str, codes: list[np.ndarray], bits: int) -> np.ndarray:
+    """Where a filter of so many bits keeps phrases of a language, from the hashes of their first words, second words, ..."""
+    with np.errstate(over="ignore"):
+        at = np.uint64(zlib.crc32(lang.encode()) + 1)
+        for code in codes:
+            at = (at ^ code.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            at = at ^ (at >> np.uint64(29))
+    return (at % np.uint64(bits)).astype(np.int64)
 
 
 def _filter_of(frequent: DataFrame) -> np.ndarray:
     """The bits of (lang, phrase) rows, gathered as bitmaps of 32,768 bits."""
-
     size = FILTER_BITS
 
     def spots(batches):
         for batch in batches:
             for own in batch.column(0).unique().to_pylist():
-                of_lang = batch.filter(pc.equal(batch.column(0), own))
-                yield pa.RecordBatch.from_pydict({"bit": pa.array(bits_of(own, of_lang.column(1).to_pylist(), size), pa.int64())})
+                phrases = batch.filter(pc.equal(batch.column(0), own)).column(1).to_pylist()
+                codes = [np.fromiter(map(zlib.crc32, column), np.int64, len(phrases)) for column in zip(*(p.split(b" ") for p in phrases))]
+                yield pa.RecordBatch.from_pydict({"bit": pa.array(bits_of(own, codes, size), pa.int64())})
 
     bits = frequent.select("lang", "phrase").mapInArrow(spots, "bit long")
     # bitmap_bucket_number counts from 1 for positions 0..32767 counted from 1
@@ -130,6 +126,82 @@ def _filter_of(frequent: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
+class Words(dict):
+    """Numbers of words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class Counter:
+    """Weighted phrases of one language in one task: words have numbers, so that phrases are counted as numbers."""
+
+    def __init__(self, lang: str, sizes: tuple[int, ...], bits: np.ndarray | None):
+        self.lang, self.sizes, self.bits = lang, sizes, bits
+        self.words, self.codes = Words(), np.zeros(0, dtype=np.int64)
+        self.rows: list[tuple[int, np.ndarray, np.ndarray]] = []  # size, numbers of the words, weights
+        self.held = 0
+
+    def add(self, chunks: list[bytes], weights: np.ndarray) -> None:
+        lengths = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
+        going = np.fromiter((c.endswith(b" ") for c in chunks), bool, len(chunks))
+        lengths -= going
+        words = b" ".join(chunks).split()
+        ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        left = np.repeat(ends, lengths) - np.arange(len(ids))  # words from here to the end of the chunk
+        owned = left > np.repeat(np.where(going, OVERLAP, 0), lengths)
+        weight = np.repeat(weights, lengths)
+        if self.bits is None:
+            self._keep(1, owned, ids[:, None], weight)
+            return
+        if len(self.words) > len(self.codes):
+            new = list(self.words)[len(self.codes) :]
+            self.codes = np.concatenate([self.codes, np.fromiter(map(zlib.crc32, new), np.int64, len(new))])
+        parts = min(self.sizes) - 1  # words of the phrases in the filter
+        n = len(ids) - parts + 1
+        if n <= 0:
+            return
+        at = bits_of(self.lang, [self.codes[ids[i : i + n]] for i in range(parts)], 8 * len(self.bits))
+        fits = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & (left[:n] >= parts)
+        for size in self.sizes:
+            m = len(ids) - size + 1
+            if m <= 0:
+                continue
+            good = owned[:m] & (left[:m] >= size)
+            for i in range(size - parts + 1):  # all parts in a row that a phrase of this size holds
+                good &= fits[i : i + m]
+            spots = np.flatnonzero(good)
+            self._keep(size, slice(None), np.stack([ids[spots + i] for i in range(size)], axis=1), weight[spots])
+
+    def _keep(self, size: int, which, numbers: np.ndarray, weight: np.ndarray) -> None:
+        self.rows.append((size, numbers[which], weight[which]))
+        self.held += len(self.rows[-1][1])
+
+    def told(self):
+        """Batches of (lang, size, phrase, f) of distinct phrases; what was held is gone after that."""
+        names = list(self.words)
+        for size in self.sizes:
+            own = [(n, w) for s, n, w in self.rows if s == size and len(n)]
+            if not own:
+                continue
+            numbers, weight = np.concatenate([n for n, _ in own]), np.concatenate([w for _, w in own])
+            key = numbers[:, 0]
+            for i in range(1, size):  # numbers of prefixes, so that the next word always fits into 64 bits
+                key = np.unique(key << 32 | numbers[:, i], return_inverse=True)[1] if i < size - 1 else key << 32 | numbers[:, i]
+            _, first, group = np.unique(key, return_index=True, return_inverse=True)
+            total = np.zeros(len(first), dtype=np.int64)
+            np.add.at(total, group, weight)
+            columns = [[names[x] for x in numbers[first, i].tolist()] for i in range(size)]
+            phrases = columns[0] if size == 1 else list(map(b" ".join, zip(*columns)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.lang] * len(phrases), pa.string()), pa.array([size] * len(phrases), pa.int32()), pa.array(phrases, pa.binary()), pa.array(total)],
+                names=["lang", "size", "phrase", "f"],
+            )
+        self.words, self.codes, self.rows, self.held = Words(), np.zeros(0, dtype=np.int64), [], 0
+
+
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
@@ -137,42 +209,20 @@ def _frequent(counts: DataFrame, least: int) -> DataFrame:
 def _count(dictionary: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None) -> DataFrame:
     """Phrases of some sizes inside distinct chunks, weighted; ``known`` is the filter of frequent phrases of the size before."""
     shared = dictionary.sparkSession.sparkContext.broadcast(known)
-    least = min(sizes) - 1  # words of the phrases in the filter
 
     def count(batches):
-        bits, found, held = shared.value, {}, 0
-        seen: dict[str, dict[bytes, bool]] = {}
+        counters: dict[str, Counter] = {}
         for batch in batches:
-            for own, chunk, last, n in zip(*(c.to_pylist() for c in batch.columns)):
-                counter, words = found.setdefault(own, {}), chunk.split(b" ")
-                before, owned = len(counter), len(words) if last else len(words) - OVERLAP
-                if not least:
-                    for w in words[:owned]:
-                        key = (1, w)
-                        counter[key] = counter.get(key, 0) + n
-                else:
-                    maybe = seen.setdefault(own, {})
-                    parts = words if least == 1 else [b" ".join(x) for x in zip(*(words[i:] for i in range(least)))]
-                    if new := [p for p in parts if p not in maybe]:
-                        at = bits_of(own, new, 8 * len(bits))
-                        maybe.update(zip(new, (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool).tolist()))
-                    fits = [maybe[p] for p in parts]
-                    for size in sizes:
-                        span = size - least + 1  # frequent parts in a row that a phrase of this size needs
-                        for i in range(min(owned, len(parts) - span + 1)):
-                            if fits[i] and all(fits[i + 1 : i + span]):
-                                key = (size, b" ".join(words[i : i + size]))
-                                counter[key] = counter.get(key, 0) + n
-                    if len(maybe) > KEPT_WORDS:
-                        maybe.clear()
-                held += len(counter) - before
-                if held > HELD_ROWS:
-                    yield _summed(found, _PHRASES)
-                    found, held = {}, 0
-        if held:
-            yield _summed(found, _PHRASES)
-
-    return dictionary.select("lang", "words", "last", "n").mapInArrow(count, "lang string, size int, phrase binary, f long")
+            for own in batch.column(0).unique().to_pylist():
+                rows = batch.filter(pc.equal(batch.column(0), own))
+                counter = counters.setdefault(own, Counter(own, sizes, shared.value))
+                counter.add(rows.column(1).to_pylist(), rows.column(2).to_numpy())
+                if counter.held > HELD_WORDS or len(counter.words) > KEPT_WORDS:
+                    yield from counter.told()
+        for counter in counters.values():
+            yield from counter.told()
+
+    return dictionary.select("lang", "words", "n").mapInArrow(count, "lang string, size int, phrase binary, f long")
 
 
 def count_phrases(dictionary: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
