@@ -10,35 +10,49 @@ from pyspark.sql import functions as F
 
 from proofline.functions.arrays import squared_distance, total
 from proofline.operators.sequence import (
-    best_per_key, exact_quantiles, join_small, numbered, ordered, scan,
+    best_per_key, exact_quantiles, numbered, ordered, scan,
 )
+from proofline.session import cut
 
 
-def _cells(df: DataFrame, cell: int) -> DataFrame:
-    """One row per grid cell a rectangle touches."""
+def _levels(df: DataFrame, cell: int) -> DataFrame:
+    """``_level``: the first grid whose cells, twice as wide from level to level, are at least as wide and high as the rectangle."""
+    longest = F.greatest(F.col("width"), F.col("height"), F.lit(cell)).cast("double")
+    return df.withColumn("_level", F.ceil(F.log2(longest / cell)).cast("int"))
+
+
+def _cells(df: DataFrame, cell: int, levels: Sequence[int]) -> DataFrame:
+    """One row per cell that a rectangle touches on its own level and on the coarser ones in use: four a level at most, give or take rounding."""
+    used = F.array_union(F.array("_level"), F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k > F.col("_level")))
+    at = df.withColumn("_grid", F.explode(used)).withColumn("_wide", F.pow(F.lit(2.0), F.col("_grid")) * cell)
     right, bottom = F.col("left") + F.col("width"), F.col("top") + F.col("height")
-    return df.withColumn(
-        "_cx", F.explode(F.sequence(F.floor(F.col("left") / cell), F.floor(right / cell)))
-    ).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("top") / cell), F.floor(bottom / cell))))
+    return at.withColumn(
+        "_cx", F.explode(F.sequence(F.floor(F.col("left") / F.col("_wide")), F.floor(right / F.col("_wide"))))
+    ).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("top") / F.col("_wide")), F.floor(bottom / F.col("_wide"))))).drop("_wide")
 
 
 def region_overlap(cands: DataFrame, regions: DataFrame, clip: str, row_id: Sequence[str], cell: int = 64) -> DataFrame:
     """Mark candidates that strictly intersect a reviewed region of their clip.
 
-    Both sides meet on grid cells; the semi join never multiplies candidates.
+    Rectangles lie on grids of doubling cells, each on the level of its size.  Two of them meet on the coarser of their levels, where
+    both touch a handful of cells, so a rectangle gives a few rows for each level in use, however large it is.  The semi join never
+    multiplies candidates.
     """
-    box = regions.select(clip, "left", "top", "width", "height").distinct()
-    spread = _cells(box, cell).select(
-        clip, "_cx", "_cy", F.col("left").alias("_l"), F.col("top").alias("_t"),
+    box = _levels(regions.select(clip, "left", "top", "width", "height").distinct(), cell)
+    asked = _levels(cands.select(clip, *row_id, *(c for c in ("left", "top", "width", "height") if c not in row_id)), cell)
+    used = [r[0] for r in box.select("_level").union(asked.select("_level")).where("_level is not null").distinct().collect()]  # at most one per power of two
+    spread = _cells(box, cell, used).select(
+        clip, "_grid", "_cx", "_cy", F.col("_level").alias("_own"), F.col("left").alias("_l"), F.col("top").alias("_t"),
         (F.col("left") + F.col("width")).alias("_r"), (F.col("top") + F.col("height")).alias("_b"),
-    ).withColumnsRenamed({clip: "_clip", "_cx": "_rx", "_cy": "_ry"})
-    asked = _cells(cands.select(clip, *row_id, "left", "top", "width", "height"), cell)
+    ).withColumnsRenamed({clip: "_clip", "_cx": "_rx", "_cy": "_ry", "_grid": "_rg"})
+    probes = _cells(asked, cell, used)
     meets = (
-        (F.col(clip) == F.col("_clip")) & (F.col("_cx") == F.col("_rx")) & (F.col("_cy") == F.col("_ry"))
+        (F.col(clip) == F.col("_clip")) & (F.col("_grid") == F.col("_rg")) & (F.col("_cx") == F.col("_rx")) & (F.col("_cy") == F.col("_ry"))
+        & (F.col("_grid") == F.greatest("_level", "_own"))
         & (F.col("left") < F.col("_r")) & (F.col("left") + F.col("width") > F.col("_l"))
         & (F.col("top") < F.col("_b")) & (F.col("top") + F.col("height") > F.col("_t"))
     )
-    hits = asked.join(spread, meets, "left_semi").select(clip, *row_id).distinct().withColumn("in_scope", F.lit(True))
+    hits = probes.join(spread, meets, "left_semi").select(clip, *row_id).distinct().withColumn("in_scope", F.lit(True))
     return cands.join(hits, on=[clip, *row_id], how="left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
 
 
@@ -213,23 +227,49 @@ def dominant_bin(samples: DataFrame, keys: Sequence[str], axes: Sequence[str], t
     )
 
 
-def nearest_center(points: DataFrame, centers: DataFrame, point_id: str, vector: str, block: int = 256) -> DataFrame:
-    """Nearest centre per point, the first one on ties.
+def center_blocks(centers: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """A metric partition of centres: rings (cell, pivot, ring, near, far) and (cell, ring, centres) of each.
 
-    Centres travel as arrays of about ``block``, dealt by a hash of their id; a point meets
-    each array once through an equi-join that is broadcast only when that table is small.
+    Every centre belongs to the nearest of a few pivots, which are centres themselves; a cell's centres are cut into blocks of about
+    ``block`` by their distance to the pivot, so that a block is a ring around it.  Centres with equal vectors count as their first.
     """
-    count = max(1, -(-centers.count() // block))
-    blocks = centers.groupBy(F.pmod(F.xxhash64("center_id"), F.lit(count)).cast("bigint").alias("_block")).agg(
-        F.collect_list(F.struct("center_id", F.col("center").alias("_v"))).alias("_centers")
-    )
-    spread = points.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
-    met = join_small(spread, blocks, ["_block"], how="inner", max_rows=64)
+    own = cut(centers.groupBy("center").agg(F.min("center_id").alias("center_id")))
+    count = own.count()
+    pivots = own.orderBy(F.xxhash64("center_id"), "center_id").limit(max(1, 2 * math.isqrt(count // block)))
+    pivots = cut(pivots.select(F.col("center_id").alias("cell"), F.col("center").alias("pivot")))
+    table = pivots.agg(F.collect_list(F.struct("cell", "pivot")).alias("p")).scalar()
+    home = F.array_min(F.transform("_pivots", lambda p: F.struct(F.sqrt(squared_distance(F.col("center"), p["pivot"])).alias("d"), p["cell"].alias("cell"))))
+    placed = cut(own.withColumn("_pivots", table).withColumn("_home", home).select("center_id", "center", "_home.*"))
+    spot = numbered(ordered(placed.select("cell", "d", "center_id"), ["cell"], ["d", "center_id"]), "_rn").plain()
+    dealt = cut(spot.withColumn("ring", F.expr(f"(_rn - 1) div {block}")).select("cell", "ring", "center_id", "d"))
+    rings = cut(dealt.groupBy("cell", "ring").agg(F.min("d").alias("near"), F.max("d").alias("far")))
+    members = placed.select("cell", "center_id", "center").join(dealt.select("cell", "ring", "center_id"), ["cell", "center_id"])
+    return pivots.join(rings, "cell"), members.groupBy("cell", "ring").agg(F.collect_list(F.struct("center_id", F.col("center").alias("v"))).alias("_centers"))
+
+
+def nearest_center(points: DataFrame, centers: DataFrame, point_id: str, vector: str, block: int = 256, report: bool = False) -> DataFrame:
+    """Nearest centre per point, the first one on ties; with ``report`` also ``blocks``, the blocks of centres the point was compared to.
+
+    A point measures its distance to each pivot; the least of these bounds its result.  By the triangle inequality a ring cannot hold
+    anything nearer if the point's distance to its pivot lies further from the ring than that, so the point only visits the
+    other rings, through an equi-join.  Pivots and rings grow with the square root of the centres and with their number over ``block``.
+    """
+    rings, members = center_blocks(centers, block)
+    cells = rings.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.collect_list(F.struct("ring", "near", "far")).alias("rings"))
+    table = cells.agg(F.collect_list(F.struct("cell", "pivot", "rings")).alias("c")).scalar()
+    measured = points.select(point_id, vector).withColumn("_cells", table).withColumn(
+        "_seen", F.transform("_cells", lambda c: F.struct(c["cell"].alias("cell"), F.sqrt(squared_distance(F.col(vector), c["pivot"])).alias("d"), c["rings"].alias("rings"))))
+    bound = F.array_min(F.transform("_seen", lambda c: c["d"]))
+    slack = 1e-9  # of the distances, for rounding
+    wins = lambda d, r: F.greatest(d - r["far"], r["near"] - d) <= F.col("_bound") + slack * (d + r["far"])
+    visits = F.flatten(F.transform("_seen", lambda c: F.transform(
+        F.filter(c["rings"], lambda r: wins(c["d"], r)), lambda r: F.struct(c["cell"].alias("cell"), r["ring"].alias("ring")))))
+    asked = measured.withColumn("_bound", bound).select(point_id, vector, F.inline(visits))
     scored = F.array_min(F.transform(
-        "_centers", lambda c: F.struct(squared_distance(F.col(vector), c["_v"]).alias("d"), c["center_id"].alias("id"))
+        "_centers", lambda c: F.struct(squared_distance(F.col(vector), c["v"]).alias("d"), c["center_id"].alias("id"))
     ))
-    best = met.withColumn("_best", scored).groupBy(point_id).agg(F.min("_best").alias("_best"))
-    return best.select(point_id, F.col("_best.id").alias("center_id"), F.sqrt("_best.d").alias("distance"))
+    best = asked.join(members, ["cell", "ring"]).withColumn("_best", scored).groupBy(point_id).agg(F.min("_best").alias("_best"), F.count(F.lit(1)).alias("blocks"))
+    return best.select(point_id, F.col("_best.id").alias("center_id"), F.sqrt("_best.d").alias("distance"), *(["blocks"] if report else []))
 
 
 # Luminance weights, darkest share, smallest sample, widest spread.

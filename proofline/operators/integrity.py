@@ -18,11 +18,12 @@ def tree_digest(files: DataFrame, package: str, path: str = "path", sha: str = "
     """One digest per package over (path length, path, raw content hash) in path order.
 
     SHA-256 is a sequential fold, so a package is *streamed*: rows arrive sorted
-    (the sort spills), each Arrow batch updates the running hash and is dropped.
-    Content hashing itself happens earlier and in parallel.
+    (the sort spills), each Arrow batch updates the running hash once for each package in it and is dropped.
+    Entries are built by Spark; content hashing itself happens earlier and in parallel.
     """
-    rows = files.select(F.col(package).cast("string").alias("package"), F.col(path).alias("path"),
-                        F.col(sha).alias("sha256"))
+    length = F.unhex(F.lpad(F.hex(F.octet_length(path)), 8, "0"))
+    entry = F.concat(length, F.encode(F.col(path), "UTF-8"), F.unhex(sha))
+    rows = files.select(F.col(package).cast("string").alias("package"), F.col(path).alias("path"), entry.alias("entry"))
     sorted_rows = rows.repartition("package").sortWithinPartitions("package", "path")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,14 +35,17 @@ def tree_digest(files: DataFrame, package: str, path: str = "path", sha: str = "
             )
 
         for batch in batches:
-            for name, p, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if name != current or digest is None:
+            names, entries = batch.column("package").to_pylist(), batch.column("entry")
+            if entries.null_count:
+                raise ValueError("a file lacks its path or a hexadecimal digest")
+            borders = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            for begin, end in zip([0, *borders], [*borders, len(names)]) if names else []:
+                if names[begin] != current or digest is None:
                     if digest is not None:
                         yield emit()
-                    current, digest, n = name, hashlib.sha256(), 0
-                entry = p.encode("utf-8")
-                digest.update(len(entry).to_bytes(4, "big") + entry + bytes.fromhex(s))
-                n += 1
+                    current, digest, n = names[begin], hashlib.sha256(), 0
+                digest.update(b"".join(entries.slice(begin, end - begin).to_pylist()))
+                n += end - begin
         if digest is not None:
             yield emit()
 

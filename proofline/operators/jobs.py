@@ -14,7 +14,7 @@ from proofline.functions.protocol import (
     FIRST_PHASE, PACKAGE_FAILURES, PACKAGE_STATES, PHASES, PROTOCOL, STEPS, checkpoint_name, context_text, gate_of, waiting_kind,
 )
 from proofline.operators.sequence import ordered, scan, union_all
-from proofline.session import cut
+from proofline.session import cut, scratch_path
 
 
 # --- task graphs ----------------------------------------------------------------------------
@@ -23,27 +23,68 @@ from proofline.session import cut
 def task_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Dependency-safe wave per task, -1 for tasks on or behind a cycle.
 
-    ``nodes``: plan, id.  ``edges``: plan, id, depends_on.  Each round takes the
-    tasks whose last open dependency was finished in the round before; lineage is
-    cut by a reliable checkpoint, so a round never replays earlier ones.  Rounds
-    equal the depth of the graph.
+    ``nodes``: plan, id.  ``edges``: plan, id, depends_on; repeated edges and unknown dependencies do no harm.  The wave of a task is
+    the longest path to it, held as constraints wave(id) >= wave(root) + w, or wave(id) >= w without a root.  A task with one root is a
+    function max(base, wave(root) + w) of that root; chains of such tasks are contracted by pointer doubling, which composes these
+    functions, and are put in for the roots of all other tasks.  A round thus takes away every chain and tree, so rounds follow the
+    nesting of joins in the graph, and steps within one the logarithm of the longest chain.  Found waves are only ever appended.
     """
-    tasks = cut(nodes.select("plan", "id").distinct())
-    known = tasks.withColumnRenamed("id", "depends_on")
-    open_edges = cut(edges.select("plan", "id", "depends_on").distinct().join(known, ["plan", "depends_on"], "left_semi"))
-    ready = cut(tasks.join(open_edges, ["plan", "id"], "left_anti"))
-    waves: list[DataFrame] = []
-    while not ready.isEmpty():
-        waves.append(ready.withColumn("wave", F.lit(len(waves)).cast("bigint")))
-        finished = ready.withColumnRenamed("id", "depends_on")
-        freed = open_edges.join(finished, ["plan", "depends_on"], "left_semi").select("plan", "id").distinct()
-        open_edges = cut(open_edges.join(finished, ["plan", "depends_on"], "left_anti"))
-        ready = cut(freed.join(open_edges, ["plan", "id"], "left_anti"))
-    if not waves:
-        return tasks.withColumn("wave", F.lit(-1).cast("bigint"))
-    done = union_all(waves)
-    stuck = tasks.join(done, ["plan", "id"], "left_anti").withColumn("wave", F.lit(-1).cast("bigint"))
-    return done.unionByName(stuck)
+    spark, task = nodes.sparkSession, ["plan", "id"]
+    tasks = cut(nodes.select(*task).distinct())
+    known = tasks.withColumnRenamed("id", "root")
+    needs = edges.select("plan", "id", F.col("depends_on").alias("root")).distinct().join(known, ["plan", "root"], "left_semi")
+    none = F.lit(None).cast(tasks.schema["id"].dataType)
+    rules = cut(needs.join(tasks, task, "left_semi").select(*task, "root", F.lit(1).cast("bigint").alias("w")).unionByName(
+        tasks.select(*task, none.alias("root"), F.lit(0).cast("bigint").alias("w"))))
+    found, chains = scratch_path(spark, "waves"), []
+    while True:
+        free = F.col("root").isNull()
+        state = cut(rules.groupBy(*task).agg(
+            F.count("root").alias("roots"), F.max(F.when(free, F.col("w"))).alias("base"), F.max("root").alias("root"), F.max(F.when(~free, F.col("w"))).alias("w"),
+        ))
+        chain = _contracted(cut(state.where("roots < 2").select(*task, "root", "w", "base")))
+        if chain.isEmpty():  # all that is left lies on or behind a cycle
+            break
+        chain.where("root is null").select(*task, F.col("base").alias("wave")).write.mode("append").parquet(found)
+        chains.append(chain.where("root is not null"))
+        via = chain.select("plan", F.col("id").alias("root"), F.col("root").alias("_root"), F.col("w").alias("_w"), F.col("base").alias("_base"))
+        open_rules = rules.join(state.where("roots > 1"), task, "left_semi").join(via, ["plan", "root"], "left")
+        # a rule on a contracted task becomes one on its root and one on its base
+        moved = F.when(F.col("_base").isNull(), F.array(F.struct("root", "w"))).otherwise(
+            F.filter(F.array(F.struct(F.col("_root").alias("root"), (F.col("w") + F.col("_w")).alias("w")), F.struct(none.alias("root"), (F.col("w") + F.col("_base")).alias("w"))),
+                     lambda r: r["w"].isNotNull()))
+        rules = cut(open_rules.select(*task, F.inline(moved)).groupBy(*task, "root").agg(F.max("w").alias("w")))
+    schema = tasks.withColumn("wave", F.lit(0).cast("bigint")).schema
+    if chains:
+        for chain in reversed(chains):
+            heads = spark.read.schema(schema).parquet(found).select("plan", F.col("id").alias("root"), "wave")
+            hung = chain.join(heads, ["plan", "root"]).select(*task, F.greatest("base", F.col("wave") + F.col("w")).alias("wave"))
+            hung.write.mode("append").parquet(found)
+    waves = spark.read.schema(schema).parquet(found) if chains else tasks.limit(0).withColumn("wave", F.lit(0).cast("bigint"))
+    return tasks.join(waves, task, "left").select(*task, F.coalesce("wave", F.lit(-1).cast("bigint")).alias("wave"))
+
+
+def _contracted(chain: DataFrame) -> DataFrame:
+    """Tasks (plan, id, root, w, base) with one root or none, led to roots outside of the table or to none; tasks on or behind a loop are left out.
+
+    Each step doubles the way a pointer has gone.  While any task can still arrive, one arrives in each step, so a step without an
+    arrival leaves loops only.
+    """
+    waiting = None
+    while True:
+        ends = chain.select("plan", F.col("id").alias("root"), F.col("root").alias("_root"), F.col("w").alias("_w"), F.col("base").alias("_base"), F.lit(True).alias("_on"))
+        met = cut(chain.join(ends, ["plan", "root"], "left"))
+        left = met.where("_on").count()
+        if not left:
+            return chain
+        if left == waiting:
+            return cut(met.where("_on is null").select("plan", "id", "root", "w", "base"))
+        waiting = left
+        chain = met.select(
+            "plan", "id", F.when(F.col("_on"), F.col("_root")).otherwise(F.col("root")).alias("root"),
+            F.when(F.col("_on"), F.col("w") + F.col("_w")).otherwise(F.col("w")).alias("w"),
+            F.when(F.col("_on"), F.greatest("base", F.col("w") + F.col("_base"))).otherwise(F.col("base")).alias("base"),
+        )
 
 
 def traceable_tasks(nodes: DataFrame, edges: DataFrame, deliverables: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def beyond_envelope(value: Column, floor: Column) -> Column:
 
 def robust_outliers(pairs: DataFrame, clip: str, floors: Mapping[str, float] = MATERIALITY) -> DataFrame:
     """Pairs that leave the sequence's robust envelope; the loop pair is judged but not counted."""
-    long = pairs.unpivot([clip, "from_frame", "to_frame", "is_loop"], list(floors), "metric", "value")
+    long = cut(pairs.unpivot([clip, "from_frame", "to_frame", "is_loop"], list(floors), "metric", "value"))  # read three times below
     envelope = robust_envelope(long.where(~F.col("is_loop")), [clip, "metric"], "value")
     floor = lookup(F.col("metric"), floors)
     judged = long.join(envelope, on=[clip, "metric"])

@@ -77,8 +77,8 @@ def gate_order_audit(reviews: DataFrame, package: str) -> DataFrame:
     """Findings on the declared order of scoped reviews.
 
     A package with more than ``MAX_REVIEWS`` reviews is itself a finding, and it is audited like any other.  A keyframe set
-    belongs to a sequence that holds all its frames: both meet on (package, canonical, frame), and the frames that met are
-    counted against the size of the set.  A gate without a rank is a finding, too.
+    belongs to a sequence that holds all its frames.  It is only sent to the sequences that hold the rarest of them, those of the
+    frame that the fewest sequences of the canonical hold, and compared there; a frame that all share joins nothing.  A gate without a rank is a finding, too.
     """
     sizes = reviews.groupBy(package).agg(F.count(F.lit(1)).alias("_n"))
     too_many = sizes.where(F.col("_n") > MAX_REVIEWS).select(
@@ -105,9 +105,14 @@ def gate_order_audit(reviews: DataFrame, package: str) -> DataFrame:
     sets = framed.where(F.col("_rank") == 1).select(
         *scope, F.struct("id", "declared_order").alias("_set"), F.size("_frames").alias("_size"), F.col("declared_order").alias("_key_order"), "_frames")
     sequences = framed.where(F.col("_rank") == 2).select(*scope, "id", "declared_order", "_frames")
-    met = sequences.select(*scope, "id", "declared_order", F.explode("_frames").alias("_frame")).join(
-        sets.select(*scope, "_set", "_size", "_key_order", F.explode("_frames").alias("_frame")), on=[*scope, "_frame"])
-    whole = met.groupBy(package, "id", "declared_order", "_set", "_size", "_key_order").agg(F.count(F.lit(1)).alias("_met")).where("_met = _size")
+    framed_sequences = sequences.select(*scope, "id", "declared_order", F.col("_frames").alias("_held"), F.explode("_frames").alias("_frame"))
+    holders = framed_sequences.groupBy(*scope, "_frame").agg(F.count(F.lit(1)).alias("_n"))
+    each = sets.where("_size > 0").select(*scope, "_set", "_key_order", "_frames", F.explode("_frames").alias("_frame"))
+    rarest = each.join(holders, on=[*scope, "_frame"], how="left").groupBy(*scope, "_set", "_key_order", "_frames").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_frame")).alias("_rare"))
+    asked = rarest.where("_rare.n > 0").select(*scope, "_set", "_key_order", "_frames", F.col("_rare._frame").alias("_frame"))
+    met = framed_sequences.join(asked, on=[*scope, "_frame"])
+    whole = met.where(F.size(F.array_except("_frames", "_held")) == 0)
     # a set without frames belongs to every sequence of its canonical: such sets are counted, not paired
     empty = sets.where("_size = 0").groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.min("_key_order").alias("_key_order"))
     plain = sequences.join(empty, on=scope, how="left").select(

@@ -1,8 +1,9 @@
 """Ordered scans that stay parallel when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task.  ``ordered``
-first counts the rows of the largest key, a cheap aggregate over the key columns.
-While that stays below a limit, scans are plain windows and cost one shuffle.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task.  Where the
+planner's size estimate of the rows is small, that is fine as it is.  Otherwise
+``ordered`` first counts the rows of the largest key, an aggregate over the key
+columns; while that stays below a limit, scans are plain windows as well.
 
 Beyond the limit rows are range-partitioned on (keys, order), so a hot key is
 spread over many chunks of similar size, and each scan works in two levels:
@@ -13,7 +14,7 @@ spread over many chunks of similar size, and each scan works in two levels:
 
 The inherited values are joined back on (keys, chunk).  The chunked rows are
 written once to the shared folder, so both levels always see the same chunks.
-Keys must not be null and (keys, order) must be unique.
+Null keys are a key of their own; (keys, order) must be unique.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from proofline.session import cut
 CHUNK = "_chunk"
 # Rows of one key that a single task may sort; ``spark.proofline.maxRowsPerKey`` overrides it.
 MAX_ROWS_PER_KEY = 2_000_000
+# Rows are taken to need at least so many bytes when the planner's estimate stands for a count.
+ROW_BYTES = 32
+# Quantiles: bits told apart by one histogram, and distinct values that one group may hold in the end.
+DIGIT_BITS, LEAST_BUCKET = 11, 4096
 
 
 @dataclass(frozen=True)
@@ -49,6 +54,15 @@ class Ordered:
         return self.df.drop(CHUNK)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of a frame's rows; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def row_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.proofline.maxRowsPerKey", str(MAX_ROWS_PER_KEY)))
+
+
 def ordered(df: DataFrame, keys: Seq[str], order: Seq[str], parts: int | None = None) -> Ordered:
     """Arrange rows for scans; ``parts`` or ``spark.proofline.scanPartitions`` sets the number of chunks.
 
@@ -56,10 +70,12 @@ def ordered(df: DataFrame, keys: Seq[str], order: Seq[str], parts: int | None =
     """
     conf = df.sparkSession.conf
     if parts is None:
-        limit = int(conf.get("spark.proofline.maxRowsPerKey", str(MAX_ROWS_PER_KEY)))
+        limit, plain = row_limit(df), Ordered(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), chunked=False)
+        if estimated_bytes(df) <= limit * ROW_BYTES:
+            return plain
         largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         if largest <= limit:
-            return Ordered(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), chunked=False)
+            return plain
     n = parts or int(conf.get("spark.proofline.scanPartitions", None) or conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in (*keys, *order)])
     return Ordered(cut(ranged.withColumn(CHUNK, F.spark_partition_id())), tuple(keys), tuple(order))
@@ -204,48 +220,91 @@ def islands(seq: Ordered, starts: Column, name: str = "island") -> Ordered:
 def exact_quantiles(
     df: DataFrame, keys: Seq[str], value: str, quantiles: Mapping[str, float]
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, without one task per key.
+    """Exact linearly interpolated quantiles per key, without one task per key; nulls are left out.
 
-    Values are first counted per (key, value) with map-side combine, then the
-    cumulative counts locate the two neighbouring ranks of each quantile.  The
-    counts are written once, so that the rows behind them are read once.
+    Values are counted per (key, value) with map-side combine.  Where the planner knows the input to be small, cumulative counts
+    locate the two ranks next to each quantile.  Otherwise ``_selected`` narrows all of them at once.
     """
-    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    ranked = scan(ordered(counts, keys, [value]), before_sum={"_lo": "_n"}, total={"_all": "_n"}).df
-
-    def at(rank: Column) -> Column:
-        inside = (F.col("_lo") <= rank) & (rank < F.col("_lo") + F.col("_n"))
-        return F.max(F.when(inside, F.col(value)))
-
-    aggs: list[Column] = []
-    for name, q in quantiles.items():
-        pos = (F.col("_all") - 1) * F.lit(float(q))
-        aggs += [
-            at(F.floor(pos)).alias(f"_a_{name}"),
-            at(F.ceil(pos)).alias(f"_b_{name}"),
-            F.max(pos - F.floor(pos)).alias(f"_f_{name}"),
-        ]
-    grouped = ranked.groupBy(*keys).agg(*aggs)
-    return grouped.select(
-        *keys,
-        *[
-            (F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_f_{n}")).alias(n)
-            for n in quantiles
-        ],
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = {f"_{side}_{name}": end(_position(q)) for name, q in quantiles.items() for side, end in (("a", F.floor), ("b", F.ceil))}
+    if estimated_bytes(df) <= row_limit(df) * ROW_BYTES:
+        ranked = scan(Ordered(counts.withColumn(CHUNK, F.lit(0)), tuple(keys), (value,), chunked=False), before_sum={"_lo": "_n"}, total={"_all": "_n"}).df
+        inside = lambda rank: (F.col("_lo") <= rank) & (rank < F.col("_lo") + F.col("_n"))
+        found = ranked.groupBy(*keys).agg(F.first("_all").alias("_all"), *[F.max(F.when(inside(rank), F.col(value))).alias(name) for name, rank in ranks.items()])
+    else:
+        found = _selected(cut(counts), list(keys), value, ranks)
+    share = lambda q: _position(q) - F.floor(_position(q))
+    return found.select(
+        *keys, *[(F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * share(q)).alias(n) for n, q in quantiles.items()],
     )
 
 
+def _position(q: float) -> Column:
+    """Where a quantile lies among ``_all`` values, counted from 0."""
+    return (F.col("_all") - 1) * F.lit(float(q))
+
+
+def sortable_bits(value: Column, kind: str) -> Column:
+    """A long that orders numbers as their values do; NaN is greatest, and the two zeros are one."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return value.cast("bigint")
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(2**63 - 1)))
+
+
+def _selected(counts: DataFrame, keys: list[str], value: str, ranks: Mapping[str, Column]) -> DataFrame:
+    """Radix selection: ``_all`` and the values at some ranks per key, from (keys, value, ``_n``) of distinct values.
+
+    Values are read as sortable 64-bit numbers.  A histogram of the leading ``DIGIT_BITS`` bits per key tells the bucket of each
+    rank; those buckets that hold more than ``LEAST_BUCKET`` distinct values are narrowed by their next bits, at most six times in
+    all.  What is shuffled are partial histograms, no window sees more than 2,048 rows of a key and rank, and one last join reads
+    the few values of each final bucket.
+    """
+    kind = dict(counts.dtypes)[value]
+    rows = cut(counts.withColumn("_u", sortable_bits(F.col(value), kind)))
+    sums = [F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_d")]
+
+    def picked(hist: DataFrame, by: list[str], rank: Column) -> DataFrame:
+        """Buckets of a histogram that hold a rank, with the rank inside."""
+        order = Window.partitionBy(*by).orderBy("_prefix")
+        sized = hist.withColumn("_lo", F.coalesce(F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        return sized.withColumn("_rank", rank - F.col("_lo")).where("_rank >= 0 and _rank < _m")
+
+    shift = 64 - DIGIT_BITS
+    first = rows.groupBy(*keys, F.shiftright("_u", shift).alias("_prefix")).agg(*sums)
+    first = first.withColumn("_all", F.sum("_m").over(Window.partitionBy(*keys)))
+    order = Window.partitionBy(*keys).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("_lo", F.coalesce(F.sum("_m").over(order), F.lit(0)))
+    asked = F.array(*[F.struct(F.lit(name).alias("_target"), (rank - F.col("_lo")).alias("_rank")) for name, rank in ranks.items()])
+    buckets = first.select(*keys, "_all", "_prefix", "_m", "_d", F.inline(asked)).where("_rank >= 0 and _rank < _m")
+    kept = ["_all", "_target", "_rank", "_prefix", "_d"]
+    buckets, done = cut(buckets.select(*keys, *kept)), []
+    while True:
+        small = (F.col("_d") <= LEAST_BUCKET) | F.lit(shift == 0)
+        done.append(_within(rows, buckets.where(small), keys, shift))
+        wide = buckets.where(~small)
+        if shift == 0 or wide.isEmpty():
+            break
+        met, shift = _within(rows, wide, keys, shift), max(0, shift - DIGIT_BITS)
+        hist = met.groupBy(*keys, "_target", "_all", F.col("_rank").alias("_asked"), F.shiftright("_u", shift).alias("_prefix")).agg(*sums)
+        buckets = cut(picked(hist, [*keys, "_target"], F.col("_asked")).select(*keys, *kept))
+    order = Window.partitionBy(*keys, "_target").orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
+    lowest = union_all(done).withColumn("_lo", F.coalesce(F.sum("_n").over(order), F.lit(0))).where("_lo <= _rank and _rank < _lo + _n")
+    return lowest.groupBy(*keys).agg(F.first("_all").alias("_all"), *[F.max(F.when(F.col("_target") == name, F.col(value))).alias(name) for name in ranks])
+
+
+def _within(rows: DataFrame, buckets: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    """Rows of (keys, _u) joined to their buckets at a shift; null keys are keys, too."""
+    marks = {c: f"_of_{c}" for c in keys}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(m)) for c, m in marks.items()], F.shiftright("_u", shift) == F.col("_prefix"))
+    return rows.join(buckets.drop("_d").withColumnsRenamed(marks), same).drop(*marks.values(), "_prefix")
+
+
 def best_per_key(df: DataFrame, keys: Seq[str], rank: Seq[Column]) -> DataFrame:
     """The smallest row per key by ``rank``; partial aggregation, no sort."""
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*rank)).alias("_best"))
     return picked.select("_best.*")
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Seq[str], how: str = "left", max_rows: int = 50_000) -> DataFrame:
-    """Broadcast ``small`` only after counting that it stays below ``max_rows``."""
-    fits = small.limit(max_rows + 1).count() <= max_rows
-    return big.join(F.broadcast(small) if fits else small, on=list(on), how=how)
-
-
 def union_all(frames: Seq[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -64,16 +64,17 @@ def front_matter(docs: DataFrame, text: str) -> DataFrame:
     has = F.col(text).rlike(r"(?s)\A---\n.*?\n---\n")
     rows = F.filter(lines(block), lambda l: l.contains(":"))
 
-    def entry(line: Column) -> Column:
+    def entry(line: Column, i: Column) -> Column:
         value = F.regexp_replace(strip(F.regexp_extract(line, r"(?s)^[^:]*:(.*)$", 1)), r'^"+|"+$', "")
         return F.struct(
-            strip(F.split_part(line, F.lit(":"), F.lit(1))).alias("key"), F.regexp_replace(value, r"^'+|'+$", "").alias("value")
+            strip(F.split_part(line, F.lit(":"), F.lit(1))).alias("key"), i.alias("at"), F.regexp_replace(value, r"^'+|'+$", "").alias("value")
         )
 
-    parsed = docs.withColumn("_e", F.transform(rows, entry))
-    last = F.filter("_e", lambda e, i: ~F.exists(
-        F.filter("_e", lambda o, j: j > i), lambda o: o["key"] == e["key"]))
-    return parsed.withColumn("front", F.when(has, F.map_from_entries(last))).drop("_e")
+    # sorted by key and place, the last entry of each key is the one before another key
+    parsed = docs.withColumn("_e", F.array_sort(F.transform(rows, entry)))
+    last = F.filter("_e", lambda e, i: ~F.coalesce(F.get("_e", i + 1)["key"] == e["key"], F.lit(False)))
+    in_order = F.transform(F.array_sort(F.transform(last, lambda e: F.struct(e["at"], e["key"], e["value"]))), lambda e: F.struct(e["key"], e["value"]))
+    return parsed.withColumn("front", F.when(has, F.map_from_entries(in_order))).drop("_e")
 
 
 def required_terms(docs: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:

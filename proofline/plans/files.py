@@ -114,4 +114,4 @@ def s08(spark, d):
     report = load(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
     io.write_report(report, path)
     io.write_report(report, path)
-    return spark.read.schema("lang string, files bigint, chars bigint").json(path)
+    return io.read_report(spark, path, "lang string, files bigint, chars bigint")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -30,10 +31,15 @@ BEHAVIOUR_SCHEMA = (
 
 
 def read_documents(spark: SparkSession, path: str, schema: str | T.StructType, limit: int = LARGEST_DOCUMENT) -> DataFrame:
-    """One JSON object per file: raw text, parsed struct and the reason it was refused."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("raw")
-    )
+    """One JSON object per file: raw text, parsed struct and the reason it was refused.
+
+    A file above ``limit`` bytes is refused by its length alone: it is not read, and its raw text is null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    named = [F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes")]
+    # the source tests the length before it opens a file, and leaves content out where it is not asked for
+    raw = files.where(F.col("length") <= limit).select(*named, F.col("content").cast("string").alias("raw")).unionByName(
+        files.where(F.col("length") > limit).select(*named, F.lit(None).cast("string").alias("raw")))
     read = with_document(raw, "raw")
     error = F.when(F.col("bytes") > limit, "too large").when(F.col("_v").isNull(), "not JSON").when(
         ~kind_at(F.col("_v")).startswith("OBJECT<"), "not an object")
@@ -107,6 +113,38 @@ def write_manifest(files: DataFrame, path: str, single_file: bool = False) -> No
     (ordered_lines.coalesce(1) if single_file else ordered_lines).write.mode("errorifexists").text(path)
 
 
-def write_report(df: DataFrame, path: str, format: str = "json") -> None:
-    """Whole-table report; the commit protocol makes it appear at once or not at all."""
-    df.write.mode("overwrite").format(format).save(path)
+POINTER = "CURRENT"
+
+
+def write_report(df: DataFrame, path: str, format: str = "json") -> str:
+    """Replace the report at ``path`` by the rows of a frame, atomically; ``read_report`` reads it.  Returns the name of the new version.
+
+    The rows are written as a version of their own.  Only when all of them stand, a pointer file is replaced by one rename, which
+    the file system does at once or not at all; versions the pointer has left are deleted after that.  A job that dies on the
+    way leaves the former report as it was, and the next one clears away what it wrote.
+    """
+    spark, version = df.sparkSession, f"version-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").format(format).save(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(conf)
+    root = system.makeQualified(root)
+    drafted = jvm.org.apache.hadoop.fs.Path(root, f"_{version}.pointer")
+    out = system.create(drafted, True)
+    out.write(bytearray(f"{format} {version}".encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), conf).rename(drafted, jvm.org.apache.hadoop.fs.Path(root, POINTER), options)
+    for status in system.listStatus(root):
+        name = status.getPath().getName()
+        if name not in (version, POINTER) and (name.startswith("version-") or name.endswith(".pointer")):
+            system.delete(status.getPath(), True)
+    return version
+
+
+def read_report(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """The report that ``write_report`` published last at ``path``."""
+    format, _, version = spark.read.text(f"{path}/{POINTER}", wholetext=True).collect()[0][0].partition(" ")
+    reader = spark.read.format(format)
+    return (reader.schema(schema) if schema else reader).load(f"{path}/{version}")
