@@ -5,6 +5,10 @@ two other characters: the pre-tokeniser always starts a new piece there.  Texts
 are therefore cut at such spaces, every distinct chunk is encoded once by the
 library, and the ids of a text are the ids of its chunks in a row.  Texts with an
 added token inside, and all other tokenisers, are encoded by the library whole.
+
+A chunk of letters, with one mark behind it at most, is one piece (and the mark another) for the
+pre-tokeniser.  Such chunks are given to the library's model as the pieces that they are, which
+spares its search for them; all others go through the whole tokeniser.
 """
 
 from __future__ import annotations
@@ -22,6 +26,11 @@ import numpy as np
 KEPT_CHUNKS = 1_000_000
 #: Chunks that one call of the library gets at once.
 CALL_CHUNKS = 250
+#: Marks that are a piece of their own behind letters and before a space.
+_MARKS = frozenset(".,;:!?")
+#: Letters that byte-level vocabularies write for the bytes of a text: printable ones stand for themselves, the others follow 255 in order. Fixed values.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 #: A space that stands between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -62,27 +71,58 @@ class Encoder:
         #: Ids whose token begins with a space, which byte-level vocabularies write as the letter below.
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))])
         self.known: dict[str, bytes] = {}
+        if self.cuts:
+            from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+            self.pieces = Tokenizer(self.tokenizer.model)
+            self.pieces.pre_tokenizer = CharDelimiterSplit("\n")
+            self.marks = {mark: self._library([mark])[0] for mark in _MARKS}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype=self.kind).tobytes() for x in found]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks, each with its leading space, in a few long texts, and tell whose the ids are.
-
-        Tokens that begin with a space mark the chunks, unless one holds spaces itself; then the offsets do.
-        """
+        """Encode chunks, each with its leading space."""
+        known, letters, marked, other = self.known, [], [], []
+        for chunk in chunks:
+            if chunk.isalpha():
+                letters.append(chunk)
+            elif chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                marked.append(chunk)
+            else:
+                other.append(chunk)
+        cores = {chunk[:-1] for chunk in marked}.difference(known, letters)
+        fresh: dict[str, bytes] = {}
+        letters_and_cores = [*letters, *cores]
+        for plain in (True, False):
+            self._learn_letters([x for x in letters_and_cores if x.isascii() == plain], fresh)
+        known.update((chunk, fresh[chunk]) for chunk in letters)
+        known.update((chunk, (known.get(chunk[:-1]) or fresh[chunk[:-1]]) + self.marks[chunk[-1]]) for chunk in marked)
+        self._learn_any(other)
+
+    def _learn_letters(self, chunks: list[str], out: dict[str, bytes]) -> None:
+        """Chunks of letters: with its space each is one piece, and the token that begins with the space is its first."""
+        for i in range(0, len(chunks), CALL_CHUNKS):
+            some = chunks[i : i + CALL_CHUNKS]
+            text = "\n".join(some)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(_LETTERS).replace(chr(_LETTERS[10]), "\n")
+            text = text.replace("\n", "\n\u0120")
+            ids = np.asarray(self.pieces.encode_batch_fast(["\u0120" + text], add_special_tokens=False)[0].ids, dtype=self.kind)
+            spots, packed = (np.flatnonzero(self.spaced[ids]) * self.width).tolist() + [len(ids) * self.width], ids.tobytes()
+            out.update((x, packed[a:b]) for x, a, b in zip(some, spots, spots[1:]))
+
+    def _learn_any(self, chunks: list[str]) -> None:
+        """Encode chunks, each with its leading space, in a few long texts; offsets tell whose the ids are."""
         for i in range(0, len(chunks), CALL_CHUNKS):
             some = chunks[i : i + CALL_CHUNKS]
-            text = " " + " ".join(some)
-            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
-            at = np.flatnonzero(self.spaced[ids])
-            if len(at) != len(some) or text.count(" ") != len(some):
-                found = self.tokenizer.encode(text, add_special_tokens=False)
-                begins = np.cumsum([0] + [len(x) + 1 for x in some[:-1]])
-                at = np.searchsorted(np.fromiter((x[0] for x in found.offsets), dtype=np.int64, count=len(found.ids)), begins)
-            spots, packed = (at * self.width).tolist() + [len(ids) * self.width], ids.tobytes()
-            self.known.update((x, packed[a:b]) for x, a, b in zip(some, spots, spots[1:]))
+            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            begins = np.cumsum([0] + [len(x) + 1 for x in some[:-1]])
+            starts = np.fromiter((x[0] for x in found.offsets), dtype=np.int64, count=len(found.ids))
+            spots = (np.searchsorted(starts, begins) * self.width).tolist() + [len(starts) * self.width]
+            ids = np.asarray(found.ids, dtype=self.kind).tobytes()
+            self.known.update((x, ids[a:b]) for x, a, b in zip(some, spots, spots[1:]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
@@ -94,14 +134,18 @@ class Encoder:
         skip = set(whole)
         cut = [(i, _chunks(text)) for i, text in enumerate(texts) if text and i not in skip]
         firsts = self._library([parts[0] for _, parts in cut])
-        known = self.known
-        for _, parts in cut:
+        known, rows, missing = self.known, [], {}
+        for i, parts in cut:
             del parts[0]
-        missing = list(set().union(*(parts for _, parts in cut)).difference(known))
-        self._learn(missing)
-        for (i, parts), first in zip(cut, firsts):
-            out[i] = first + b"".join(map(known.__getitem__, parts))
-        for chunk in missing[max(0, KEPT_CHUNKS - len(known) + len(missing)) :]:
+            rows.append(list(map(known.get, parts)))
+            if None in rows[-1]:
+                missing.update((x, None) for x, ids in zip(parts, rows[-1]) if ids is None)
+        self._learn(list(missing))
+        for (i, parts), first, row in zip(cut, firsts, rows):
+            if None in row:
+                row = map(known.__getitem__, parts)
+            out[i] = first + b"".join(row)
+        for chunk in [*missing][max(0, KEPT_CHUNKS - len(known) + len(missing)) :]:
             del known[chunk]
         return out
 
