@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,22 +191,29 @@ def _side(stats: DataFrame, prefix: str) -> DataFrame:
     return stats.select("clip", *[F.col(c).alias(f"{prefix}_{c}") for c in stats.columns if c != "clip"])
 
 
-def _scored(pairs: DataFrame, bounded: bool = False) -> DataFrame:
-    """Score pairs that carry ``s_*`` and ``e_*`` frame statistics, up to ``s_bound`` when asked."""
+# Weights of the velocity and of standing still, the share of the typical motion below which a range stands still,
+# and the share that a range away from both clip ends pays.
+VELOCITY_WEIGHT = 0.5
+STILL_WEIGHT = 4.0
+STILL_SHARE = 0.25
+EDGE_SHARE = 0.02
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Score pairs that carry ``s_*`` and ``e_*`` frame statistics."""
     span = F.col("e_i") - F.col("s_i")
     pose = mean_abs_diff(F.col("s_f"), F.col("e_f"))
     velocity = F.abs(F.col("s_speed_out") - F.col("e_speed_in"))
     energy = (F.col("e_path") - F.col("s_path")) / span
-    still = F.greatest(F.lit(0.0), F.col("s_typical") * 0.25 - F.col("motion_energy")) * 4.0
-    edge = F.when((F.col("s_i") == 0) | (F.col("e_i") == F.col("e_n") - 1), F.lit(0.0)).otherwise(F.col("s_typical") * 0.02)
+    still = F.greatest(F.lit(0.0), F.col("s_typical") * STILL_SHARE - F.col("motion_energy")) * STILL_WEIGHT
+    edge = F.when((F.col("s_i") == 0) | (F.col("e_i") == F.col("e_n") - 1), F.lit(0.0)).otherwise(F.col("s_typical") * EDGE_SHARE)
     measured = pairs.where(span + 1 >= F.col("s_least_frames")).select(
         "clip", F.col("s_i").alias("start_frame"), F.col("e_i").alias("end_frame"), (span + 1).alias("frame_count"),
         F.col("s_n").alias("n"), pose.alias("pose_distance"), velocity.alias("velocity_distance"),
-        energy.alias("motion_energy"), "s_typical", edge.alias("_edge"), *(["s_bound"] if bounded else []),
+        energy.alias("motion_energy"), "s_typical", edge.alias("_edge"),
     )
-    score = F.col("pose_distance") + F.col("velocity_distance") * 0.5 + still + F.col("_edge")
-    out = measured.withColumn("score", score)
-    return (out.where(F.col("score") <= F.col("s_bound")) if bounded else out).drop("s_typical", "_edge", "s_bound")
+    score = F.col("pose_distance") + F.col("velocity_distance") * VELOCITY_WEIGHT + still + F.col("_edge")
+    return measured.withColumn("score", score).drop("s_typical", "_edge")
 
 
 def _best(cands: DataFrame, keep: int) -> DataFrame:
@@ -212,23 +221,110 @@ def _best(cands: DataFrame, keep: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
+# Frames of a block, and of a tile's side; frames of a clip whose distances bound those of all others; slack of bounds for rounding.
+BLOCK_FRAMES = 64
+PIVOTS = 8
+SLACK = 1e-9
+_FRAME = "struct<i:bigint,f:array<double>,speed_out:double,speed_in:double,path:double>"
+
+
+def _matrix(frames: pa.Array, name: str) -> np.ndarray:
+    return np.array(frames.field(name).to_pylist(), dtype=np.float64)
+
+
+def cycle_blocks(inner: DataFrame) -> DataFrame:
+    """Blocks of neighbouring frames: clip, block, frames, and per pivot the least and greatest distance of a frame to it."""
+    rows = inner.select("clip", F.expr(f"i div {BLOCK_FRAMES}").alias("block"), F.struct("i", F.col("f").cast("array<double>").alias("f"), "speed_out", "speed_in", "path").alias("row"), "n")
+    spot = F.expr(f"(i - 1) * {PIVOTS - 1} div greatest(n - 3, 1)")  # inner frames are 1 to n - 2; the first of each stretch is a pivot
+    pivots = inner.select("clip", "i", "f", spot.alias("_at")).groupBy("clip", "_at").agg(F.min_by("f", "i").alias("f"))
+    pivots = pivots.groupBy("clip").agg(F.collect_list(F.col("f").cast("array<double>")).alias("pivots"))
+    blocks = rows.groupBy("clip", "block").agg(F.array_sort(F.collect_list("row")).alias("frames")).join(pivots, on="clip")
+    kind = rows.schema["clip"].dataType.simpleString()
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = [], []
+            for frames, pivots in zip(batch.column("frames"), batch.column("pivots").to_pylist()):
+                vectors = _matrix(frames.values, "f")
+                far = np.stack([np.abs(vectors - np.array(p)).mean(axis=1) for p in pivots])
+                low.append(far.min(axis=1).tolist())
+                high.append(far.max(axis=1).tolist())
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("clip"), batch.column("block"), batch.column("frames"), pa.array(low, doubles), pa.array(high, doubles)],
+                names=["clip", "block", "frames", "low", "high"],
+            )
+
+    return cut(blocks.mapInArrow(measured, f"clip {kind}, block bigint, frames array<{_FRAME}>, low array<double>, high array<double>"))
+
+
+def cycle_tiles(blocks: DataFrame, clips: DataFrame) -> DataFrame:
+    """Pairs of blocks (clip, first, second) and whether they ``may_win``: by the pivots, no two of their frames need be further apart than the clip's width.
+
+    ``clips``: clip, n, width, least_frames.  A clip has a tile for each square of ``BLOCK_FRAMES`` frames above the diagonal.
+    """
+    last = F.expr(f"(n - 2) div {BLOCK_FRAMES}")
+    tiles = clips.select("clip", "width", "least_frames", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("first"), last.alias("_last"))
+    tiles = tiles.select("clip", "width", "least_frames", "first", F.explode(F.sequence(F.col("first"), F.col("_last"))).alias("second"))
+    side = lambda name: blocks.select("clip", F.col("block").alias(name), F.col("low").alias(f"low_{name}"), F.col("high").alias(f"high_{name}"))
+    joined = tiles.join(side("first"), on=["clip", "first"]).join(side("second"), on=["clip", "second"])
+    gap = lambda a, b: F.array_max(F.zip_with(f"low_{a}", f"high_{b}", lambda x, y: x - y))
+    apart = F.greatest(gap("first", "second"), gap("second", "first"))
+    long_enough = (F.col("second") + 1) * BLOCK_FRAMES - 1 - F.col("first") * BLOCK_FRAMES + 1 >= F.col("least_frames")
+    return joined.select("clip", "first", "second", ((apart <= F.col("width") + SLACK) & long_enough).alias("may_win"))
+
+
+def _tile_winners(tiles: DataFrame, blocks: DataFrame, clips: DataFrame, keep: int) -> DataFrame:
+    """(clip, s_i, e_i): the pairs of each tile that may be among the best ``keep`` of the clip; a tile scores a fixed number of pairs."""
+    side = lambda name: blocks.select("clip", F.col("block").alias(name), F.col("frames").alias(f"of_{name}"))
+    full = tiles.join(side("first"), on=["clip", "first"]).join(side("second"), on=["clip", "second"])
+    full = full.join(clips.select("clip", "typical", "least_frames", "bound"), on="clip").select("clip", "of_first", "of_second", "typical", "least_frames", "bound")
+    kind = tiles.schema["clip"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clip, starts, ends = [], [], []
+            table = zip(batch.column("of_first"), batch.column("of_second"), *(batch.column(x).to_pylist() for x in ("typical", "least_frames", "bound")))
+            for row, (first, second, typical, least, bound) in enumerate(table):
+                a, b = first.values, second.values
+                i, j = np.array(a.field("i")), np.array(b.field("i"))
+                span = (j[None, :] - i[:, None]).astype(np.float64)
+                u, v = _matrix(a, "f"), _matrix(b, "f")
+                pose = np.stack([np.abs(v - x).mean(axis=1) for x in u])
+                speed = np.abs(np.array(a.field("speed_out"))[:, None] - np.array(b.field("speed_in"))[None, :])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    energy = (np.array(b.field("path"))[None, :] - np.array(a.field("path"))[:, None]) / span
+                    total = pose + speed * VELOCITY_WEIGHT + np.maximum(0.0, typical * STILL_SHARE - energy) * STILL_WEIGHT + typical * EDGE_SHARE
+                good = (span >= max(1, least - 1)) & (total <= bound * (1 + SLACK) + SLACK)
+                if not good.any():
+                    continue
+                found = total[good]
+                if len(found) > keep:  # all that tie with the last one stay in
+                    good &= total <= np.partition(found, keep - 1)[keep - 1] * (1 + SLACK) + SLACK
+                s, e = np.nonzero(good)
+                clip += [row] * len(s)
+                starts += i[s].tolist()
+                ends += j[e].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("clip").take(pa.array(clip, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["clip", "s_i", "e_i"])
+
+    return full.mapInArrow(score, f"clip {kind}, s_i bigint, e_i bigint")
+
+
 def cycle_candidates(stats: DataFrame, keep: int = LISTED_CYCLES) -> DataFrame:
-    """The exact ``keep`` best (start, end) ranges per clip, without scoring every pair.
-
-    Ranges that touch a clip end are linear in number and all scored.  With one
-    neighbour per frame in pivot order they give a bound U on the keep-th best
-    score.  An interior range costs at least its pose distance plus the edge
-    penalty, and its pose distance is at least the gap between pivot distances,
-    so only frames whose first-pivot distances lie within U minus that penalty
-    meet, through an equi-join on buckets of that width.  Nothing is dropped: a
-    pair outside the band cannot be among the best.
-    The range over the whole clip is always part of the result (rank 0 when it
-    is not among the best).
+    """The exact ``keep`` best (start, end) ranges per clip, by branch and bound over tiles.
+
+    Ranges that touch a clip end are linear in number and all scored.  With one neighbour per frame in pivot order they give a bound
+    on the keep-th best score.  Interior ranges lie in tiles of two blocks of frames.  The pose distance of any range in a tile is at
+    least the gap between the blocks' distances to a pivot, and its score at least that and the edge penalty, so only tiles that may
+    stay within the bound are joined to their frames.  A tile scores the same number of pairs whatever the clip, so a long clip
+    is many equal pieces of work; what a tile lets through is scored again by Spark, which alone decides.
+    The range over the whole clip is always part of the result (rank 0 when it is not among the best).
     """
     s, e = _side(stats, "s"), _side(stats, "e")
     heads = s.where("s_i = 0").join(e, on="clip")
     tails = s.where("s_i > 0").join(e.where("e_i = e_n - 1"), on="clip")
-    touching = _scored(heads).unionByName(_scored(tails))
+    touching = cut(_scored(heads).unionByName(_scored(tails)))
 
     in_order = scan(ordered(stats.select("clip", "d1", "i"), ["clip"], ["d1", "i"]), next={"_j": "i"}).plain().where("_j is not null")
     near = in_order.select("clip", F.least("i", "_j").alias("s_i"), F.greatest("i", "_j").alias("e_i"))
@@ -237,16 +333,12 @@ def cycle_candidates(stats: DataFrame, keep: int = LISTED_CYCLES) -> DataFrame:
     bounds = seeds.groupBy("clip").agg(F.count(F.lit(1)).alias("_k"), F.max("score").alias("_u")).select(
         "clip", F.when(F.col("_k") < keep, F.lit(1e300)).otherwise(F.col("_u")).alias("bound")
     )
-    inner = stats.join(bounds, on="clip").withColumn("width", F.col("bound") - F.col("typical") * 0.02 + 1e-9)
-    inner = inner.where("i > 0 and i < n - 1 and width > 0").withColumn("bucket", F.floor(F.col("d1") / F.col("width")))
-    left = _side(inner, "s").withColumn("bucket", F.explode(F.array(*[F.col("s_bucket") + k for k in (-1, 0, 1)])))
-    right = _side(inner, "e").withColumn("bucket", F.col("e_bucket"))
-    close = (
-        (F.col("e_i") >= F.col("s_i") + F.col("s_least_frames") - 1)
-        & (F.abs(F.col("e_d1") - F.col("s_d1")) <= F.col("s_width"))
-        & (F.abs(F.col("e_d2") - F.col("s_d2")) <= F.col("s_width"))
-    )
-    inside = _scored(left.join(right, on=["clip", "bucket"]).where(close), bounded=True)
+    sizes = stats.groupBy("clip").agg(F.max("n").alias("n"), F.max("typical").alias("typical"), F.max("least_frames").alias("least_frames"))
+    clips = cut(sizes.join(bounds, on="clip").withColumn("width", F.col("bound") - F.col("typical") * EDGE_SHARE).where(f"width > -{SLACK} and n > 2"))
+    blocks = cycle_blocks(stats.where("i > 0 and i < n - 1"))
+    tiles = cycle_tiles(blocks, clips).where("may_win")
+    winners = cut(_tile_winners(tiles, blocks, clips, keep))
+    inside = _scored(winners.join(s, on=["clip", "s_i"]).join(e, on=["clip", "e_i"]))
     everything = touching.unionByName(inside)
     best = _best(everything, keep)
     full = touching.where("start_frame = 0 and end_frame = n - 1").join(

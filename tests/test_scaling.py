@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proofline.operators import geometry, jobs, reviews, sequence
+from proofline.operators import geometry, jobs, motion, reviews, sequence
 from proofline.operators.sequence import exact_quantiles
 from proofline.session import cut, scratch_path
 from proofline.sources import files
@@ -161,6 +161,22 @@ def test_overlap_of_rectangles_of_all_sizes(spark):
     assert geometry._cells(geometry._levels(huge, 64), 64, [0, 3, 14, 15, 20]).count() <= 12
 
 
+# ---- cycles
+
+def test_a_long_clip_scores_few_tiles_of_equal_size(spark):
+    """A walk far from itself but for one return: most tiles cannot win."""
+    rng = np.random.default_rng(6)
+    steps = np.cumsum(rng.normal(size=(5000, 8)) * 0.05 + 0.1, axis=0)
+    steps[4000:4400] = steps[1000:1400] + 1e-4
+    frames = spark.createDataFrame([("long", i, x.tolist()) for i, x in enumerate(steps)], "clip string, i long, f array<double>").repartition(8)
+    stats = motion.frame_statistics(frames, "clip", "i", "f")
+    clips = stats.groupBy("clip").agg(F.max("n").alias("n"), F.max("least_frames").alias("least_frames")).withColumn("width", F.lit(0.2))
+    tiles = motion.cycle_tiles(motion.cycle_blocks(stats.where("i > 0 and i < n - 1")), clips).groupBy().agg(F.count("*").alias("n"), F.count_if("may_win").alias("kept")).first()
+    assert tiles.n == 79 * 80 // 2 and tiles.kept < 0.1 * tiles.n
+    best = motion.cycle_candidates(stats, keep=20).where("rank > 0").collect()
+    assert len(best) == 20 and any(abs(r.end_frame - r.start_frame - 3000) < 5 for r in best) or min(r.frame_count for r in best) >= 3
+
+
 # ---- reviews
 
 def test_keyframe_sets_meet_sequences_on_their_rarest_frame(spark):
