@@ -42,29 +42,23 @@ def pieces_of(text: bytes | None) -> list[list[bytes]]:
     return [words for piece in text.translate(_FOLD).split(b"\n") if (words := piece.split())] if text else []
 
 
-class Parser:
-    """Cuts pieces into chunks; remembers the hashes of words."""
-
-    def __init__(self) -> None:
-        self.hashes: dict[bytes, int] = {}
-
-    def chunks(self, words: list[bytes]) -> list[bytes]:
-        """Space-joined words; a chunk that its piece goes on after ends in a space.  Neighbours share the triggering window."""
-        if len(words) <= OVERLAP + 1:
-            return [b" ".join(words)]
-        known, out, first = self.hashes, [], 0
-        try:
-            codes = [known[w] for w in words]
-        except KeyError:
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            known.update((w, zlib.crc32(w)) for w in words)
-            codes = [known[w] for w in words]
-        for i, (a, b, c) in enumerate(zip(codes[1:-OVERLAP], codes[2:], codes[3:]), 1):
-            if (a + 3 * b + 7 * c) % TRIGGER == 0:
-                out.append(b" ".join(words[first : i + OVERLAP]) + b" ")
-                first = i
-        return [*out, b" ".join(words[first:])]
+class Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = zlib.crc32(word)
+        return code
+
+
+def chunks_of(words: list[bytes], hashes: Hashes) -> list[bytes]:
+    """Chunks of a piece as space-joined words; one that its piece goes on after ends in a space.  Neighbours share the triggering window."""
+    codes, out, first = list(map(hashes.__getitem__, words)), [], 0
+    for i, (a, b, c) in enumerate(zip(codes[1:-OVERLAP], codes[2:], codes[3:]), 1):
+        if (a + 3 * b + 7 * c) % TRIGGER == 0:
+            out.append(b" ".join(words[first : i + OVERLAP]) + b" ")
+            first = i
+    out.append(b" ".join(words[first:]))
+    return out
 
 
 def parse(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -77,13 +71,19 @@ def parse(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([own] * len(counts), pa.string()), pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=kind)
 
     def cut_up(batches):
-        chunks, found = Parser().chunks, {}
+        hashes, found = Hashes(), {}
         for batch in batches:
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 counts = found.setdefault(own, {})
                 for words in pieces_of(text):
-                    for chunk in chunks(words):
+                    if len(words) <= OVERLAP + 1:  # too short for a window behind its first word
+                        chunk = b" ".join(words)
+                        counts[chunk] = counts.get(chunk, 0) + 1
+                        continue
+                    for chunk in chunks_of(words, hashes):
                         counts[chunk] = counts.get(chunk, 0) + 1
+            if len(hashes) > KEPT_WORDS:
+                hashes.clear()
             if sum(map(len, found.values())) > HELD_ROWS:
                 yield from told(found)
                 found = {}
@@ -141,20 +141,25 @@ class Counter:
         self.lang, self.sizes, self.bits = lang, sizes, bits
         self.words, self.codes = Words(), np.zeros(0, dtype=np.int64)
         self.rows: list[tuple[int, np.ndarray, np.ndarray]] = []  # size, numbers of the words, weights
-        self.held = 0
+        self.held, self.singles = 0, np.zeros(0, dtype=np.int64)
 
     def add(self, chunks: list[bytes], weights: np.ndarray) -> None:
-        lengths = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
-        going = np.fromiter((c.endswith(b" ") for c in chunks), bool, len(chunks))
-        lengths -= going
-        words = b" ".join(chunks).split()
+        whole = b"\n".join(chunks) + b"\n"
+        letters = np.frombuffer(whole, np.uint8)
+        stops = np.flatnonzero(letters == 10)
+        going = letters[stops - 1] == 32
+        spaces = np.searchsorted(np.flatnonzero(letters == 32), stops)
+        lengths = np.diff(spaces, prepend=0) + 1 - going
+        words = whole.split()
         ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         left = np.repeat(ends, lengths) - np.arange(len(ids))  # words from here to the end of the chunk
         owned = left > np.repeat(np.where(going, OVERLAP, 0), lengths)
         weight = np.repeat(weights, lengths)
         if self.bits is None:
-            self._keep(1, owned, ids[:, None], weight)
+            more = np.bincount(ids[owned], weights=weight[owned], minlength=len(self.words)).astype(np.int64)  # exact below 2^53
+            more[: len(self.singles)] += self.singles
+            self.singles = more
             return
         if len(self.words) > len(self.codes):
             new = list(self.words)[len(self.codes) :]
@@ -173,15 +178,21 @@ class Counter:
             for i in range(size - parts + 1):  # all parts in a row that a phrase of this size holds
                 good &= fits[i : i + m]
             spots = np.flatnonzero(good)
-            self._keep(size, slice(None), np.stack([ids[spots + i] for i in range(size)], axis=1), weight[spots])
+            self.rows.append((size, np.stack([ids[spots + i] for i in range(size)], axis=1), weight[spots]))
+            self.held += len(spots)
 
-    def _keep(self, size: int, which, numbers: np.ndarray, weight: np.ndarray) -> None:
-        self.rows.append((size, numbers[which], weight[which]))
-        self.held += len(self.rows[-1][1])
+    def _batch(self, size: int, phrases: list[bytes], total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.lang] * len(phrases), pa.string()), pa.array([size] * len(phrases), pa.int32()), pa.array(phrases, pa.binary()), pa.array(total)],
+            names=["lang", "size", "phrase", "f"],
+        )
 
     def told(self):
         """Batches of (lang, size, phrase, f) of distinct phrases; what was held is gone after that."""
         names = list(self.words)
+        if len(self.singles):
+            owned = np.flatnonzero(self.singles)
+            yield self._batch(1, [names[x] for x in owned.tolist()], self.singles[owned])
         for size in self.sizes:
             own = [(n, w) for s, n, w in self.rows if s == size and len(n)]
             if not own:
@@ -191,15 +202,10 @@ class Counter:
             for i in range(1, size):  # numbers of prefixes, so that the next word always fits into 64 bits
                 key = np.unique(key << 32 | numbers[:, i], return_inverse=True)[1] if i < size - 1 else key << 32 | numbers[:, i]
             _, first, group = np.unique(key, return_index=True, return_inverse=True)
-            total = np.zeros(len(first), dtype=np.int64)
-            np.add.at(total, group, weight)
+            total = np.bincount(group, weights=weight).astype(np.int64)
             columns = [[names[x] for x in numbers[first, i].tolist()] for i in range(size)]
-            phrases = columns[0] if size == 1 else list(map(b" ".join, zip(*columns)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([self.lang] * len(phrases), pa.string()), pa.array([size] * len(phrases), pa.int32()), pa.array(phrases, pa.binary()), pa.array(total)],
-                names=["lang", "size", "phrase", "f"],
-            )
-        self.words, self.codes, self.rows, self.held = Words(), np.zeros(0, dtype=np.int64), [], 0
+            yield self._batch(size, list(map(b" ".join, zip(*columns))), total)
+        self.__init__(self.lang, self.sizes, self.bits)
 
 
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
