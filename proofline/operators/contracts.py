@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,49 +181,78 @@ class ValueRule:
     domain: tuple[str, ...] = ()
 
 
+#: Whole numbers beyond these digits are read as inexact ones, and those beyond 64 bits have no bounds to be in.
+_DIGITS, _LONG = 38, 1 << 63
+
+
+def _unique(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key is repeated")
+    return found
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+def flattened(raw: str | None, paths: frozenset[str]) -> dict[str, object]:
+    """Values of a document by dotted path, from one parse; only ways that lead to ``paths`` are followed.  Nothing if the text is not one JSON value."""
+    try:
+        document = json.loads(raw or "", object_pairs_hook=_unique, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return {}
+    found: dict[str, object] = {}
+    todo = [("", document)]
+    while todo:
+        prefix, node = todo.pop()
+        for name, value in node.items() if isinstance(node, dict) else ():
+            path = prefix + name
+            if path in paths:
+                found[path] = value
+                if isinstance(value, dict):
+                    todo.append((path + ".", value))
+    return found
+
+
+def _whole(value: object) -> bool:
+    """A number written without fraction or exponent; booleans are none."""
+    return type(value) is int and len(str(abs(value))) <= _DIGITS
+
+
+def _fits(rule: ValueRule, x: object, canvas: tuple[int, int]) -> bool:
+    if rule.kind == "string":
+        return isinstance(x, str) and 1 <= len(x) <= (rule.maximum or 4096)
+    if rule.kind == "boolean":
+        return isinstance(x, bool)
+    if rule.kind == "integer":
+        bounded = rule.minimum is not None or rule.maximum is not None
+        return _whole(x) and not (bounded and not -_LONG <= x < _LONG) and (rule.minimum is None or x >= rule.minimum) and (rule.maximum is None or x <= rule.maximum)
+    if rule.kind == "enum":
+        return isinstance(x, str) and x in rule.domain
+    if rule.kind == "array":
+        return isinstance(x, list) and (rule.minimum or 0) <= len(x) <= (rule.maximum or 256)
+    numbers = isinstance(x, list) and all(_whole(n) and -_LONG <= n < _LONG for n in x)
+    if rule.kind == "point":
+        return numbers and len(x) == 2
+    return numbers and len(x) == 4 and 0 <= x[0] < x[2] <= canvas[0] and 0 <= x[1] < x[3] <= canvas[1]
+
+
 def value_domain_audit(docs: DataFrame, raw: str, rules: Sequence[ValueRule], canvas: tuple[int, int] = (0, 0)) -> DataFrame:
-    """Paths whose value breaks its rule; booleans are never accepted as integers."""
-    parsed = with_document(docs, raw)
-    v = F.col("_v")
-    integer_type = r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$"
-    whole_type = r"^ARRAY<(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))>$"
-    # every value is read once; the rules then only see plain columns
-    readers = {
-        "string": lambda p: text_at(v, p), "enum": lambda p: text_at(v, p), "boolean": lambda p: text_at(v, p),
-        "integer": lambda p: value_at(v, p, "bigint"), "array": lambda p: F.size(value_at(v, p, "array<variant>")),
-        "point": lambda p: value_at(v, p, "array<bigint>"), "box": lambda p: value_at(v, p, "array<bigint>"),
-    }
-    # the parser turns 3.0 into 3, so integers are also checked as they are written
-    written = {"integer": r"^-?\d+$", "point": r"^\[-?\d+(,-?\d+)*\]$", "box": r"^\[-?\d+(,-?\d+)*\]$"}
-
-    def kind_of(rule: ValueRule) -> Column:
-        kind = kind_at(v, rule.path)
-        if rule.kind not in written:
-            return kind
-        return F.when(F.get_json_object(raw, f"$.{rule.path}").rlike(written[rule.kind]), kind)
-
-    parts = [c for i, r in enumerate(rules) for c in (kind_of(r).alias(f"_k{i}"), readers[r.kind](r.path).alias(f"_x{i}"))]
-    typed = parsed.select(*docs.columns, F.inline(F.array(F.struct(*parts))))
-
-    def good(i: int, rule: ValueRule) -> Column:
-        kind, x = F.col(f"_k{i}"), F.col(f"_x{i}")
-        if rule.kind == "string":
-            return (kind == "STRING") & (F.length(x) >= 1) & (F.length(x) <= (rule.maximum or 4096))
-        if rule.kind == "boolean":
-            return kind == "BOOLEAN"
-        if rule.kind == "integer":
-            low = F.lit(True) if rule.minimum is None else x >= rule.minimum
-            high = F.lit(True) if rule.maximum is None else x <= rule.maximum
-            return kind.rlike(integer_type) & low & high
-        if rule.kind == "enum":
-            return (kind == "STRING") & x.isin(*rule.domain)
-        if rule.kind == "array":
-            return kind.startswith("ARRAY<") & (x >= (rule.minimum or 0)) & (x <= (rule.maximum or 256))
-        if rule.kind == "point":
-            return kind.rlike(whole_type) & (F.size(x) == 2)
-        left, top, right, bottom = (F.get(x, F.lit(n)) for n in range(4))
-        inside = (left >= 0) & (top >= 0) & (right <= canvas[0]) & (bottom <= canvas[1])
-        return kind.rlike(whole_type) & (F.size(x) == 4) & inside & (left < right) & (top < bottom)
-
-    breaches = [F.when(~F.coalesce(good(i, r), F.lit(False)), F.lit(r.path)) for i, r in enumerate(rules)]
-    return typed.select(*docs.columns, listed(*breaches).alias("breaches"))
+    """Paths whose value breaks its rule; booleans are never accepted as integers, nor is 3.0.
+
+    A document is parsed once, in Arrow batches, and every rule looks its value up.  Reading the values by expressions instead parses
+    the text once for the variant and again for each number's spelling, which a variant does not keep.  A text that is not exactly one
+    JSON value, or repeats a key, breaks all rules.
+    """
+    steps = frozenset(".".join(parts[: i + 1]) for r in rules for parts in [r.path.split(".")] for i in range(len(parts)))
+
+    @F.pandas_udf("array<string>")
+    def broken(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            values = flattened(text, steps)
+            out.append([r.path for r in rules if r.path not in values or not _fits(r, values[r.path], canvas)])
+        return pd.Series(out)
+
+    return docs.withColumn("breaches", broken(F.col(raw).cast("string"))).select(*docs.columns, "breaches")

@@ -220,3 +220,24 @@ def test_an_oversized_document_is_not_read(spark, tmp_path):
     found = {r.path.rpartition("/")[2]: r for r in files.read_documents(spark, str(tmp_path), "a int").collect()}
     assert found["large.json"].error == "too large" and found["large.json"].raw is None and found["large.json"].bytes == 3 << 31
     assert found["small.json"].document.a == 1 and found["list.json"].error == "not an object"
+
+
+# ---- typed values
+
+def test_values_are_told_by_how_they_are_written(spark):
+    from proofline.operators.contracts import ValueRule, value_domain_audit
+
+    good = '{"a": {"n": 3, "s": "x"}, "b": [0, 0, 4, 4], "e": "on", "l": [1], "p": [-1, 2], "t": true}'
+    rules = [ValueRule("a.n", "integer", minimum=1, maximum=9), ValueRule("a.s", "string"), ValueRule("b", "box"), ValueRule("e", "enum", domain=("on", "off")),
+             ValueRule("l", "array", minimum=1, maximum=2), ValueRule("p", "point"), ValueRule("t", "boolean"), ValueRule("a", "string")]
+    every = [r.path for r in rules]
+    texts = {
+        good: ["a"], None: every, "": every, "[]": every, good + " {}": every, good.replace('"e"', '"t"'): every, '{"a": NaN}': every,
+        good.replace(": 3", ": 3.0"): ["a.n", "a"], good.replace(": 3", ": true"): ["a.n", "a"], good.replace(": 3", ": 10"): ["a.n", "a"],
+        good.replace(": 3", ": 99999999999999999999"): ["a.n", "a"], good.replace("[0, 0, 4, 4]", "[0, 0, 5, 4]"): ["b", "a"], good.replace("[-1, 2]", "[-1, 2.0]"): ["p", "a"],
+        good.replace("[-1, 2]", "[-1, null]"): ["p", "a"], good.replace('"on"', "1"): ["e", "a"], good.replace("[1]", "[]"): ["l", "a"], good.replace("true", '"true"'): ["t", "a"],
+        good.replace('{"n": 3, "s": "x"}', '"own"'): ["a.n", "a.s"],
+    }
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, raw string, breaches string").drop("breaches")
+    found = {r.raw: r.breaches for r in value_domain_audit(docs, "raw", rules, canvas=(4, 4)).collect()}
+    assert found == texts
