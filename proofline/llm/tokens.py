@@ -7,7 +7,7 @@ library, and the ids of a text are the ids of its chunks in a row.  Texts with a
 added token inside, and all other tokenisers, are encoded by the library whole.
 
 A chunk of letters, with one mark behind it at most, is one piece (and the mark another) for the
-pre-tokeniser.  Such chunks are given to the library's model as the pieces that they are, which
+pre-tokeniser, and so is a line end between two such.  These chunks are given to the library's model as the pieces that they are, which
 spares its search for them; all others go through the whole tokeniser.
 """
 
@@ -49,6 +49,13 @@ def _chunks(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+def _letters_and_mark(word: str) -> tuple[str, str] | None:
+    """Letters and the mark behind them, or none; nothing for any other word."""
+    if word.isalpha():
+        return word, ""
+    return (word[:-1], word[-1]) if word[-1:] in _MARKS and word[:-1].isalpha() else None
+
+
 class Encoder:
     """Ids of whole texts as packed little-endian integers of ``width`` bytes (2 if the vocabulary allows)."""
 
@@ -76,7 +83,8 @@ class Encoder:
 
             self.pieces = Tokenizer(self.tokenizer.model)
             self.pieces.pre_tokenizer = CharDelimiterSplit("\n")
-            self.marks = {mark: self._library([mark])[0] for mark in _MARKS}
+            self.marks = {mark: self._library([mark])[0] for mark in ("", "\n", *_MARKS)}
+            self.bare: dict[str, bytes] = {}  # ids of letters without a space before them
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -84,22 +92,29 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks, each with its leading space."""
-        known, letters, marked, other = self.known, [], [], []
+        known, plain, lines, other = self.known, {}, {}, []
         for chunk in chunks:
-            if chunk.isalpha():
-                letters.append(chunk)
-            elif chunk[-1:] in _MARKS and chunk[:-1].isalpha():
-                marked.append(chunk)
+            if parts := _letters_and_mark(chunk):
+                plain[chunk] = parts
+                continue
+            above, line, below = chunk.partition("\n")  # a line end between letters is a piece, too
+            if line and (above := _letters_and_mark(above)) and (below := _letters_and_mark(below)):
+                lines[chunk] = above, below
             else:
                 other.append(chunk)
-        cores = {chunk[:-1] for chunk in marked}.difference(known, letters)
-        fresh: dict[str, bytes] = {}
-        letters_and_cores = [*letters, *cores]
-        for plain in (True, False):
-            self._learn_letters([x for x in letters_and_cores if x.isascii() == plain], fresh)
-        known.update((chunk, fresh[chunk]) for chunk in letters)
-        known.update((chunk, (known.get(chunk[:-1]) or fresh[chunk[:-1]]) + self.marks[chunk[-1]]) for chunk in marked)
+        spaced = {letters for letters, _ in (*plain.values(), *(above for above, _ in lines.values()))}
+        found = {x: known[x] for x in spaced if x in known}
+        spaced.difference_update(found)
+        for ascii_only in (True, False):
+            self._learn_letters([x for x in spaced if x.isascii() == ascii_only], found)
+        bare = list({below for _, (below, _) in lines.values()}.difference(self.bare))
+        self.bare.update(zip(bare, self._library(bare)))
+        marks = self.marks
+        known.update((chunk, found[letters] + marks[mark]) for chunk, (letters, mark) in plain.items())
+        known.update((chunk, found[x] + marks[m] + marks["\n"] + self.bare[y] + marks[n]) for chunk, ((x, m), (y, n)) in lines.items())
         self._learn_any(other)
+        if len(self.bare) > KEPT_CHUNKS // 4:
+            self.bare.clear()
 
     def _learn_letters(self, chunks: list[str], out: dict[str, bytes]) -> None:
         """Chunks of letters: with its space each is one piece, and the token that begins with the space is its first."""
@@ -140,7 +155,8 @@ class Encoder:
             rows.append(list(map(known.get, parts)))
             if None in rows[-1]:
                 missing.update((x, None) for x, ids in zip(parts, rows[-1]) if ids is None)
-        self._learn(list(missing))
+        if missing:
+            self._learn(list(missing))
         for (i, parts), first, row in zip(cut, firsts, rows):
             if None in row:
                 row = map(known.__getitem__, parts)
