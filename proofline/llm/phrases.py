@@ -29,7 +29,7 @@ TRIGGER = 16
 #: Bits of the filter (8 MB): the bound of what is broadcast, whatever the corpus holds.
 FILTER_BITS = 1 << 26
 #: Distinct chunks, or occurrences of phrases, that a Python task adds up before it passes them on; words that it remembers.
-HELD_ROWS, HELD_WORDS, KEPT_WORDS = 400_000, 2_000_000, 500_000
+HELD_ROWS, HELD_WORDS, KEPT_WORDS = 800_000, 4_000_000, 1_000_000
 #: Scale of a score.
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
@@ -68,7 +68,7 @@ def parse(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     def told(found: dict[str, dict[bytes, int]]):
         for own, counts in found.items():
             if counts:
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(counts), pa.string()), pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(own, pa.string()), len(counts)), pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=kind)
 
     def cut_up(batches):
         hashes, found = Hashes(), {}
@@ -178,38 +178,37 @@ class Counter:
             for i in range(size - parts + 1):  # all parts in a row that a phrase of this size holds
                 good &= fits[i : i + m]
             spots = np.flatnonzero(good)
-            self.rows.append((size, np.stack([ids[spots + i] for i in range(size)], axis=1), weight[spots]))
+            self.rows.append((size, np.stack([ids[spots + i] for i in range(size)], axis=1).astype(np.int32), weight[spots]))
             self.held += len(spots)
 
-    def _batch(self, size: int, phrases: list[bytes], total: np.ndarray) -> pa.RecordBatch:
+    def _batch(self, phrases: list[bytes], total: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang] * len(phrases), pa.string()), pa.array([size] * len(phrases), pa.int32()), pa.array(phrases, pa.binary()), pa.array(total)],
-            names=["lang", "size", "phrase", "f"],
+            [pa.repeat(pa.scalar(self.lang, pa.string()), len(phrases)), pa.array(phrases, pa.binary()), pa.array(total)], names=["lang", "phrase", "f"],
         )
 
     def told(self):
-        """Batches of (lang, size, phrase, f) of distinct phrases; what was held is gone after that."""
+        """Batches of (lang, phrase, f) of distinct phrases; what was held is gone after that."""
         names = list(self.words)
         if len(self.singles):
             owned = np.flatnonzero(self.singles)
-            yield self._batch(1, [names[x] for x in owned.tolist()], self.singles[owned])
+            yield self._batch([names[x] for x in owned.tolist()], self.singles[owned])
         for size in self.sizes:
             own = [(n, w) for s, n, w in self.rows if s == size and len(n)]
             if not own:
                 continue
             numbers, weight = np.concatenate([n for n, _ in own]), np.concatenate([w for _, w in own])
-            key = numbers[:, 0]
+            key = numbers[:, 0].astype(np.int64)
             for i in range(1, size):  # numbers of prefixes, so that the next word always fits into 64 bits
                 key = np.unique(key << 32 | numbers[:, i], return_inverse=True)[1] if i < size - 1 else key << 32 | numbers[:, i]
             _, first, group = np.unique(key, return_index=True, return_inverse=True)
             total = np.bincount(group, weights=weight).astype(np.int64)
             columns = [[names[x] for x in numbers[first, i].tolist()] for i in range(size)]
-            yield self._batch(size, list(map(b" ".join, zip(*columns))), total)
+            yield self._batch(list(map(b" ".join, zip(*columns))), total)
         self.__init__(self.lang, self.sizes, self.bits)
 
 
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def _count(dictionary: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None) -> DataFrame:
@@ -228,12 +227,12 @@ def _count(dictionary: DataFrame, sizes: tuple[int, ...], known: np.ndarray | No
         for counter in counters.values():
             yield from counter.told()
 
-    return dictionary.select("lang", "words", "n").mapInArrow(count, "lang string, size int, phrase binary, f long")
+    return dictionary.select("lang", "words", "n").mapInArrow(count, "lang string, phrase binary, f long")
 
 
 def count_phrases(dictionary: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, size, phrase, f) of all phrases with f of at least ``least``, and (lang, n) with the words of each language."""
-    words = cut(_count(dictionary, (1,), None).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")))
+    """(lang, phrase, f) of all phrases with f of at least ``least``, and (lang, n) with the words of each language."""
+    words = cut(_count(dictionary, (1,), None).groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     single = words.where(F.col("f") >= least)
     pairs = cut(_frequent(_count(dictionary, (2,), _filter_of(single)), least))
@@ -254,6 +253,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     """
     phrases, totals = count_phrases(parse(docs, lang, text), least)
     phrases = phrases.withColumn("phrase", F.col("phrase").cast("string"))
+    phrases = phrases.withColumn("size", F.size(F.split("phrase", " ")))
     candidates = phrases.where("size > 1")
     split = F.split("phrase", " ")
     part = lambda first, size: F.array_join(F.slice("words", first, size), " ")
