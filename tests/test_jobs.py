@@ -61,26 +61,62 @@ def test_stream_in_two_batches_equals_batch(spark, tmp_path):
     for part in (df.where(F.col("event_id") <= middle), df.where((F.col("event_id") > middle) | (F.col("event_id") % 7 == 0))):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(live.RESPONSE_SCHEMA).parquet(f"{tmp_path}/in")
-        live.run_to_end(live.checkpoint_fold_stream(live.first_deliveries(stream)), f"{tmp_path}/out", f"{tmp_path}/state")
+        live.run_to_end(live.checkpoint_fold_stream(stream.dropDuplicates(["event_id"])), f"{tmp_path}/out", f"{tmp_path}/state")
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == plain_fold(rows, "v1")
 
 
-def test_a_late_first_delivery_counts_and_repeats_commit_nothing(spark, tmp_path):
+def full_script(job, last=None):
     script = [s for s in STEPS["v1"] if s.decision != "changes-requested"]
-    rows = [dict(job=1, event_id=i, ts=None, kind=s.kind, gate=s.gate, decision=s.decision, return_to="", checkpoint_id=checkpoint_id(1, i), job_revision=i,
-                 context_sha256=context_hash(1, i)) for i, s in enumerate(script, 1)]
+    return [dict(job=job, event_id=job * 100 + i, ts=None, kind=s.kind, gate=s.gate, decision=s.decision, return_to="", checkpoint_id=checkpoint_id(job, i), job_revision=i,
+                 context_sha256=context_hash(job, i)) for i, s in enumerate(script, 1)][:last]
+
+
+def state_keys(spark, checkpoint, variable):
+    reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable)
+    return sorted(r[0] for r in reader.load().select("key.job").collect())
+
+
+def test_a_late_first_delivery_counts_and_repeats_commit_nothing(spark, tmp_path):
+    rows = full_script(1)
     # each delivery is a year older than the one before; every second one comes twice
-    df = as_frame(spark, rows).withColumn("ts", F.timestamp_seconds(F.lit(4_000_000_000) - F.col("event_id") * 31_536_000))
-    for part in (df.where("event_id <= 4"), df.where("event_id > 4 or event_id % 2 = 0")):
-        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(live.RESPONSE_SCHEMA).parquet(f"{tmp_path}/in")
-        live.run_to_end(live.checkpoint_fold_stream(live.first_deliveries(stream)), f"{tmp_path}/once", f"{tmp_path}/state-once")
+    df = as_frame(spark, rows).withColumn("ts", F.timestamp_seconds(F.lit(8_000_000_000) - F.col("event_id") * 31_536_000))
+    for n, part in enumerate((df.where("event_id <= 104"), df.where("event_id > 104 or event_id % 2 = 0"))):
+        part.withColumn("delivery", F.col("event_id") * 2 + n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(live.RESPONSE_SCHEMA + ", delivery bigint").parquet(f"{tmp_path}/in")
+        live.run_to_end(live.stale_responses_stream(stream), f"{tmp_path}/once", f"{tmp_path}/state-once")
         live.run_to_end(live.checkpoint_fold_stream(stream), f"{tmp_path}/all", f"{tmp_path}/state-all")
-    once = spark.read.parquet(f"{tmp_path}/once").collect()
-    assert len(once) == len(script) and {r["status"] for r in once} == {"applied"}
-    again = spark.read.parquet(f"{tmp_path}/all").groupBy("status").count().collect()
-    assert {r["status"]: r["count"] for r in again} == {"applied": len(script), "stale": 2}
+    for folder, second in (("once", "duplicate"), ("all", "stale")):
+        found = spark.read.parquet(f"{tmp_path}/{folder}").groupBy("status").count().collect()
+        assert {r["status"]: r["count"] for r in found} == {"applied": len(rows), second: 2}
+
+
+def test_state_is_that_of_open_jobs_and_survives_a_restart(spark, tmp_path):
+    first = full_script(1) + full_script(2, 4) + full_script(3, 1)
+    second = full_script(1)[:1] + full_script(2)[3:] + full_script(3)[:3]  # the first of 1, the fourth of 2 and the first of 3 come again
+
+    def deliver(rows, keep):
+        as_frame(spark, rows).withColumn("delivery", F.col("event_id")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(live.RESPONSE_SCHEMA + ", delivery bigint").parquet(f"{tmp_path}/in")
+        live.run_to_end(live.stale_responses_stream(stream, keep=keep), f"{tmp_path}/out", f"{tmp_path}/state")
+
+    deliver(first, live.KEEP)
+    assert state_keys(spark, f"{tmp_path}/state", "open") == [2, 3] and state_keys(spark, f"{tmp_path}/state", "finished") == [1]
+    deliver(second, live.KEEP)  # a new run of the stream, from its checkpoint
+    assert state_keys(spark, f"{tmp_path}/state", "open") == [3] and state_keys(spark, f"{tmp_path}/state", "finished") == [1, 2]
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {(r.job, r.event_id) for r in out if r.status == "duplicate"} == {(1, 101), (2, 204), (3, 301)}
+    assert sum(r.status == "applied" for r in out) == len(first + second) - 3 == len(out) - 3
+
+
+def test_finished_jobs_are_forgotten(spark, tmp_path):
+    for n in range(2):
+        as_frame(spark, full_script(1) + full_script(2 + n, 2)).withColumn("delivery", F.col("event_id")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(live.RESPONSE_SCHEMA + ", delivery bigint").parquet(f"{tmp_path}/in")
+        live.run_to_end(live.stale_responses_stream(stream, keep=1), f"{tmp_path}/out", f"{tmp_path}/state")
+    out = spark.read.parquet(f"{tmp_path}/out").groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in out} == {"applied": 2 * len(full_script(1)) + 4}
+    assert state_keys(spark, f"{tmp_path}/state", "open") == [2, 3]
 
 
 def test_retention_by_version(spark):
