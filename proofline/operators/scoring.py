@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions.cases import listed, lookup
-from proofline.functions.arrays import abs_diff_sum, boundary, mask_counts, mean_least_distance
+from proofline.functions.arrays import abs_diff_sum, bound, boundary, mask_counts, mean_least_distance
 from proofline.operators.sequence import exact_quantiles
 
 # Rubric size, bands, default criterion weights and the frozen synthetic gates.
@@ -59,9 +59,10 @@ def mask_scores(pairs: DataFrame, predicted: str, truth: str, threshold: int = 1
     out = both.select("*", *[c.alias(n) for n, c in scores.items()], error.alias("alpha_mae")).drop("_m")
     if width is None:
         return out
-    edges = out.withColumns({"_a": boundary(F.col(predicted), width, threshold), "_b": boundary(F.col(truth), width, threshold)})
-    apart = (mean_least_distance(F.col("_a"), F.col("_b"), width) + mean_least_distance(F.col("_b"), F.col("_a"), width)) / 2.0
-    return edges.withColumn("boundary_error_px", F.coalesce(apart, F.lit(float("inf")))).drop("_a", "_b")
+    height = F.ceil(F.size(truth) / width).cast("int")
+    edges = F.struct(boundary(F.col(predicted), width, threshold).alias("a"), boundary(F.col(truth), width, threshold).alias("b"), height.alias("height"))
+    apart = bound(edges, lambda e: (mean_least_distance(e["a"], e["b"], width, e["height"]) + mean_least_distance(e["b"], e["a"], width, e["height"])) / 2.0)
+    return out.withColumn("boundary_error_px", F.coalesce(apart, F.lit(float("inf"))))
 
 
 def trigger_eval(runs: DataFrame, cases: DataFrame) -> DataFrame:
