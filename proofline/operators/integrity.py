@@ -197,18 +197,23 @@ def projection_audit(
     )
 
 
-def observed_events_audit(declared: DataFrame, observed: DataFrame, package: str) -> DataFrame:
-    """Declared events against observed ones at (clip, name, position); clips must keep their order."""
+def observed_events_audit(declared: DataFrame, observed: DataFrame, package: str, clips: DataFrame | None = None) -> DataFrame:
+    """Declared events against observed ones at (clip, name, position); clips must keep their order.
+
+    ``clips``: package, clip, clip_order as the observer lists its clips.  Without it the clips are those of the observed events, so a
+    clip none of whose events was observed counts as out of order; with it such a clip keeps its place.
+    """
     at = [package, "clip", "name", "position"]
     events = manifest_diff(
         declared.select(*at, F.lit(True).alias("observed")).distinct(), observed.select(*at, "observed"), at, ["observed"]
     ).where("status <> 'match'")
     order = [package, "clip"]
-    clips = declared.select(*order, "clip_order").distinct().join(
-        observed.select(*order, F.col("clip_order").alias("_seen")).distinct(), on=order, how="full_outer"
+    listed_clips = observed if clips is None else clips
+    moved = declared.select(*order, "clip_order").distinct().join(
+        listed_clips.select(*order, F.col("clip_order").alias("_seen")).distinct(), on=order, how="full_outer"
     ).where(~F.col("clip_order").eqNullSafe(F.col("_seen")))
     return events.select(*at, "status").unionByName(
-        clips.select(*order, F.lit("").alias("name"), F.lit(-1).cast("bigint").alias("position"),
+        moved.select(*order, F.lit("").alias("name"), F.lit(-1).cast("bigint").alias("position"),
                      F.lit("clip-order").alias("status"))
     )
 

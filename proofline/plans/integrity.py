@@ -554,8 +554,9 @@ def b31(spark, d):
         F.col("event_id").alias("position"), F.expr("ascii(event_type)").alias("clip_order"))
     seen = ev.where("position % 37 <> 0").withColumn("observed", F.col("position") % 41 != 0)
     extra = seen.where("position % 43 = 0").withColumn("position", F.col("position") + 1_000_000_000)
-    seen = seen.union(extra).withColumn("clip_order", F.expr("if(user_id % 10 = 0 and clip = 'view', 0, clip_order)"))
-    return ops.observed_events_audit(ev, seen, "user_id")
+    # the observer lists every clip, also one whose events are all missing
+    clips = ev.withColumn("clip_order", F.expr("if(user_id % 10 = 0 and clip = 'view', 0, clip_order)"))
+    return ops.observed_events_audit(ev, seen.union(extra), "user_id", clips)
 
 
 @R.add("b32_replay_audit", """
