@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -171,7 +171,7 @@ def frame_statistics(frames: DataFrame, clip: str, index: str, feature: str) ->
     ``index`` must count 0..n-1 inside each clip.  The pivots are the first and
     the last frame; distances to them bound the distance of any two frames.
     """
-    base = frames.select(F.col(clip).alias("clip"), F.col(index).cast("bigint").alias("i"), F.col(feature).alias("f"))
+    base = frames.select(F.col(clip).alias("clip"), F.col(index).cast("bigint").alias("i"), F.col(feature).cast("array<double>").alias("f"))
     near = scan(ordered(base.withColumn("_one", F.lit(1).cast("bigint")), ["clip"], ["i"]),
                 prev={"_pf": "f"}, next={"_nf": "f"}, total={"n": "_one"}, first={"_p1": "f"}, last={"_p2": "f"})
     speeds = near.derive(near.df.select(
@@ -221,104 +221,146 @@ def _best(cands: DataFrame, keep: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
-# Frames of a block, and of a tile's side; frames of a clip whose distances bound those of all others; slack of bounds for rounding.
+# Frames of a block, of an area's side and of a strip of it; frames of a clip whose distances bound those of all others; components
+# added between two looks at the sums; slack of bounds for rounding.
 BLOCK_FRAMES = 64
+AREA_FRAMES = 2048
+STRIP_FRAMES = 64
 PIVOTS = 8
+STEP = 8
 SLACK = 1e-9
-_FRAME = "struct<i:bigint,f:array<double>,speed_out:double,speed_in:double,path:double>"
 
 
-def _matrix(frames: pa.Array, name: str) -> np.ndarray:
-    return np.array(frames.field(name).to_pylist(), dtype=np.float64)
-
-
-def cycle_blocks(inner: DataFrame) -> DataFrame:
-    """Blocks of neighbouring frames: clip, block, frames, and per pivot the least and greatest distance of a frame to it."""
-    rows = inner.select("clip", F.expr(f"i div {BLOCK_FRAMES}").alias("block"), F.struct("i", F.col("f").cast("array<double>").alias("f"), "speed_out", "speed_in", "path").alias("row"), "n")
+def cycle_blocks(inner: DataFrame, size: int = BLOCK_FRAMES) -> DataFrame:
+    """Blocks of ``size`` neighbouring frames: clip, block, and per pivot the least and greatest distance of a frame to it."""
     spot = F.expr(f"(i - 1) * {PIVOTS - 1} div greatest(n - 3, 1)")  # inner frames are 1 to n - 2; the first of each stretch is a pivot
     pivots = inner.select("clip", "i", "f", spot.alias("_at")).groupBy("clip", "_at").agg(F.min_by("f", "i").alias("f"))
-    pivots = pivots.groupBy("clip").agg(F.collect_list(F.col("f").cast("array<double>")).alias("pivots"))
-    blocks = rows.groupBy("clip", "block").agg(F.array_sort(F.collect_list("row")).alias("frames")).join(pivots, on="clip")
-    kind = rows.schema["clip"].dataType.simpleString()
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, high = [], []
-            for frames, pivots in zip(batch.column("frames"), batch.column("pivots").to_pylist()):
-                vectors = _matrix(frames.values, "f")
-                far = np.stack([np.abs(vectors - np.array(p)).mean(axis=1) for p in pivots])
-                low.append(far.min(axis=1).tolist())
-                high.append(far.max(axis=1).tolist())
-            doubles = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("clip"), batch.column("block"), batch.column("frames"), pa.array(low, doubles), pa.array(high, doubles)],
-                names=["clip", "block", "frames", "low", "high"],
-            )
-
-    return cut(blocks.mapInArrow(measured, f"clip {kind}, block bigint, frames array<{_FRAME}>, low array<double>, high array<double>"))
-
-
-def cycle_tiles(blocks: DataFrame, clips: DataFrame) -> DataFrame:
+    pivots = cut(pivots.groupBy("clip").agg(F.collect_list("f").alias("_pivots")))
+    far = [mean_abs_diff(F.col("f"), F.get("_pivots", F.lit(k))).alias(f"_d{k}") for k in range(PIVOTS)]
+    rows = inner.join(pivots, on="clip").select("clip", F.expr(f"i div {size}").alias("block"), *far)
+    return cut(rows.groupBy("clip", "block").agg(
+        F.array(*[F.min(f"_d{k}") for k in range(PIVOTS)]).alias("low"), F.array(*[F.max(f"_d{k}") for k in range(PIVOTS)]).alias("high")))
+
+
+def cycle_tiles(blocks: DataFrame, clips: DataFrame, size: int = BLOCK_FRAMES) -> DataFrame:
     """Pairs of blocks (clip, first, second) and whether they ``may_win``: by the pivots, no two of their frames need be further apart than the clip's width.
 
-    ``clips``: clip, n, width, least_frames.  A clip has a tile for each square of ``BLOCK_FRAMES`` frames above the diagonal.
+    ``clips``: clip, n, width, least_frames.  A clip has a tile for each square of ``size`` frames above the diagonal.
     """
-    last = F.expr(f"(n - 2) div {BLOCK_FRAMES}")
+    last = F.expr(f"(n - 2) div {size}")
     tiles = clips.select("clip", "width", "least_frames", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("first"), last.alias("_last"))
     tiles = tiles.select("clip", "width", "least_frames", "first", F.explode(F.sequence(F.col("first"), F.col("_last"))).alias("second"))
     side = lambda name: blocks.select("clip", F.col("block").alias(name), F.col("low").alias(f"low_{name}"), F.col("high").alias(f"high_{name}"))
     joined = tiles.join(side("first"), on=["clip", "first"]).join(side("second"), on=["clip", "second"])
     gap = lambda a, b: F.array_max(F.zip_with(f"low_{a}", f"high_{b}", lambda x, y: x - y))
     apart = F.greatest(gap("first", "second"), gap("second", "first"))
-    long_enough = (F.col("second") + 1) * BLOCK_FRAMES - 1 - F.col("first") * BLOCK_FRAMES + 1 >= F.col("least_frames")
-    return joined.select("clip", "first", "second", ((apart <= F.col("width") + SLACK) & long_enough).alias("may_win"))
-
-
-def _tile_winners(tiles: DataFrame, blocks: DataFrame, clips: DataFrame, keep: int) -> DataFrame:
-    """(clip, s_i, e_i): the pairs of each tile that may be among the best ``keep`` of the clip; a tile scores a fixed number of pairs."""
-    side = lambda name: blocks.select("clip", F.col("block").alias(name), F.col("frames").alias(f"of_{name}"))
-    full = tiles.join(side("first"), on=["clip", "first"]).join(side("second"), on=["clip", "second"])
-    full = full.join(clips.select("clip", "typical", "least_frames", "bound"), on="clip").select("clip", "of_first", "of_second", "typical", "least_frames", "bound")
-    kind = tiles.schema["clip"].dataType.simpleString()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clip, starts, ends = [], [], []
-            table = zip(batch.column("of_first"), batch.column("of_second"), *(batch.column(x).to_pylist() for x in ("typical", "least_frames", "bound")))
-            for row, (first, second, typical, least, bound) in enumerate(table):
-                a, b = first.values, second.values
-                i, j = np.array(a.field("i")), np.array(b.field("i"))
-                span = (j[None, :] - i[:, None]).astype(np.float64)
-                u, v = _matrix(a, "f"), _matrix(b, "f")
-                pose = np.stack([np.abs(v - x).mean(axis=1) for x in u])
-                speed = np.abs(np.array(a.field("speed_out"))[:, None] - np.array(b.field("speed_in"))[None, :])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    energy = (np.array(b.field("path"))[None, :] - np.array(a.field("path"))[:, None]) / span
-                    total = pose + speed * VELOCITY_WEIGHT + np.maximum(0.0, typical * STILL_SHARE - energy) * STILL_WEIGHT + typical * EDGE_SHARE
-                good = (span >= max(1, least - 1)) & (total <= bound * (1 + SLACK) + SLACK)
-                if not good.any():
-                    continue
-                found = total[good]
-                if len(found) > keep:  # all that tie with the last one stay in
-                    good &= total <= np.partition(found, keep - 1)[keep - 1] * (1 + SLACK) + SLACK
-                s, e = np.nonzero(good)
-                clip += [row] * len(s)
-                starts += i[s].tolist()
-                ends += j[e].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("clip").take(pa.array(clip, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["clip", "s_i", "e_i"])
-
-    return full.mapInArrow(score, f"clip {kind}, s_i bigint, e_i bigint")
-
-
-def cycle_candidates(stats: DataFrame, keep: int = LISTED_CYCLES) -> DataFrame:
-    """The exact ``keep`` best (start, end) ranges per clip, by branch and bound over tiles.
+    long_enough = (F.col("second") + 1) * size - 1 - F.col("first") * size + 1 >= F.col("least_frames")
+    return joined.select("clip", "first", "second", (((apart <= F.col("width") + SLACK) | F.isnan(apart)) & long_enough).alias("may_win"))
+
+
+def _leading(total: np.ndarray, i: np.ndarray, j: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``keep`` pairs by score, longer ranges and earlier starts first among equal scores."""
+    if len(total) > keep:
+        near = ~(total > np.partition(total, keep - 1)[keep - 1])
+        total, i, j = total[near], i[near], j[near]
+    order = np.lexsort((i, i - j, total))[:keep]
+    return total[order], i[order], j[order]
+
+
+def _area_best(frames: pa.Table, keep: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, start and end of the best ``keep`` interior ranges of an area, from the frames of its two sides.
+
+    Strips of the first side meet those frames of the second that a few pivots leave.  Components are added in the order in which
+    Spark adds them, so scores equal its own; pairs whose sum has passed the bound are given up, and the bound follows the best so far.
+    """
+    first, second, typical, least, bound = (frames.column(c)[0].as_py() for c in ("first", "second", "typical", "least_frames", "bound"))
+    at = frames.column("i").to_numpy()
+    order = np.argsort(at)
+    values = lambda name: frames.column(name).to_numpy()[order]
+    at, speed_out, speed_in, path = at[order], values("speed_out"), values("speed_in"), values("path")
+    flat = frames.column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    dims = len(flat) // len(at)
+    vectors = flat.reshape(len(at), dims)[order]
+    side = at // size
+    rows, cols = np.nonzero(side == first)[0], np.nonzero(side == second)[0]
+    turned = np.ascontiguousarray(vectors[cols].T)
+    pivots = vectors[np.linspace(0, len(at) - 1, PIVOTS).astype(int)]
+    distance = np.stack([np.abs(vectors - p).mean(axis=1) for p in pivots])
+    shortest, edge = max(1, least - 1), typical * EDGE_SHARE
+    best = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+    for begin in range(0, len(rows), STRIP_FRAMES):
+        strip = rows[begin : begin + STRIP_FRAMES]
+        width = (bound - edge) * (1 + SLACK) + SLACK
+        near, there = distance[:, strip], distance[:, cols]
+        gap = np.maximum(near.min(axis=1)[:, None] - there, there - near.max(axis=1)[:, None]).max(axis=0)
+        met = np.nonzero(~(gap > width + SLACK) & (at[cols] >= at[strip[0]] + shortest))[0]
+        if not len(met):
+            continue
+        u, v = vectors[strip], turned[:, met]
+        limit = width * dims
+        sums, part = np.zeros((len(strip), len(met))), np.empty((len(strip), len(met)))
+        done = 0
+        a, b = None, None
+        while done < dims:
+            upto = min(dims, done + STEP)
+            for k in range(done, upto):
+                if a is None:
+                    np.subtract(u[:, k, None], v[k], out=part)
+                    np.abs(part, out=part)
+                    sums += part
+                else:
+                    sums += np.abs(u[a, k] - v[k, b])
+            done = upto
+            open_ = ~(sums > limit)
+            if a is not None:
+                sums, a, b = sums[open_], a[open_], b[open_]
+            elif np.count_nonzero(open_) * 8 <= open_.size:
+                a, b = np.nonzero(open_)
+                sums = sums[open_]
+        if a is None:
+            a, b = np.nonzero(~(sums > limit))
+            sums = sums[a, b]
+        s, e = strip[a], cols[met[b]]
+        span = at[e] - at[s]
+        long_enough = span >= shortest
+        s, e, span, pose = s[long_enough], e[long_enough], span[long_enough], sums[long_enough] / dims
+        energy = (path[e] - path[s]) / span
+        still = np.maximum(0.0, typical * STILL_SHARE - energy) * STILL_WEIGHT
+        total = pose + np.abs(speed_out[s] - speed_in[e]) * VELOCITY_WEIGHT + still + edge
+        good = ~(total > bound * (1 + SLACK) + SLACK)
+        found = [np.concatenate(x) for x in zip(best, (total[good], at[s[good]], at[e[good]]))]
+        best = _leading(*found, keep)
+        if len(best[0]) == keep and best[0][-1] < bound:
+            bound = float(best[0][-1])
+    return best
+
+
+def _area_winners(areas: DataFrame, inner: DataFrame, clips: DataFrame, keep: int, size: int) -> DataFrame:
+    """(clip, s_i, e_i): the best ``keep`` interior ranges of each clip; an area scores a fixed number of pairs and passes on at most ``keep``."""
+    limits = clips.select("clip", "typical", "least_frames", "bound")
+    asked = cut(areas.join(limits, on="clip").withColumn("block", F.explode(F.array_distinct(F.array("first", "second")))))
+    frames = inner.select("clip", "i", F.expr(f"i div {size}").alias("block"), F.col("f").cast("array<double>").alias("f"), "speed_out", "speed_in", "path")
+    dealt = frames.join(asked, on=["clip", "block"]).drop("block")
+    kind = areas.schema["clip"].dataType.simpleString()
+
+    def score(group: pa.Table) -> pa.Table:
+        total, s, e = _area_best(group, keep, size)
+        clip = group.column("clip").combine_chunks().take(pa.array(np.zeros(len(s), np.int64)))
+        return pa.table({"clip": clip, "s_i": s, "e_i": e, "total": total})
+
+    found = dealt.groupBy("clip", "first", "second").applyInArrow(score, f"clip {kind}, s_i bigint, e_i bigint, total double")
+    order = Window.partitionBy("clip").orderBy("total", F.desc(F.col("e_i") - F.col("s_i")), "s_i")
+    return cut(found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).select("clip", "s_i", "e_i"))
+
+
+def cycle_candidates(stats: DataFrame, keep: int = LISTED_CYCLES, area: int = AREA_FRAMES) -> DataFrame:
+    """The exact ``keep`` best (start, end) ranges per clip, by branch and bound over areas.
 
     Ranges that touch a clip end are linear in number and all scored.  With one neighbour per frame in pivot order they give a bound
-    on the keep-th best score.  Interior ranges lie in tiles of two blocks of frames.  The pose distance of any range in a tile is at
-    least the gap between the blocks' distances to a pivot, and its score at least that and the edge penalty, so only tiles that may
-    stay within the bound are joined to their frames.  A tile scores the same number of pairs whatever the clip, so a long clip
-    is many equal pieces of work; what a tile lets through is scored again by Spark, which alone decides.
+    on the keep-th best score.  Interior ranges lie in areas of two blocks of ``area`` frames.  The pose distance of any range
+    in an area is at least the gap between the blocks' distances to a pivot, and its score at least that and the edge penalty, so only
+    areas that may stay within the bound get their frames.  An area scores the same number of pairs whatever the clip, so a long clip
+    is many equal pieces of work, and passes on its ``keep`` best, ties decided; those of a clip are scored again by Spark.
     The range over the whole clip is always part of the result (rank 0 when it is not among the best).
     """
     s, e = _side(stats, "s"), _side(stats, "e")
@@ -335,9 +377,9 @@ def cycle_candidates(stats: DataFrame, keep: int = LISTED_CYCLES) -> DataFrame:
     )
     sizes = stats.groupBy("clip").agg(F.max("n").alias("n"), F.max("typical").alias("typical"), F.max("least_frames").alias("least_frames"))
     clips = cut(sizes.join(bounds, on="clip").withColumn("width", F.col("bound") - F.col("typical") * EDGE_SHARE).where(f"width > -{SLACK} and n > 2"))
-    blocks = cycle_blocks(stats.where("i > 0 and i < n - 1"))
-    tiles = cycle_tiles(blocks, clips).where("may_win")
-    winners = cut(_tile_winners(tiles, blocks, clips, keep))
+    inner = stats.where("i > 0 and i < n - 1")
+    areas = cycle_tiles(cycle_blocks(inner, area), clips, area).where("may_win").drop("may_win")
+    winners = _area_winners(areas, inner, clips, keep, area)
     inside = _scored(winners.join(s, on=["clip", "s_i"]).join(e, on=["clip", "e_i"]))
     everything = touching.unionByName(inside)
     best = _best(everything, keep)
