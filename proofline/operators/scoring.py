@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from proofline.functions.cases import listed, lookup
 from proofline.functions.arrays import abs_diff_sum, bound, boundary, mask_counts, mean_least_distance
 from proofline.operators.sequence import exact_quantiles
+from proofline.session import cut
 
 # Rubric size, bands, default criterion weights and the frozen synthetic gates.
 RUBRIC_DIMENSIONS = 16
@@ -126,10 +127,14 @@ def weighted_score(scores: DataFrame, gates: DataFrame, weights: Mapping[str, fl
 def must_checks(outputs: DataFrame, cases: DataFrame) -> DataFrame:
     """Literal must and must-not phrases per output, with the ones that failed.
 
-    ``status`` is ``judged``, or ``no case`` or ``no output`` for a row of one side only, which has not passed.
+    ``status`` is ``judged``, or ``no case`` or ``no output`` for a row of one side only, which has not passed.  Texts are never dealt
+    by case, of which a few may have most of the outputs: the cases are written first, so that they are broadcast while small, and a
+    larger table joins with split partitions, which a full outer join does not allow.
     """
+    cases = cut(cases)
     left, right = outputs.withColumn("_output", F.lit(True)), cases.withColumn("_case", F.lit(True))
-    joined = left.join(right, on="case_id", how="full_outer")
+    unanswered = right.join(outputs.select("case_id").distinct(), on="case_id", how="left_anti")
+    joined = left.join(right, on="case_id", how="left").unionByName(unanswered, allowMissingColumns=True)
     status = F.when(F.col("_case").isNull(), "no case").when(F.col("_output").isNull(), "no output").otherwise("judged")
     joined = joined.withColumn("status", status).drop("_case", "_output")
     absent = F.filter("must", lambda m: ~F.contains(F.col("output"), m))
