@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def gate_rank(gate: Column) -> Column:
     return lookup(gate, GATE_RANK)
 
 
+def _short(digest: Column) -> Column:
+    """A lowercase hexadecimal SHA-256 as its 32 bytes, any other text as it is after a byte of its own; equal just where the texts are."""
+    return F.when(digest.rlike("^[0-9a-f]{64}\\z"), F.unhex(digest)).otherwise(F.concat(F.lit(b"\x00"), digest.cast("binary")))
+
+
 def review_scope_audit(
     reviews: DataFrame, expected: DataFrame, hashes: DataFrame, package: str, admissions: DataFrame | None = None,
 ) -> DataFrame:
@@ -31,21 +37,21 @@ def review_scope_audit(
     admission_sha256 that binds exactly the canonicals among their subjects to their current proof.
     """
     scope = [package, "gate", "subject_ids"]
-    seen = reviews.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id"))
-    wanted = expected.select(*scope).distinct().withColumn("_wanted", F.lit(True))
-    code = (
-        F.when(F.col("_n").isNull(), "missing").when(F.col("_wanted").isNull(), "unexpected")
-        .when(F.col("_n") > 1, "duplicate")
-    )
-    scopes = seen.join(wanted, on=scope, how="full_outer").select(
-        package, F.coalesce("id", F.lit(-1)).alias("id"), code.alias("code")
-    ).where(F.col("code").isNotNull())
-
-    bound = reviews.select(package, "id", F.explode("subject_ids").alias("subject_id"), "subject_sha256")
-    checked = bound.join(hashes.select(package, "subject_id", "sha256"), on=[package, "subject_id"], how="left")
-    stale = checked.where(
-        ~F.try_element_at("subject_sha256", F.col("subject_id")).eqNullSafe(F.col("sha256"))
-    ).select(package, "id", F.lit("stale").alias("code")).distinct()
+    # one aggregate over both sides instead of a join of two; a scope with a null equals no other side's
+    apart = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in scope])
+    seen = reviews.select(*scope, "id", F.lit(1).cast("bigint").alias("_seen"), F.lit(0).alias("_wanted"))
+    wanted = expected.select(*scope, F.lit(None).cast(reviews.schema["id"].dataType).alias("id"), F.lit(0).cast("bigint").alias("_seen"), F.lit(1).alias("_wanted"))
+    both = seen.unionByName(wanted).groupBy(*scope, F.when(apart, F.col("_wanted")).alias("_side")).agg(
+        F.sum("_seen").alias("_n"), F.min("id").alias("id"), F.max("_wanted").alias("_wanted"))
+    code = F.when(F.col("_n") == 0, "missing").when(F.col("_wanted") == 0, "unexpected").when(F.col("_n") > 1, "duplicate")
+    scopes = both.select(package, F.coalesce("id", F.lit(-1)).alias("id"), code.alias("code")).where(F.col("code").isNotNull())
+
+    # a row takes the one hash it is compared by into the join, as bytes where it is one, and not the review's whole map
+    bound = reviews.select(package, "id", "subject_sha256", F.explode("subject_ids").alias("subject_id")).select(
+        package, "id", "subject_id", _short(F.try_element_at("subject_sha256", F.col("subject_id"))).alias("_held"))
+    current = hashes.select(package, "subject_id", _short(F.col("sha256")).alias("_sha"))
+    checked = bound.join(current, on=[package, "subject_id"], how="left")
+    stale = checked.where(~F.col("_held").eqNullSafe(F.col("_sha"))).select(package, "id", F.lit("stale").alias("code")).distinct()
     surplus = reviews.where(
         F.size(F.array_except(F.map_keys("subject_sha256"), F.col("subject_ids"))) > 0
     ).select(package, "id", F.lit("surplus-hash").alias("code"))
@@ -65,11 +71,13 @@ def review_scope_audit(
         return found
     # every subject and every key of the map: either side may lack what the other holds
     named = reviews.select(package, "id", "admission_sha256", "subject_ids", F.explode(
-        F.array_union("subject_ids", F.coalesce(F.map_keys("admission_sha256"), F.array().cast("array<string>")))).alias("subject_id"))
-    proofs = named.join(admissions.select(package, "subject_id", "sha256"), on=[package, "subject_id"], how="left")
-    due = F.when(F.array_contains("subject_ids", F.col("subject_id")), F.col("sha256"))
-    unbound = proofs.where(~F.try_element_at("admission_sha256", F.col("subject_id")).eqNullSafe(due)).select(
-        package, "id", F.lit("admission").alias("code")).distinct()
+        F.array_union("subject_ids", F.coalesce(F.map_keys("admission_sha256"), F.array().cast("array<string>")))).alias("subject_id")).select(
+        package, "id", "subject_id", _short(F.try_element_at("admission_sha256", F.col("subject_id"))).alias("_held"),
+        F.array_contains("subject_ids", F.col("subject_id")).alias("_own"))
+    current = admissions.select(package, "subject_id", _short(F.col("sha256")).alias("_sha"))
+    proofs = named.join(current, on=[package, "subject_id"], how="left")
+    due = F.when(F.col("_own"), F.col("_sha"))
+    unbound = proofs.where(~F.col("_held").eqNullSafe(due)).select(package, "id", F.lit("admission").alias("code")).distinct()
     return found.unionByName(unbound)
 
 
