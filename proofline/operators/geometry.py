@@ -200,26 +200,37 @@ SMALLEST_CLUSTER = 16
 
 
 def dominant_bin(samples: DataFrame, keys: Sequence[str], axes: Sequence[str], tolerance: float) -> DataFrame:
-    """Fullest bin per key, the cluster around its mean, and how well that explains the samples."""
+    """Fullest bin per key, the cluster around its mean, and how well that explains the samples.
+
+    Equal samples are counted first, with map-side combine, and weighted from then on.  Seeds and centres, one row per key, are written
+    before they are joined, so samples are not dealt by keys, of which a few may have most of them.
+    """
     size = max(2.0, min(6.0, tolerance * 0.35))
     radius = max(3.0, tolerance * 0.55)
     bins = [f"_b{i}" for i in range(len(axes))]
-    binned = samples.select(*keys, *axes, *[F.floor(F.col(a) / size).alias(b) for a, b in zip(axes, bins)])
-    filled = binned.groupBy(*keys, *bins).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(a).alias(f"_s_{a}") for a in axes])
-    seeds = best_per_key(filled, keys, [-F.col("_n"), *[F.col(b) for b in bins]]).select(
-        *keys, F.col("_n").alias("bin_count"), *[f"_s_{a}" for a in axes])
+    samples = cut(samples.groupBy(*keys, *axes).agg(F.count(F.lit(1)).alias("_w")))
+    binned = samples.select(*keys, *axes, "_w", *[F.floor(F.col(a) / size).alias(b) for a, b in zip(axes, bins)])
+
+    def mean(axis: str, of: Column) -> Column:
+        known = F.when(F.col(axis).isNotNull() & of, F.col("_w"))
+        return F.sum(F.col(axis).cast("double") * known) / F.sum(known)
+
+    filled = binned.groupBy(*keys, *bins).agg(F.sum("_w").alias("_n"), *[mean(a, F.lit(True)).alias(f"_s_{a}") for a in axes])
+    seeds = cut(best_per_key(filled, keys, [-F.col("_n"), *[F.col(b) for b in bins]]).select(
+        *keys, F.col("_n").alias("bin_count"), *[f"_s_{a}" for a in axes]))
 
     def distance(prefix: str) -> Column:
         return F.sqrt(sum(((F.col(a) - F.col(f"{prefix}_{a}")) * (F.col(a) - F.col(f"{prefix}_{a}")) for a in axes), F.lit(0.0)))
 
     near = samples.join(seeds, on=list(keys)).withColumn("_in", distance("_s") <= radius)
-    centre = near.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"), F.count_if("_in").alias("members"), F.first("bin_count").alias("bin_count"),
-        *[F.avg(F.when(F.col("_in"), F.col(a))).alias(f"_c_{a}") for a in axes],
-    )
+    centre = cut(near.groupBy(*keys).agg(
+        F.sum("_w").alias("samples"), F.sum(F.when(F.col("_in"), F.col("_w")).otherwise(0)).alias("members"), F.first("bin_count").alias("bin_count"),
+        *[mean(a, F.col("_in")).alias(f"_c_{a}") for a in axes],
+    ))
     measured = samples.join(centre, on=list(keys)).withColumn("_d", distance("_c"))
-    spread = measured.groupBy(*keys).agg(F.avg((F.col("_d") <= tolerance).cast("int")).alias("confidence"))
-    tail = exact_quantiles(measured, keys, "_d", {"residual_p95": 0.95})
+    known = F.when(F.col("_d").isNotNull(), F.col("_w"))
+    spread = measured.groupBy(*keys).agg((F.sum(F.when(F.col("_d") <= tolerance, F.col("_w")).otherwise(0)) / F.sum(known)).alias("confidence"))
+    tail = exact_quantiles(measured, keys, "_d", {"residual_p95": 0.95}, weight="_w")
     enough = F.col("members") >= F.greatest(F.lit(SMALLEST_CLUSTER), F.floor(F.col("samples") * EXPLAINED_SHARE))
     return centre.join(spread, on=list(keys)).join(tail, on=list(keys)).select(
         *keys, "samples", "members", "bin_count", *[F.col(f"_c_{a}").alias(f"centre_{a}") for a in axes],

@@ -218,14 +218,14 @@ def islands(seq: Ordered, starts: Column, name: str = "island") -> Ordered:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Seq[str], value: str, quantiles: Mapping[str, float]
+    df: DataFrame, keys: Seq[str], value: str, quantiles: Mapping[str, float], weight: str | None = None
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, without one task per key; nulls are left out.
+    """Exact linearly interpolated quantiles per key, without one task per key; nulls are left out, a row counts ``weight`` times.
 
     Values are counted per (key, value) with map-side combine.  Where the planner knows the input to be small, cumulative counts
     locate the two ranks next to each quantile.  Otherwise ``_selected`` narrows all of them at once.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     ranks = {f"_{side}_{name}": end(_position(q)) for name, q in quantiles.items() for side, end in (("a", F.floor), ("b", F.ceil))}
     if estimated_bytes(df) <= row_limit(df) * ROW_BYTES:
         ranked = scan(Ordered(counts.withColumn(CHUNK, F.lit(0)), tuple(keys), (value,), chunked=False), before_sum={"_lo": "_n"}, total={"_all": "_n"}).df
