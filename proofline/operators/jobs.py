@@ -28,13 +28,14 @@ def task_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     function max(base, wave(root) + w) of that root; chains of such tasks are contracted by pointer doubling, which composes these
     functions, and are put in for the roots of all other tasks.  A round thus takes away every chain and tree, so rounds follow the
     nesting of joins in the graph, and steps within one the logarithm of the longest chain.  Found waves are only ever appended.
+    Joins of these tables are told to merge: each is about as large as the graph, and a broadcast in every step would pass it through the driver.
     """
     spark, task = nodes.sparkSession, ["plan", "id"]
     tasks = cut(nodes.select(*task).distinct())
     known = tasks.withColumnRenamed("id", "root")
-    needs = edges.select("plan", "id", F.col("depends_on").alias("root")).distinct().join(known, ["plan", "root"], "left_semi")
+    needs = edges.select("plan", "id", F.col("depends_on").alias("root")).distinct().join(known.hint("merge"), ["plan", "root"], "left_semi")
     none = F.lit(None).cast(tasks.schema["id"].dataType)
-    rules = cut(needs.join(tasks, task, "left_semi").select(*task, "root", F.lit(1).cast("bigint").alias("w")).unionByName(
+    rules = cut(needs.join(tasks.hint("merge"), task, "left_semi").select(*task, "root", F.lit(1).cast("bigint").alias("w")).unionByName(
         tasks.select(*task, none.alias("root"), F.lit(0).cast("bigint").alias("w"))))
     found, chains = scratch_path(spark, "waves"), []
     while True:
@@ -48,7 +49,7 @@ def task_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         chain.where("root is null").select(*task, F.col("base").alias("wave")).write.mode("append").parquet(found)
         chains.append(chain.where("root is not null"))
         via = chain.select("plan", F.col("id").alias("root"), F.col("root").alias("_root"), F.col("w").alias("_w"), F.col("base").alias("_base"))
-        open_rules = rules.join(state.where("roots > 1"), task, "left_semi").join(via, ["plan", "root"], "left")
+        open_rules = rules.join(state.where("roots > 1").hint("merge"), task, "left_semi").join(via.hint("merge"), ["plan", "root"], "left")
         # a rule on a contracted task becomes one on its root and one on its base
         moved = F.when(F.col("_base").isNull(), F.array(F.struct("root", "w"))).otherwise(
             F.filter(F.array(F.struct(F.col("_root").alias("root"), (F.col("w") + F.col("_w")).alias("w")), F.struct(none.alias("root"), (F.col("w") + F.col("_base")).alias("w"))),
@@ -58,10 +59,10 @@ def task_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if chains:
         for chain in reversed(chains):
             heads = spark.read.schema(schema).parquet(found).select("plan", F.col("id").alias("root"), "wave")
-            hung = chain.join(heads, ["plan", "root"]).select(*task, F.greatest("base", F.col("wave") + F.col("w")).alias("wave"))
+            hung = chain.join(heads.hint("merge"), ["plan", "root"]).select(*task, F.greatest("base", F.col("wave") + F.col("w")).alias("wave"))
             hung.write.mode("append").parquet(found)
     waves = spark.read.schema(schema).parquet(found) if chains else tasks.limit(0).withColumn("wave", F.lit(0).cast("bigint"))
-    return tasks.join(waves, task, "left").select(*task, F.coalesce("wave", F.lit(-1).cast("bigint")).alias("wave"))
+    return tasks.join(waves.hint("merge"), task, "left").select(*task, F.coalesce("wave", F.lit(-1).cast("bigint")).alias("wave"))
 
 
 def _contracted(chain: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def _contracted(chain: DataFrame) -> DataFrame:
     waiting = None
     while True:
         ends = chain.select("plan", F.col("id").alias("root"), F.col("root").alias("_root"), F.col("w").alias("_w"), F.col("base").alias("_base"), F.lit(True).alias("_on"))
-        met = cut(chain.join(ends, ["plan", "root"], "left"))
+        met = cut(chain.join(ends.hint("merge"), ["plan", "root"], "left"))
         left = met.where("_on").count()
         if not left:
             return chain
@@ -89,18 +90,18 @@ def _contracted(chain: DataFrame) -> DataFrame:
 
 def traceable_tasks(nodes: DataFrame, edges: DataFrame, deliverables: DataFrame) -> DataFrame:
     """Tasks that are a deliverable's task or a prerequisite of one, found backwards."""
-    found = cut(deliverables.select("plan", F.col("task_id").alias("id")).distinct().join(nodes.select("plan", "id"), ["plan", "id"], "left_semi"))
+    found = cut(deliverables.select("plan", F.col("task_id").alias("id")).distinct().join(nodes.select("plan", "id").hint("merge"), ["plan", "id"], "left_semi"))
     frontier = found
     while not frontier.isEmpty():
-        needed = edges.join(frontier, ["plan", "id"], "left_semi").select("plan", F.col("depends_on").alias("id")).distinct()
-        frontier = cut(needed.join(nodes.select("plan", "id"), ["plan", "id"], "left_semi").join(found, ["plan", "id"], "left_anti"))
+        needed = edges.join(frontier.hint("merge"), ["plan", "id"], "left_semi").select("plan", F.col("depends_on").alias("id")).distinct()
+        frontier = cut(needed.join(nodes.select("plan", "id").hint("merge"), ["plan", "id"], "left_semi").join(found.hint("merge"), ["plan", "id"], "left_anti"))
         found = cut(found.union(frontier))
     return found
 
 
 def graph_findings(nodes: DataFrame, edges: DataFrame, deliverables: DataFrame, waves: DataFrame) -> DataFrame:
     """Cycles, unknown dependencies, untraceable tasks, unconsumed outputs, uncovered deliverables."""
-    ids = nodes.select("plan", "id").distinct()
+    ids = nodes.select("plan", "id").distinct().hint("merge")
 
     def finding(df: DataFrame, subject: str, code: str) -> DataFrame:
         return df.select("plan", F.col(subject).cast("string").alias("subject"), F.lit(code).alias("code")).distinct()
@@ -109,9 +110,9 @@ def graph_findings(nodes: DataFrame, edges: DataFrame, deliverables: DataFrame,
     return union_all([
         finding(waves.where("wave = -1"), "id", "cycle"),
         finding(edges.join(ids.withColumnRenamed("id", "depends_on"), ["plan", "depends_on"], "left_anti"), "depends_on", "unknown-dependency"),
-        finding(ids.join(traceable_tasks(nodes, edges, deliverables), ["plan", "id"], "left_anti"), "id", "untraceable"),
-        finding(ids.join(edges.select("plan", F.col("depends_on").alias("id")), ["plan", "id"], "left_anti").join(
-            wanted, ["plan", "id"], "left_anti"), "id", "unconsumed"),
+        finding(ids.join(traceable_tasks(nodes, edges, deliverables).hint("merge"), ["plan", "id"], "left_anti"), "id", "untraceable"),
+        finding(ids.join(edges.select("plan", F.col("depends_on").alias("id")).hint("merge"), ["plan", "id"], "left_anti").join(
+            wanted.hint("merge"), ["plan", "id"], "left_anti"), "id", "unconsumed"),
         finding(deliverables.join(ids.withColumnRenamed("id", "task_id"), ["plan", "task_id"], "left_anti"), "deliverable", "uncovered"),
     ])
 
