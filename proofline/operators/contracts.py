@@ -181,8 +181,8 @@ class ValueRule:
     domain: tuple[str, ...] = ()
 
 
-#: Whole numbers beyond these digits are read as inexact ones, and those beyond 64 bits have no bounds to be in.
-_DIGITS, _LONG = 38, 1 << 63
+#: Whole numbers of more than 38 digits are read as inexact ones, and those beyond 64 bits have no bounds to be in.
+_BEYOND, _LONG = 10**38, 1 << 63
 
 
 def _unique(pairs: list[tuple[str, object]]) -> dict[str, object]:
@@ -196,10 +196,14 @@ def _no_constant(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
+#: Made once: json.loads with a hook makes a decoder for each document.
+_DECODER = json.JSONDecoder(object_pairs_hook=_unique, parse_constant=_no_constant)
+
+
 def flattened(raw: str | None, paths: frozenset[str]) -> dict[str, object]:
     """Values of a document by dotted path, from one parse; only ways that lead to ``paths`` are followed.  Nothing if the text is not one JSON value."""
     try:
-        document = json.loads(raw or "", object_pairs_hook=_unique, parse_constant=_no_constant)
+        document = _DECODER.decode(raw or "")
     except (ValueError, RecursionError):
         return {}
     found: dict[str, object] = {}
@@ -217,7 +221,7 @@ def flattened(raw: str | None, paths: frozenset[str]) -> dict[str, object]:
 
 def _whole(value: object) -> bool:
     """A number written without fraction or exponent; booleans are none."""
-    return type(value) is int and len(str(abs(value))) <= _DIGITS
+    return type(value) is int and -_BEYOND < value < _BEYOND
 
 
 def _fits(rule: ValueRule, x: object, canvas: tuple[int, int]) -> bool:
